@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .near_dedup import near_duplicates
+from .packing import pack
+from .substring_dedup import remove_repeats
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Path of an installed public vocabulary; executors have the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,9 +28,21 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(_table(spark, sf_dir, "documents"), tokenizer_file(), limit=2048, end_id=0, with_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_near_duplicates": op3_near_duplicates,
+        "op8_substring_dedup": op8_substring_dedup,
+        "op10_best_two_fit": op10_best_two_fit,
     }
 
 
