@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality_rules import clean_lines
 from .substring_dedup import remove_repeats
 
 
@@ -28,6 +29,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clean_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -41,6 +47,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_quality_rules": op4_quality_rules,
         "op8_substring_dedup": op8_substring_dedup,
         "op10_best_two_fit": op10_best_two_fit,
     }
