@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import id_remainder
+from .lm_scoring import score_documents
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import clean_lines
@@ -24,6 +26,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_documents(_table(spark, sf_dir, "documents"), held_out=id_remainder("doc_id", 7) == 2)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_table(spark, sf_dir, "documents"), percent=85, shingle=5)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -46,6 +53,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_quality_rules": op4_quality_rules,
         "op8_substring_dedup": op8_substring_dedup,
