@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_remainder
+from .language_id import identify_languages
 from .lm_scoring import score_documents
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality_classifier import classify_quality
 from .quality_rules import clean_lines
 from .substring_dedup import remove_repeats
 
@@ -41,6 +43,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out=2, modulus=4)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"), held_out=id_remainder("doc_id", 4) == 2)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -56,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_scoring": op2_lm_scoring,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_quality_rules": op4_quality_rules,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_language_id": op7_language_id,
         "op8_substring_dedup": op8_substring_dedup,
         "op10_best_two_fit": op10_best_two_fit,
     }
