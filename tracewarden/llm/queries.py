@@ -15,6 +15,7 @@ from .packing import pack
 from .quality_classifier import classify_quality
 from .quality_rules import clean_lines
 from .substring_dedup import remove_repeats
+from .toxicity import score_toxicity
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -43,6 +44,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out=1, modulus=3)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out=2, modulus=4)
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_scoring": op2_lm_scoring,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_quality_rules": op4_quality_rules,
+        "op5_toxicity": op5_toxicity,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_language_id": op7_language_id,
         "op8_substring_dedup": op8_substring_dedup,
