@@ -29,7 +29,7 @@ from .common import WordTable, discard, hash_words, materialise, mix, ngram_hash
 BANDS, ROWS = 30, 5
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
-BLOCK = 1024
+BLOCK = 512
 #: A true link at the threshold is thrown away by the estimate only beyond this many standard deviations.
 MARGIN_SIGMA = 5.0
 
@@ -182,58 +182,71 @@ def confirm_pairs(percent: int):
     return run
 
 
-def compare_blocks(least: float):
-    """Rows sorted by block: (block, k, side, c, comp, n, regs) -> candidate pairs of different components.
+def compare_blocks(least: float, percent: int):
+    """Rows sorted by block: (block, k, side, c, comp, n, regs, sets) -> confirmed links between different components.
 
     Side 0 holds the block's members, side 1 those that are to be compared with them. A pair that meets in several bands is
-    reported in the first only.
+    looked at in the first only. Estimates go first; what passes is confirmed on the full sets, best estimates first, and
+    members that a confirmed link has joined meanwhile are not compared any more. So a block yields fewer links than it has
+    members, however many of its pairs are similar.
     """
 
-    def block(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        k, side, c, comp, n, regs = (np.concatenate(x) for x in zip(*rows, strict=True))
+    def block(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        k, side, c, comp, n, regs = (np.concatenate(x) for x in list(zip(*rows, strict=True))[:6])
+        sets = [s for r in rows for s in r[6]]
         band = int(k[0]) & 31
+        comp = np.unique(comp, return_inverse=True)[1]
         m, u = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        r_m, c_m, comp_m, n_m = regs[m], c[m], comp[m], n[m]
         left, right = [], []
         for i in u:
-            cand = np.flatnonzero(comp_m != comp[i])
+            cand = m[comp[m] != comp[i]]
             if not len(cand):
                 continue
-            eq = r_m[cand] == regs[i]
-            est = estimate(eq.sum(axis=1), n_m[cand], np.full(len(cand), n[i]))
+            eq = regs[cand] == regs[i]
+            est = estimate(eq.sum(axis=1), n[cand], np.full(len(cand), n[i]))
             good = np.flatnonzero(est >= least)
-            if len(good):
-                first = eq[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-                hit = c_m[cand[good[first]]]
-                left.append(np.minimum(hit, c[i]))
-                right.append(np.maximum(hit, c[i]))
-        empty = np.empty(0, np.int64)
-        return (np.concatenate(left) if left else empty), (np.concatenate(right) if right else empty)
+            good = good[eq[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            todo = cand[good[np.argsort(-est[good], kind="stable")]]
+            own = np.frombuffer(sets[i], np.uint64)
+            take = 8
+            while len(todo):
+                head, todo = todo[:take], todo[take:]
+                take *= 4
+                flat = np.frombuffer(b"".join(sets[j] for j in head), np.uint64)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                inter = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(n[head]) - n[head])
+                hit = head[100 * inter >= percent * (len(own) + n[head] - inter)]
+                for j in hit:
+                    if comp[j] != comp[i]:
+                        left.append(min(int(c[i]), int(c[j])))
+                        right.append(max(int(c[i]), int(c[j])))
+                        comp[comp == comp[j]] = comp[i]
+                todo = todo[comp[todo] != comp[i]]
+        return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[np.ndarray, ...]] = []
+        rows: list[tuple] = []
         current = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            x, y = block(rows)
+            rows.clear()
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy(zero_copy_only=False)
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)] + [_regs(batch.column(6))]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)] + [_regs(batch.column(6)), batch.column(7).to_pylist()]
             cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            left, right = [], []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if current is not None and key[s] != current and rows:
-                    x, y = block(rows)
-                    left.append(x)
-                    right.append(y)
-                    rows = []
+                if rows and key[s] != current:
+                    yield from done()
                 current = key[s]
                 rows.append(tuple(x[s:e] for x in cols))
-            if left and sum(map(len, left)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
         if rows:
-            x, y = block(rows)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            yield from done()
 
     return run
 
@@ -301,20 +314,13 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     def side(x: str) -> DataFrame:
         return info.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
 
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs whose full sets, recomputed from the texts, are similar enough."""
-        need = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    def full_sets(need: DataFrame, name: str) -> DataFrame:
+        """(c, sets) of the classes named in need, recomputed from the text of one of their documents."""
         of = classes.select("c", F.col("rep").alias("doc_id")).join(need, "c", "left_semi")
         texts = docs.join(of.select("doc_id").distinct(), "doc_id", "left_semi")
         sets = texts.mapInArrow(signature_rows(shingle, True), f"doc_id {id_type}, n long, c long, sets binary")
         sets = sets.join(need, "c", "left_semi").groupBy("c").agg(F.first("sets").alias("sets"))
-        sets = materialise(sets, f"{name}-sets", folder)
-        one = sets.select(F.col("c").alias("a"), F.col("sets").alias("sa"))
-        two = sets.select(F.col("c").alias("b"), F.col("sets").alias("sb"))
-        full = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-        out = materialise(full.mapInArrow(confirm_pairs(percent), "a long, b long"), f"{name}-linked", folder)
-        discard(spark, f"{folder}/{name}-sets")
-        return out
+        return materialise(sets, f"sets-{name}", folder)
 
     # 1. every member against its bucket's leader
     leader = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("c", "k").alias("o"), F.col("c").alias("c"))).alias("l"))
@@ -323,7 +329,11 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     pairs = met.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
     pairs = materialise(pairs.mapInArrow(estimate_pairs(least), "a long, b long"), "pairs-1", folder)
-    links = confirm(pairs, "first")
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "1")
+    one = sets.select(F.col("c").alias("a"), F.col("sets").alias("sa"))
+    two = sets.select(F.col("c").alias("b"), F.col("sets").alias("sb"))
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+    links = materialise(full.mapInArrow(confirm_pairs(percent), "a long, b long"), "links-1", folder)
     label = components(links, folder, "comp-1")
 
     # 2. members of different components that still share a bucket
@@ -345,11 +355,12 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     cells = members.select("k", "c", "comp", "side", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).union(
         others.select("k", "c", "comp", "side", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
     )
-    cells = cells.join(info, "c").select(F.xxhash64("k", "i", "j").alias("block"), "k", "side", "c", "comp", "n", "regs")
+    sets = full_sets(open_rows.select("c").distinct(), "2")
+    cells = cells.join(info, "c").join(sets, "c")
+    cells = cells.select(F.xxhash64("k", "i", "j").alias("block"), "k", "side", "c", "comp", "n", "regs", "sets")
     cells = cells.repartition("block").sortWithinPartitions("block", "k")
-    rest = cells.mapInArrow(compare_blocks(least), "a long, b long").distinct()
-    rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "pairs-2", folder)
-    links = links.union(confirm(rest, "second"))
+    more = materialise(cells.mapInArrow(compare_blocks(least, percent), "a long, b long"), "links-2", folder)
+    links = links.union(more)
     label = components(links, folder, "comp-2")
 
     # classes back to documents
@@ -359,5 +370,5 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     of_class = materialise(low.join(smallest, "comp").select("c", "component_id"), "of-class", folder)
     out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(of_class, "c", "left")
     cid = F.coalesce("component_id", "doc_id")
-    discard(spark, *(f"{folder}/{x}" for x in ("bands", "shared", "rows", "leader", "tagged", "parts", "pairs-1", "pairs-2", "low", "smallest", "comp-1")))
+    discard(spark, *(f"{folder}/{x}" for x in ("bands", "shared", "rows", "leader", "tagged", "parts", "pairs-1", "sets-1", "sets-2", "low", "smallest")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
