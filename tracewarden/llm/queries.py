@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_remainder
+from .decontamination import find_leaks
 from .language_id import identify_languages
 from .lm_scoring import score_documents
 from .near_dedup import near_duplicates
@@ -62,6 +63,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(_table(spark, sf_dir, "documents"), tokenizer_file(), limit=2048, end_id=0, with_ids=False)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_classifier": op6_quality_classifier,
         "op7_language_id": op7_language_id,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_decontamination": op9_decontamination,
         "op10_best_two_fit": op10_best_two_fit,
     }
 
