@@ -22,33 +22,71 @@ from pyspark.sql import functions as F
 
 from .common import materialise, scratch_dir, ship, utf8
 
-#: Words whose ids a worker remembers.
-ID_TABLE = 300_000
+#: Words whose ids a worker remembers, and as many from before.
+ID_TABLE = 200_000
 
 #: An ASCII-lettered end and what follows never share a token, so both can be looked up apart.
 LETTERS_THEN_MARKS = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([.,;:!?|#*$%&]+)\Z")
 
 
+#: Letters whose case and normal form are plain, so that the vocabulary's model can be asked without its normaliser.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies spell bytes: printable Latin-1 characters stand for themselves, the others follow."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class IdTable(dict):
     """Bytes without ASCII white space -> their token ids as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words, end to end.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words, end to end. A full
+    table becomes the old one, from which words that are met again come back without being tokenized.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.encode = tokenizer.encode
+        self.spell = tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= ID_TABLE:
+            self.old = dict(self)
             self.clear()
+        out = self.old.get(word)
+        if out is None:
+            out = self.look_up(word)
+        self[word] = out
+        return out
+
+    def look_up(self, word: bytes) -> bytes:
         m = LETTERS_THEN_MARKS.fullmatch(word)
         if m:
-            out = self[m[1]] + self[m[2]]
+            return self[m[1]] + self[m[2]]
+        text = word.decode("utf-8")
+        if PLAIN.fullmatch(text):
+            spelled = text.lower().encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = [x.id for x in self.spell(spelled)]
         else:
-            out = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = out
-        return out
+            ids = self.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+
+#: One table per worker process and vocabulary; workers run many tasks.
+_TABLES: dict[str, IdTable] = {}
+
+
+def id_table(path: str) -> IdTable:
+    if path not in _TABLES:
+        from tokenizers import Tokenizer
+
+        _TABLES[path] = IdTable(Tokenizer.from_file(path))
+    return _TABLES[path]
 
 
 def text_ids(text: bytes, table: IdTable) -> bytes:
@@ -59,9 +97,7 @@ def text_ids(text: bytes, table: IdTable) -> bytes:
 
 def piece_rows(tokenizer_path: str, limit: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        table = IdTable(Tokenizer.from_file(tokenizer_path))
+        table = id_table(tokenizer_path)
         end = int(end_id).to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         ranks: dict[int, int] = defaultdict(int)
