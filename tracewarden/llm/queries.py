@@ -17,6 +17,8 @@ from .quality_classifier import classify_quality
 from .quality_rules import clean_lines
 from .substring_dedup import remove_repeats
 from .toxicity import score_toxicity
+from .url_filters import filter_urls
+from .url_list import EVENTS, FIRST_MINUTE, MINUTES, STEP
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -30,6 +32,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minute = F.pmod(F.col("page_id") * STEP, F.lit(MINUTES))
+    fetched = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_MINUTE).cast("timestamp")) + minute * 60)
+    captures = _table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    events = spark.createDataFrame(EVENTS, "list_name string, kind string, pattern string, action string, event string, listed_at string")
+    out = filter_urls(captures, events)
+    return out.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_documents(_table(spark, sf_dir, "documents"), held_out=id_remainder("doc_id", 7) == 2)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -74,6 +85,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": op1_url_filters,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_quality_rules": op4_quality_rules,
@@ -87,4 +99,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import op1_sql, op3_sql, op4_sql, op8_sql
+
+    return {"op1_url_filters": op1_sql(), "op3_near_duplicates": op3_sql(), "op4_quality_rules": op4_sql(), "op8_substring_dedup": op8_sql()}
