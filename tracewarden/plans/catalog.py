@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import detector_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (detector_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
