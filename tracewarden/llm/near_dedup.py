@@ -292,8 +292,8 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     smallest doc_id that links reach, kept is doc_id = component_id, class_id names the set itself (equal sets, equal id).
 
     Null, empty and white-space texts have no shingles, are linked with nothing and are kept. Rows that repeat a doc_id are
-    judged row by row on their own text. A null doc_id is carried along and is never a component_id unless all ids of the
-    component are null. An empty table gives an empty result. Other columns are ignored.
+    judged row by row on their own text. A row without doc_id joins the rows of equal set, if these have an id; sets of such
+    rows alone are linked with nothing, and their component_id is null. An empty table gives an empty result. Other columns are ignored.
     """
     spark = documents.sparkSession
     ship(spark)
