@@ -1,12 +1,13 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every passage with block-max WAND.
 
 The index holds the test items, in blocks of BLOCK neighbours. For each term it keeps the items' BM25 impacts, each divided
-by the score an item gives itself, and per block the largest of them. A passage adds up the block maxima of its terms;
-only blocks that could reach the threshold are scored item by item, and every item at or above it is retrieved. Overlap of
-question and answer is then verified in the document around the passage.
+by the score an item gives itself, the largest of them per block, and the largest of all. A passage first adds up the
+overall maxima of its words; where that could reach the threshold, the block maxima of its distinct terms; and only blocks
+that still could are scored item by item. Every item at or above the threshold is retrieved. Overlap of question and answer
+is then verified in the document around the passage. All passages of a slice of text are bounded at once, in numpy.
 
-Documents are never moved: the index is broadcast and read by every task. It is cut into slices of at most SLICE items, and
-a slice is bounded in size, so a large benchmark costs more passes over the same rows and not more memory.
+Documents are never moved: the index is broadcast and read by every task. It comes in slices of at most SLICE items, of
+which a pass over the documents holds at most GROUP; a larger benchmark costs more passes, not more memory.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from .common import WordTable, ngram_hashes, ship, slices, utf8
 
 #: BM25 parameters.
 K1, B = 1.2, 0.75
-BLOCK = 8
-#: Items of one broadcast slice, and the longest item in words that counts for passage length.
-SLICE, LONGEST = 4096, 512
+BLOCK = 4
+#: Items of one slice of the index, slices of one broadcast, and the longest item in words that counts for passage length.
+SLICE, GROUP, LONGEST = 512, 8, 512
 #: Retrieval: share of an item's score for itself that a passage must reach.
 THRESHOLD = 0.45
 SHINGLE = 5
@@ -95,124 +96,114 @@ def build_index(ids: list, texts: list[bytes]) -> dict:
     own = np.bincount(col, impact, minlength=n)
     impact = (impact / np.maximum(own[col], 1e-9)).astype(np.float32)
     blocks = -(-n // BLOCK)
-    top = np.zeros((len(terms) + 1, blocks), np.float32)  # the last row is for words outside the index
+    top = np.zeros((len(terms), blocks), np.float32)
     np.maximum.at(top, (row, col // BLOCK), impact)
-    order = np.lexsort((col, row))
+    parts = []  # per block its terms, and their impacts on each of its items
+    for k in range(blocks):
+        own_rows = np.flatnonzero(col // BLOCK == k)
+        t, place = np.unique(row[own_rows], return_inverse=True)
+        m = np.zeros((len(t), BLOCK), np.float32)
+        m[place, col[own_rows] - k * BLOCK] = impact[own_rows]
+        parts.append((t, m))
     return {
         "ids": ids,
         "terms": terms,
+        "most": top.max(axis=1, initial=0).astype(np.float64),
         "top": top,
-        "row_start": np.searchsorted(row[order], np.arange(len(terms) + 1)),
-        "item": col[order].astype(np.int32),
-        "impact": impact[order],
+        "blocks": parts,
         "question": [shingles(q) for q, _ in split],
         "answer": [shingles(a) for _, a in split],
         "passage": int(np.clip(2 * (length.max() if n else 1), 32, 2 * LONGEST)),
     }
 
 
-class TermTable(dict):
-    """Word bytes -> row of the term in the index, the row of none, or -1 for what is no word."""
+def passages(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first and last-but-one word (in all words) of passages of `size` words, each half over the one before;
+    a rest shorter than half a passage joins the last. Texts without words have none."""
+    half = size // 2
+    count = np.where(lengths > 0, np.maximum(-(-(lengths - half) // half), 1), 0)
+    text = np.repeat(np.arange(len(lengths)), count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    base = (np.cumsum(lengths) - lengths)[text]
+    first = base + nth * half
+    last = nth == count[text] - 1
+    return text, first, np.where(last, base + lengths[text], np.minimum(first + size, base + lengths[text]))
 
-    def __init__(self, index: dict):
-        super().__init__()
-        self.none = len(index["terms"])
-        self.hashes = PlainTable()
-        self.row = {int(h): i for i, h in enumerate(index["terms"])}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        h = self.hashes[word]
-        self[word] = out = self.row.get(h, self.none) if h else -1
-        return out
-
-
-def passage_starts(n: int, size: int) -> range:
-    """Passages of `size` words, each half over the one before; a rest shorter than half a passage joins the last."""
-    return range(0, max(n - size // 2, 1), size // 2)
-
-
-def retrieve(rows: np.ndarray, index: dict) -> list[tuple[int, int, float]]:
-    """(passage start, item, score) at or above THRESHOLD for one document's term rows."""
-    none, size = len(index["terms"]), index["passage"]
-    at = np.flatnonzero(rows != none)
-    if not len(at):
+def retrieve(h: np.ndarray, lengths: np.ndarray, index: dict) -> list[tuple[int, int, int, float]]:
+    """(text, passage's first word in all words, item, score) at or above THRESHOLD, for texts' words laid end to end."""
+    terms = index["terms"]
+    if not len(terms) or not len(h):
         return []
-    known = rows[at]
-    starts = np.array(passage_starts(len(rows), size))
-    lo, hi = np.searchsorted(at, starts), np.searchsorted(at, np.minimum(starts + size, len(rows)))
-    hi[-1] = len(at)
-    out = []
-    owner = np.repeat(np.arange(len(starts)), hi - lo)
-    flat = np.concatenate([known[a:b] for a, b in zip(lo, hi, strict=True)]) if len(owner) else known[:0]
-    if not len(flat):
+    text, first, end = passages(lengths, index["passage"])
+    row = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    known = terms[row] == h
+    most = np.zeros(len(h) + 1)
+    np.cumsum(np.where(known, index["most"][row], 0), out=most[1:])
+    open_ = np.flatnonzero(most[end] - most[first] >= THRESHOLD - 1e-6)
+    if not len(open_):
         return []
-    # each word counts once per passage
-    pair = np.unique(owner * (none + 1) + flat)
-    owner, flat = pair // (none + 1), pair % (none + 1)
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    bound = np.add.reduceat(index["top"][flat], first, axis=0)
-    end = np.append(first[1:], len(flat))
-    for p, b in zip(*np.nonzero(bound >= THRESHOLD - 1e-6), strict=True):
-        score = np.zeros(BLOCK)
-        for t in flat[first[p] : end[p]]:
-            s, e = index["row_start"][t], index["row_start"][t + 1]
-            i = s + np.searchsorted(index["item"][s:e], b * BLOCK)
-            while i < e and index["item"][i] < (b + 1) * BLOCK:
-                score[index["item"][i] - b * BLOCK] += index["impact"][i]
-                i += 1
-        for k in np.flatnonzero(score >= THRESHOLD):
-            out.append((int(starts[owner[first[p]]]), int(b * BLOCK + k), float(score[k])))
+    # distinct terms of each passage that is still open
+    size = end[open_] - first[open_]
+    at = np.repeat(first[open_] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    owner = np.repeat(np.arange(len(open_)), size)[known[at]]
+    pair = np.unique(owner * len(terms) + row[at[known[at]]])
+    owner, term = pair // len(terms), pair % len(terms)
+    cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
+    out = []
+    for s in range(0, len(cut), 4096):  # bounds of so many passages at once
+        lo = cut[s]
+        hi = cut[s + 4096] if s + 4096 < len(cut) else len(owner)
+        bound = np.add.reduceat(index["top"][term[lo:hi]], cut[s : s + 4096] - lo, axis=0)
+        for p, k in zip(*np.nonzero(bound >= THRESHOLD - 1e-5), strict=True):
+            b = cut[s + p]
+            e = cut[s + p + 1] if s + p + 1 < len(cut) else len(owner)
+            own, impact = index["blocks"][k]
+            place = np.minimum(np.searchsorted(own, term[b:e]), len(own) - 1)
+            score = impact[place[own[place] == term[b:e]]].sum(axis=0)
+            q = open_[owner[b]]
+            out += [(int(text[q]), int(first[q]), int(k * BLOCK + i), float(score[i])) for i in np.flatnonzero(score >= THRESHOLD)]
     return out
 
 
-def leak_rows(shared):
+def leak_rows(shared, item_type: pa.DataType):
     """(doc_id, text) -> one row per verified leak."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        table = TermTable(index)
-        size = index["passage"]
-        item_type = pa.array(index["ids"]).type if index["ids"] else pa.int64()
+        table = PlainTable()
         for batch in batches:
             texts = utf8(batch.column(1))
-            source, item, start, score, q_share, a_share = [], [], [], [], [], []
+            found: list[tuple] = []
             for a, b in slices(texts):
-                for d in range(a, b):
-                    words = texts[d].split()
-                    rows = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-                    rows = rows[rows >= 0]
-                    if not len(rows):
-                        continue
-                    h = None
-                    best: dict[int, tuple] = {}
-                    for s, i, x in retrieve(rows, index):
-                        h = plain_hashes(words, table.hashes) if h is None else h
-                        near = shingles_near(h, s, size)
+                parts = [plain_hashes(x.split(), table) for x in texts[a:b]]
+                lengths = np.array([len(x) for x in parts], np.int64)
+                h, base = np.concatenate(parts), np.cumsum(lengths) - lengths
+                for index in shared.value:
+                    best: dict[tuple[int, int], tuple] = {}
+                    for d, at, i, x in retrieve(h, lengths, index):
+                        if (d, i) in best and best[d, i][1] >= x:
+                            continue
+                        near = shingles_near(parts[d], at - base[d], index["passage"])
                         q, n = overlap(index["question"][i], near), overlap(index["answer"][i], near)
-                        if q >= QUESTION and n >= ANSWER and (i not in best or x > best[i][1]):
-                            best[i] = (s, x, q, n)
-                    for i, (s, x, q, n) in best.items():
-                        source.append(d)
-                        item.append(index["ids"][i])
-                        start.append(s)
-                        score.append(x)
-                        q_share.append(q)
-                        a_share.append(n)
-            if source:
+                        if q >= QUESTION and n >= ANSWER:
+                            best[d, i] = (int(at - base[d]), x, q, n)
+                    found += [(a + d, index["ids"][i], *v) for (d, i), v in best.items()]
+            if found:
+                source, item, start, score, q_share, a_share = zip(*found, strict=True)
                 cols = [batch.column(0).take(pa.array(source)), pa.array(item, item_type), pa.array(start, pa.int64()), pa.array(score, pa.float64()), pa.array(q_share, pa.float64()), pa.array(a_share, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "start", "score", "question_share", "answer_share"])
 
-    def shingles_near(h: np.ndarray, s: int, size: int) -> np.ndarray:
-        """Shingles of the passage and half a passage on either side."""
-        part = h[max(0, s - size // 2) : s + size + size // 2]
-        return np.concatenate([ngram_hashes(part, k) for k in range(1, SHINGLE + 1)])
+    return run
 
-    def overlap(own: np.ndarray, near: np.ndarray) -> float:
-        return 1.0 if not len(own) else float(np.isin(own, near).mean())
 
-    return run
+def shingles_near(h: np.ndarray, s: int, size: int) -> np.ndarray:
+    """Shingles, of up to SHINGLE words, of a passage and half a passage on either side."""
+    part = h[max(0, s - size // 2) : s + size + size // 2]
+    return np.concatenate([ngram_hashes(part, k) for k in range(1, SHINGLE + 1)])
+
+
+def overlap(own: np.ndarray, near: np.ndarray) -> float:
+    return 1.0 if not len(own) else float(np.isin(own, near).mean())
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -233,18 +224,30 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = f"doc_id {id_type}, item_id {item_type}, start long, score double, question_share double, answer_share double"
     docs = documents.select("doc_id", "text")
     found = None
+    items = benchmark.select("item_id", "text")
+    arrow_type = pa.int64() if item_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
+    kinds_of_pass = kinds if arrow_type == pa.int64() and item_type == "bigint" or item_type == "string" else kinds.replace(f"item_id {item_type}", "item_id " + ("bigint" if arrow_type == pa.int64() else "string"))
     held: list = []
+    group: list[dict] = []
+
+    def search() -> None:
+        nonlocal found, group
+        part = docs.mapInArrow(leak_rows(spark.sparkContext.broadcast(group), arrow_type), kinds_of_pass).withColumn("item_id", F.col("item_id").cast(item_type))
+        found, group = part if found is None else found.unionByName(part), []
 
-    def search(rows: list) -> DataFrame:
-        index = build_index([r["item_id"] for r in rows], [(r["text"] or "").encode() for r in rows])
-        return docs.mapInArrow(leak_rows(spark.sparkContext.broadcast(index)), kinds)
+    def close() -> None:
+        nonlocal held
+        group.append(build_index([r["item_id"] for r in held], [(r["text"] or "").encode() for r in held]))
+        held = []
+        if len(group) == GROUP:
+            search()
 
-    for row in benchmark.select("item_id", "text").toLocalIterator():
+    for row in items.toLocalIterator():
         held.append(row)
         if len(held) == SLICE:
-            part = search(held)
-            found, held = part if found is None else found.union(part), []
+            close()
     if held:
-        part = search(held)
-        found = part if found is None else found.union(part)
+        close()
+    if group:
+        search()
     return spark.createDataFrame([], kinds) if found is None else found
