@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detector_queries, rule_queries, signal_queries, structure_queries
+from . import detector_queries, rule_queries, signal_queries, stream_queries, structure_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (detector_queries, rule_queries, structure_queries, signal_queries)
+_PARTS = (detector_queries, rule_queries, structure_queries, signal_queries, stream_queries)
 
 
 def queries() -> dict[str, Query]:
