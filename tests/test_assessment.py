@@ -61,3 +61,34 @@ def test_registry(spark):
     assert skipped == ["other"] and found["count"].first()["n"] == 2
     t = spark.createDataFrame([("access", "impact", 0.7), ("access", "exfil", 0.3), ("impact", "x", 1.0)], "from string, to string, p double")
     assert {(r["to"], r["covered"]) for r in reg.frontier(["count"], t).collect()} == {("impact", True), ("exfil", False)}
+
+
+def test_store_and_report(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from tracewarden.plans import lineage as li
+    from tracewarden.plans import store
+
+    root = li.derive("store-test", lambda x: x, [li.source(b"e", evidence=True)])
+    v = li.assemble(root, "T1", {root.id: li.Confidence.detector(True, 0.9, 0.01)}, {}, attestations=None)
+    path = str(tmp_path / "v")
+    store.save_verdicts(spark.createDataFrame([store.verdict_row(v), ("x", "{}")], "cid string, record string"), path, "run1")
+    assert store.load_verdict(spark, path, root.id) == json.loads(json.dumps(v.contract()))
+    assert store.load_verdicts(spark, path, "run1").where("intact").count() == 2
+    assert "decision: true" in store.report(v.contract()) and "->" in store.dot(root)
+    spark.createDataFrame([("y", "{}", "bad")], "cid string, record string, digest string").write.parquet(path + "/tag=run2")
+    with pytest.raises(store.DigestMismatch):
+        store.load_verdict(spark, path, "y")
+    a, c = spark.createDataFrame([(1,), (2,)], "i int"), spark.createDataFrame([(2,), (3,)], "i int")
+    assert {tuple(r) for r in store.diff(a, c).collect()} == {(1, "removed"), (3, "added")}
+
+
+def test_permutation_null(spark):
+    from tracewarden.operators import detectors as d
+
+    rows = [(h, t) for h in ("p", "q") for t in range(0, 200, 10)] + [("r", t) for t in range(3, 200, 13)] + [("r", 199), ("p", 7)]
+    act = spark.createDataFrame(rows, "entity string, bin long")
+    got = {(r["a"], r["b"]): r["p_value"] for r in d.coordination_null(act, d.coordination(act)).collect()}
+    assert got[("p", "q")] == 1 / 200 and all(p > 0.01 for k, p in got.items() if "r" in k)
