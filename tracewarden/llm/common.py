@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 #: Entries that a worker's word table holds before it starts afresh (about 170 bytes each).
-WORD_TABLE = 200_000
+WORD_TABLE = 160_000
 
 #: Bytes of text that are turned into words at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -112,6 +112,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, which bounds what a worker holds as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about limit bytes each, at least one text."""
     at, size = 0, 0

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, ngram_hashes, ship, slices, utf8
+from .common import ngram_hashes, pieces, ship, slices, utf8, WordTable
 
 #: BM25 parameters.
 K1, B = 1.2, 0.75
@@ -171,7 +171,7 @@ def leak_rows(shared, item_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PlainTable()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = utf8(batch.column(1))
             found: list[tuple] = []
             for a, b in slices(texts):

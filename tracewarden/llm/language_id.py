@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, starts_of, utf8
+from .common import pieces, ship, slices, starts_of, utf8
 
 BUCKETS = 8192
 ORDERS = (1, 2, 3, 4)
@@ -137,7 +137,7 @@ def decode(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np
 def predict_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts = utf8(batch.column(1))
             for a, b in slices(texts, 8_000_000):
                 words, index, starts = text_words(texts[a:b])

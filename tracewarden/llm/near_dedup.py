@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, discard, hash_words, materialise, mix, ngram_hashes, scratch_dir, ship, slices, utf8
+from .common import discard, hash_words, materialise, mix, ngram_hashes, pieces, scratch_dir, ship, slices, utf8, WordTable
 
 BANDS, ROWS = 30, 5
 BUCKETS = BANDS * ROWS
@@ -113,7 +113,7 @@ def _regs(column: pa.Array) -> np.ndarray:
 def signature_rows(n: int, with_sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = utf8(batch.column(1))
             for a, b in slices(texts):
                 flat, counts = shingle_sets(texts[a:b], n, table)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_dir, ship, utf8
+from .common import materialise, pieces, scratch_dir, ship, utf8
 
 #: Words whose ids a worker remembers, and as many from before.
 ID_TABLE = 200_000
@@ -102,7 +102,7 @@ def piece_rows(tokenizer_path: str, limit: int, end_id: int, with_ids: bool):
         part = TaskContext.get().partitionId()
         ranks: dict[int, int] = defaultdict(int)
         width = 4 * limit
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column(0)
             source, piece, start, length, crc, rank, payload = [], [], [], [], [], [], []
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, discard, hash_words, materialise, mix, ngram_hashes, scratch_dir, ship, slices, starts_of, utf8
+from .common import discard, hash_words, materialise, mix, ngram_hashes, pieces, scratch_dir, ship, slices, starts_of, utf8, WordTable
 
 ANCHOR_WORDS = 5
 FILTER_BITS = 28
@@ -96,7 +96,7 @@ def slot_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
-        for batch in batches:
+        for batch in pieces(batches):
             for _, flat, starts in _texts(batch, 0, table):
                 doc, _, _, anchor, _ = factors(flat, starts, window)
                 if not len(doc):
@@ -135,7 +135,7 @@ def factor_rows(window: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = WordTable(), np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in pieces(batches):
             for a, flat, starts in _texts(batch, 0, table):
                 doc, s, count, anchor, whole = factors(flat, starts, window)
                 slot = _slot(anchor)
@@ -153,7 +153,7 @@ def window_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
-        for batch in batches:
+        for batch in pieces(batches):
             places = batch.column(2)
             for a, flat, starts in _texts(batch, 0, table):
                 if len(flat) < window:
@@ -174,7 +174,7 @@ def window_rows(window: int):
 
 def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) -> (doc_id, n_words, n_removed, text of the words outside all spans, merged spans)."""
-    for batch in batches:
+    for batch in pieces(batches):
         texts, spans = utf8(batch.column(1)), batch.column(2)
         n_words, n_removed, kept, merged = [], [], [], []
         for a, b in slices(texts):
