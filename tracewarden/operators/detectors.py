@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions.stats import DIGITS, circular, circular_distance, entropy_of_counts, herfindahl_of_counts
+from tracewarden.functions.stats import DIGITS, circular, circular_distance, entropy_of_counts
 
 
 def seconds(ts: Column | str) -> Column:

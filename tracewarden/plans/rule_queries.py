@@ -178,10 +178,10 @@ ORACLES = {
     "rule_hits": f"SELECT rule_id, count(*) AS hits FROM ({_FIRED}) GROUP BY 1",
     "rule_atoms_truth": f"SELECT atom_id, count(*) AS n_true, min(event_id) AS first_event FROM ({_TRUTH}) GROUP BY 1",
     "rule_selectivity": f"SELECT a.atom_id, count(t.event_id) AS n_true, round(count(t.event_id) / (SELECT count(*) FROM events), 9) AS share FROM (VALUES {_ATOMS}) a(atom_id) LEFT JOIN ({_TRUTH}) t ON a.atom_id = t.atom_id GROUP BY 1",
-    "rule_engine_agreement": f"SELECT rule_id, count(*) AS shared_atoms, count(*) AS direct, 0 AS differ FROM ({_FIRED}) GROUP BY 1",
+    "rule_engine_agreement": f"SELECT rule_id, count(*) AS shared_atoms, count(*) AS direct, CAST(0 AS BIGINT) AS differ FROM ({_FIRED}) GROUP BY 1",
     "rule_round": f"""WITH r(rule_id, level, severity) AS (SELECT * FROM {_values([(r.rule_id, r.level, corpus.SEVERITY.get(r.level, 0)) for r in _ROUND])}),
 h AS (SELECT rule_id, count(*) AS hits FROM ({_FIRED}) GROUP BY 1)
-SELECT rule_id, level, severity, hits, row_number() OVER (ORDER BY severity DESC, hits DESC, rule_id) AS place FROM r JOIN h USING (rule_id)""",
+SELECT rule_id, level, severity, hits, CAST(row_number() OVER (ORDER BY severity DESC, hits DESC, rule_id) AS INTEGER) AS place FROM r JOIN h USING (rule_id)""",
     "rule_audit": f"SELECT reason, count(*) AS n FROM {_values([(str(r['id']), rules.evaluability(r)[1]) for r in AUDIT_RULES])} t(rule_id, reason) GROUP BY 1",
     "rule_panel": f"""WITH c(technique, rule_id, class) AS (SELECT * FROM {_values(_PANEL)}), f AS (SELECT DISTINCT rule_id FROM ({_FIRED})),
 k AS (SELECT technique, class, bool_or(f.rule_id IS NOT NULL) AS fires FROM c LEFT JOIN f USING (rule_id) GROUP BY ALL)

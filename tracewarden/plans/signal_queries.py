@@ -141,7 +141,7 @@ SELECT series_id, "window", {stat} AS {name} FROM u"""
 
 def _blocks(n: int, agg: str) -> str:
     return f"""n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM s),
-b AS (SELECT series_id, block, {agg} FROM (SELECT series_id, x, CAST(t.block AS BIGINT) AS block, i - t.block * {n // 2} AS j FROM n, unnest(range(0, (n.n - {n}) // {n // 2} + 1)) AS t(block) WHERE n.n >= {n} AND i >= t.block * {n // 2} AND i < t.block * {n // 2} + {n}) GROUP BY ALL)"""
+b AS (SELECT series_id, block, {agg} FROM (SELECT series_id, x, CAST(t.block AS INTEGER) AS block, i - t.block * {n // 2} AS j FROM n, unnest(range(0, (n.n - {n}) // {n // 2} + 1)) AS t(block) WHERE n.n >= {n} AND i >= t.block * {n // 2} AND i < t.block * {n // 2} + {n}) GROUP BY ALL)"""
 
 
 _ALPHA, _RANK = g.ca_alpha(16, 0.01), 12
