@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, discard, hash_words, materialise, mix, scratch_dir, ship, slices, starts_of, utf8
+from .common import discard, materialise, mix, pieces, scratch_dir, ship, slices, starts_of, utf8
 
 #: Filter size as a power of two bits, blocks as a power of two, probes per entry.
 FILTER_BITS, BLOCK_BITS, PROBES = 28, 10, 3
@@ -62,22 +63,33 @@ def _block_of(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
 
 
-def tokens(texts: list[bytes], table: WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text and one end, end to end, and where each text starts."""
+class Numbering(dict):
+    """Words in the order in which they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens (the end is number 0), the tokens' numbers end to end, and where each text starts."""
     words = [x.lower().split() for x in texts]
     flat: list[bytes] = []
     for ws in words:
         flat += ws
         flat.append(END)
-    return hash_words(flat, table), starts_of(np.array([len(x) + 1 for x in words], np.int64))
+    number = Numbering({END: 0})
+    index = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+    return h, index, starts_of(np.array([len(x) + 1 for x in words], np.int64))
 
 
-def contexts(flat: np.ndarray, starts: np.ndarray, end: np.uint64) -> np.ndarray:
-    """The word before each token; the end stands before the first."""
-    before = np.empty_like(flat)
-    before[1:] = flat[:-1]
-    before[starts[:-1]] = end
-    return before
+def pair_codes(index: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """number of the token before * n + number of the token; the end stands before the first."""
+    before = np.empty_like(index)
+    before[1:] = index[:-1]
+    before[starts[:-1]] = 0
+    return before * n + index
 
 
 def word_key(h: np.ndarray) -> np.ndarray:
@@ -89,17 +101,23 @@ def pair_key(before: np.ndarray, h: np.ndarray) -> np.ndarray:
         return mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
-def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> (n, key, c): counts of words (n = 1, key = their hash) and of pairs (n = 2, key = pair_key)."""
-    table = WordTable()
-    end = np.uint64(table[END])
-    for batch in batches:
-        texts = utf8(batch.column(0))
-        for a, b in slices(texts, 8_000_000):
-            flat, starts = tokens(texts[a:b], table)
-            for n, key in ((1, flat), (2, pair_key(contexts(flat, starts, end), flat))):
-                k, c = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int8)), pa.array(k.view(np.int64)), pa.array(c.astype(np.int32))], names=["n", "key", "c"])
+def count_rows(n: int):
+    """Texts -> (key, c): counts of words (n = 1, key = their hash) or of pairs (n = 2, key = pair_key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2500):  # the larger a slice, the fewer rows are shuffled
+            texts = utf8(batch.column(0))
+            for a, b in slices(texts, 8_000_000):
+                h, index, starts = tokens(texts[a:b])
+                if n == 1:
+                    key, c = h, np.bincount(index, minlength=len(h))
+                    key, c = key[c > 0], c[c > 0]
+                else:
+                    code, c = np.unique(pair_codes(index, starts, len(h)), return_counts=True)
+                    key = pair_key(h[code // len(h)], h[code % len(h)])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.astype(np.int32))], names=["key", "c"])
+
+    return run
 
 
 def filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +132,16 @@ def filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def best(block: int) -> np.ndarray:
         x = np.concatenate(held[block])
-        order = np.lexsort((x["key"], -x["c"], x["n"]))
-        x = x[order]
-        cost = np.cumsum(code_of(x["c"]))
-        keep = cost <= room
-        if not keep.all():  # a whole level of counts goes or stays, so that results don't depend on key order
-            cut = x[int(keep.argmin())]
-            keep &= ~((x["n"] == cut["n"]) & (x["c"] <= cut["c"])) & (x["n"] <= cut["n"])
+        keep, left = np.zeros(len(x), bool), room
+        for n in (1, 2):  # a whole level of counts goes or stays, so that results don't depend on key order
+            own = x["n"] == n
+            level, m = np.unique(x["c"][own], return_counts=True)
+            fits = int((np.cumsum((code_of(level) * m)[::-1]) <= left).sum())
+            if fits:
+                keep |= own & (x["c"] >= level[-fits])
+                left -= int((code_of(level) * m)[-fits:].sum())
+            if fits < len(level):
+                break
         return x[keep]
 
     for batch in batches:
@@ -160,60 +181,66 @@ class LogFrequencyFilter:
     def __init__(self, data: bytes):
         self.bits = np.frombuffer(data, np.uint8)
 
-    def _has(self, key: np.ndarray, level: int) -> np.ndarray:
-        base = _block_of(key) << (FILTER_BITS - BLOCK_BITS)
-        ok = np.ones(len(key), bool)
-        for at in _bits_of(key, level):
-            at = at + base
-            ok &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-        return ok
+    def _hits(self, key: np.ndarray, level: int) -> np.ndarray:
+        """Numbers of the keys whose entry of this level is there; a probe is made only where the one before hit."""
+        mask = np.uint64((1 << (FILTER_BITS - BLOCK_BITS)) - 1)
+        left, base = np.arange(len(key)), _block_of(key) << (FILTER_BITS - BLOCK_BITS)
+        with np.errstate(over="ignore"):
+            x = mix(key ^ (np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)))
+            step = (x >> np.uint64(32)) | np.uint64(1)
+            for probe in range(PROBES):
+                if probe:
+                    x = mix(x + step)
+                at = (x & mask).astype(np.int64) + base
+                hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                left, base, x, step = left[hit], base[hit], x[hit], step[hit]
+        return left
 
     def counts(self, key: np.ndarray) -> np.ndarray:
-        """Decoded counts; 0 where the first probe misses."""
+        """Decoded counts; 0 where the first probe misses. Keys are probed block by block, so that a block stays cached."""
+        order = np.argsort(key)
+        key = key[order]
         code = np.zeros(len(key), np.int64)
         left = np.arange(len(key))
         level = 0
         while len(left):
             level += 1
-            left = left[self._has(key[left], level)]
+            left = left[self._hits(key[left], level)]
             code[left] = level
-        return np.where(code > 0, count_of(code), 0.0)
+        out = np.empty(len(key))
+        out[order] = np.where(code > 0, count_of(code), 0.0)
+        return out
 
 
 def score_rows(lm, head, total: int, distinct: int):
     """(doc_id, text, held_out) -> scores, with the part of the baseline that the table of frequent words settles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable()
-        end = np.uint64(table[END])
         model = LogFrequencyFilter(lm.value)
         keys, log_p = head.value
         floor = 1.0 / (total + distinct + 1)
-        for batch in batches:
+        for batch in pieces(batches, 1500):  # larger slices than elsewhere: the frequent words' many probes are made once for each
             texts = utf8(batch.column(1))
-            for a, b in slices(texts):
-                flat, starts = tokens(texts[a:b], table)
-                h, back = np.unique(flat, return_inverse=True)
+            for a, b in slices(texts, 5_000_000):
+                h, back, starts = tokens(texts[a:b])
                 i = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 frequent = keys[i] == h if len(keys) else np.zeros(len(h), bool)
                 base = np.where(frequent, log_p[i] if len(keys) else 0.0, 0.0)
                 c = model.counts(word_key(h))
                 p1 = np.minimum((c + 1) * floor, 1.0)
-                before = contexts(flat, starts, end)
-                pair, first, where = np.unique(pair_key(before, flat), return_index=True, return_inverse=True)
-                joint = model.counts(pair)
-                ctx = c[np.minimum(np.searchsorted(h, before[first]), len(h) - 1)]
-                joint = np.minimum(joint, np.minimum(ctx, c[back[first]]))
-                prior = PRIOR * np.maximum(ctx, 1.0) ** PRIOR_POWER
-                p2 = np.minimum((joint + prior * p1[back[first]]) / (ctx + prior), 1.0)
+                pair, where = np.unique(pair_codes(back, starts, len(h)), return_inverse=True)
+                prev, word = pair // len(h), pair % len(h)
+                joint = np.minimum(model.counts(pair_key(h[prev], h[word])), np.minimum(c[prev], c[word]))
+                prior = PRIOR * np.maximum(c[prev], 1.0) ** PRIOR_POWER
+                p2 = np.minimum((joint + prior * p1[word]) / (c[prev] + prior), 1.0)
                 lp = np.log10(p2)[where]
                 at = starts[:-1]
                 known = frequent[back]
                 rare = np.flatnonzero(~known)
                 doc = np.repeat(np.arange(len(at)), np.diff(starts))
-                pairs, tf = np.unique(np.stack((doc[rare].astype(np.uint64), flat[rare]), 1), axis=0, return_counts=True) if len(rare) else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
-                offsets = np.searchsorted(pairs[:, 0], np.arange(len(at) + 1)).astype(np.int32)
-                inner = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64)), pa.array(tf.astype(np.int32))], names=["key", "tf"])
+                seldom, tf = np.unique(doc[rare] * len(h) + back[rare], return_counts=True)
+                offsets = np.searchsorted(seldom, np.arange(len(at) + 1) * len(h)).astype(np.int32)
+                inner = pa.StructArray.from_arrays([pa.array(h[seldom % len(h)].view(np.int64)), pa.array(tf.astype(np.int32))], names=["key", "tf"])
                 cols = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(starts)), pa.array(np.add.reduceat(known.astype(np.int64), at))]
                 cols += [pa.array(np.add.reduceat(base[back], at)), pa.array(np.add.reduceat(lp, at)), pa.ListArray.from_arrays(pa.array(offsets), inner)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
@@ -238,9 +265,8 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     folder = scratch_dir(spark)
     docs = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("NOT held_out").select("text").mapInArrow(count_rows, "n byte, key long, c int")
-    # the words' exact counts, and with the pairs the filter
-    words = rows.where("n = 1").groupBy("key").agg(F.sum("c").alias("c"))
+    learn = docs.where("NOT held_out").select("text")
+    words = learn.mapInArrow(count_rows(1), "key long, c int").groupBy("key").agg(F.sum("c").alias("c"))
     words = materialise(words, "words", folder)
     size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = size["total"], size["distinct"]
@@ -251,16 +277,16 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
         if taken > HEAD:
             least = r["c"] + 1
             break
-    frequent = words.where(F.col("c") >= least).toPandas()
-    keys = frequent["key"].to_numpy(np.int64).view(np.uint64)
+    frequent = words.where(F.col("c") >= least).toArrow()  # columns, not row objects: 16 bytes an entry
+    keys = frequent["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    log_p = np.log10((frequent["c"].to_numpy(np.float64)[order] + 1) / (total + distinct + 1))
+    log_p = np.log10((frequent["c"].to_numpy().astype(np.float64)[order] + 1) / (total + distinct + 1))
     head = spark.sparkContext.broadcast((keys[order], log_p))
 
     # words are dealt to blocks by the key under which they are looked up
     block = F.shiftrightunsigned("key", 64 - BLOCK_BITS).cast("int").alias("block")
     single = words.select("key", "c").mapInArrow(word_blocks, "block int, n byte, key long, c long")
-    pairs = rows.where("n = 2").select(block, "n", "key", F.col("c").cast("long").alias("c"))
+    pairs = learn.mapInArrow(count_rows(2), "key long, c int").select(block, F.lit(2).cast("byte").alias("n"), "key", F.col("c").cast("long").alias("c"))
     # one exchange, by block; the sums per n-gram need no other
     both = pairs.union(single).repartition("block").groupBy("block", "n", "key").agg(F.sum("c").alias("c"))
     blocks = both.mapInArrow(filter_blocks, "block int, bits binary")
@@ -277,6 +303,7 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     log_c = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
     rest = seldom.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * log_c).alias("b"))
     rest = materialise(rest, "rest", folder)
+    discard(spark, f"{folder}/words")
     out = part.drop("rare").join(rest, "row", "left")
     return out.select(
         "doc_id",
