@@ -95,3 +95,31 @@ def test_filter_never_undercounts_and_prunes_whole_levels():
     got = lm.LogFrequencyFilter(bytes(bits)).counts(key)
     exact = count <= lm.EXACT
     assert (got[exact] >= count[exact]).all() and (got[exact] == count[exact]).mean() > 0.99
+
+
+def stored(*counts):
+    """What one block reads back for n-grams that came in so many batches."""
+    rng = np.random.default_rng(1)
+    keys = [rng.integers(0, 1 << (64 - lm.BLOCK_BITS), len(c), dtype=np.uint64) for c in counts]
+    rows = [[pa.array(np.zeros(len(k), np.int32)), pa.array(np.full(len(k), 2, np.int8)), pa.array(k.view(np.int64)), pa.array(c)] for k, c in zip(keys, counts, strict=True)]
+    (out,) = lm.filter_blocks(pa.RecordBatch.from_arrays(r, names=["block", "n", "key", "c"]) for r in rows)
+    return lm.LogFrequencyFilter(out.column(1)[0].as_py(), one=True).counts(np.concatenate(keys))
+
+
+def test_a_block_grows_until_it_stores_every_ngram():
+    count = np.where(np.arange(200_000) % 10 == 0, 5, 1)
+    got = stored(count)
+    assert (got >= count).all() and (got == count).mean() > 0.9
+
+
+def test_pair_counts_come_back_whole_from_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ROW_BITS", 3)  # many slices ask for the same pairs
+    rows = [(i, f"x y u{i}", False) for i in range(100)] + [(200, "x y", True), (201, "y x", True)]
+    got = {r["doc_id"]: r["score"] for r in run(spark, rows)}
+    n, v = 400, 103
+    code = lm.count_of(lm.code_of(np.array([100])))[0]
+    k = lm.PRIOR * code**lm.PRIOR_POWER
+    p1 = (code + 1) / (n + v + 1)
+    seen = 2 * math.log10((code + k * p1) / (code + k)) + math.log10(k * p1 / (code + k))
+    assert got[200] > seen - 1e-9  # a false positive of the unseen last pair may only raise it
+    assert got[200] > got[201]
