@@ -123,3 +123,12 @@ def test_pair_counts_come_back_whole_from_the_blocks(spark, monkeypatch):
     seen = 2 * math.log10((code + k * p1) / (code + k)) + math.log10(k * p1 / (code + k))
     assert got[200] > seen - 1e-9  # a false positive of the unseen last pair may only raise it
     assert got[200] > got[201]
+
+
+def test_late_rows_are_stored_like_early_ones():
+    rng = np.random.default_rng(2)
+    early, late = rng.geometric(0.75, 178_600), rng.geometric(0.75, 5_000)
+    got, count = stored(early, late), np.concatenate((early, late))
+    assert (got >= np.minimum(count, lm.EXACT)).all()
+    share = [(x == y).mean() for x, y in ((got[: len(early)], early), (got[len(early) :], late))]
+    assert min(share) > 0.9 and abs(share[0] - share[1]) < 0.02
