@@ -125,6 +125,21 @@ def test_slices_of_the_index_agree(spark, monkeypatch):
     assert one >= {(i, i) for i in range(40)} | {(99, i) for i in range(40)}
 
 
+@pytest.mark.parametrize("n", [513, 1100, 4000])
+def test_long_items_are_found_whole(spark, n):
+    rnd = random.Random(n)
+
+    def prose(k, mark):
+        return " ".join(f"{mark}{rnd.randrange(5000)}" for _ in range(k))
+
+    long = prose(n, "q") + ". " + prose(10, "a") + "."
+    half = " ".join(long.split()[: n // 2])
+    docs = [(1, f"{prose(700, 'z')} {long} {prose(900, 'z')}"), (2, f"{prose(700, 'z')} {half} {prose(3 * n, 'z')}"), (3, prose(6000, "z")), (4, long)]
+    bench = items() + [(70, long)]
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(1, 70), (4, 70)}
+
+
 def test_empty_sides(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")

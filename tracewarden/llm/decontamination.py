@@ -7,7 +7,9 @@ that still could are scored item by item. Every item at or above the threshold i
 is then verified in the document around the passage. All passages of a slice of text are bounded at once, in numpy.
 
 Documents are never moved: the index is broadcast and read by every task. It comes in slices of at most SLICE items, of
-which a pass over the documents holds at most GROUP; a larger benchmark costs more passes, not more memory.
+which a pass over the documents holds at most GROUP; a larger benchmark costs more passes, not more memory. Passages are
+twice as long as the longest item of their slice. So that short items keep short passages, items of more than LONGEST words
+have slices of their own, by doublings of length, with fewer items the longer they are.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .common import ngram_hashes, pieces, ship, slices, utf8, WordTable
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 BLOCK = 4
-#: Items of one slice of the index, slices of one broadcast, and the longest item in words that counts for passage length.
+#: Items of one slice of the index, slices of one broadcast, and the longest item in words that is indexed among the short.
 SLICE, GROUP, LONGEST = 512, 8, 512
 #: Retrieval: share of an item's score for itself that a passage must reach.
 THRESHOLD = 0.45
@@ -113,10 +115,15 @@ def build_index(ids: list, texts: list[bytes]) -> dict:
         "blocks": parts,
         "question": [shingles(q) for q, _ in split],
         "answer": [shingles(a) for _, a in split],
-        "passage": int(np.clip(2 * (length.max() if n else 1), 32, 2 * LONGEST)),
+        "passage": int(max(2 * (length.max() if n else 1), 32)),
     }
 
 
+def doublings(text: bytes) -> int:
+    """How often LONGEST must be doubled to reach the words of an item."""
+    return max(0, (len(text.split()) - 1) // LONGEST).bit_length()
+
+
 def passages(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, first and last-but-one word (in all words) of passages of `size` words, each half over the one before;
     a rest shorter than half a passage joins the last. Texts without words have none."""
@@ -227,7 +234,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", "text")
     arrow_type = pa.int64() if item_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
     kinds_of_pass = kinds if arrow_type == pa.int64() and item_type == "bigint" or item_type == "string" else kinds.replace(f"item_id {item_type}", "item_id " + ("bigint" if arrow_type == pa.int64() else "string"))
-    held: list = []
+    held: dict[int, list[tuple]] = {}
     group: list[dict] = []
 
     def search() -> None:
@@ -235,19 +242,21 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = docs.mapInArrow(leak_rows(spark.sparkContext.broadcast(group), arrow_type), kinds_of_pass).withColumn("item_id", F.col("item_id").cast(item_type))
         found, group = part if found is None else found.unionByName(part), []
 
-    def close() -> None:
-        nonlocal held
-        group.append(build_index([r["item_id"] for r in held], [(r["text"] or "").encode() for r in held]))
-        held = []
+    def close(long: int) -> None:
+        own = held.pop(long)
+        group.append(build_index([i for i, _ in own], [x for _, x in own]))
         if len(group) == GROUP:
             search()
 
     for row in items.toLocalIterator():
-        held.append(row)
-        if len(held) == SLICE:
-            close()
-    if held:
-        close()
+        text = (row["text"] or "").encode()
+        long = doublings(text)
+        own = held.setdefault(long, [])
+        own.append((row["item_id"], text))
+        if len(own) >= max(1, SLICE >> long):
+            close(long)
+    for long in sorted(held):
+        close(long)
     if group:
         search()
     return spark.createDataFrame([], kinds) if found is None else found
