@@ -19,6 +19,19 @@ from tracewarden.llm.queries import tokenizer_file
 from tracewarden.llm.substring_dedup import remove_repeats
 
 
+def own_keys(docs: DataFrame) -> DataFrame:
+    """docs and row_key, by which the stages' verdicts find their rows again: doc_id, or where ids repeat, that and the row's
+    hashes, so that rows of one id are judged apart. Rows without doc_id have no key. Only equal rows share one."""
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id"))
+    key = F.struct("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)).alias("r"))
+    return docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), key))
+
+
+def keyed_texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row_key").alias("doc_id"), "text")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on `labels`, scores as good."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,15 +39,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    gone = near_duplicates(docs, percent=80, shingle=5).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The document with the smallest doc_id of each group of near duplicates, and one of equal rows of one id."""
+    rows = own_keys(docs)
+    if rows.schema["row_key"].dataType != docs.schema["doc_id"].dataType:
+        one = rows.where("row_key IS NOT NULL").dropDuplicates()
+        rows = materialise(one.unionByName(rows.where("row_key IS NULL")), "rows", scratch_dir(spark))
+    gone = near_duplicates(keyed_texts(rows), percent=80, shingle=5).where("NOT kept").select(F.col("doc_id").alias("row_key"))
+    return rows.join(gone, "row_key", "left_anti").select(docs.columns)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without 13-word passages that start in an earlier document; texts left without a word go."""
-    cut = remove_repeats(docs, window=13).where("n_removed > 0").select("doc_id", "kept_text", (F.col("n_removed") == F.col("n_words")).alias("empty")).dropDuplicates(["doc_id"])
-    out = docs.join(cut, "doc_id", "left").where("empty IS NULL OR NOT empty")
+    rows = own_keys(docs)
+    cut = remove_repeats(keyed_texts(rows), window=13).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("row_key"), "kept_text", (F.col("n_removed") == F.col("n_words")).alias("empty")).dropDuplicates(["row_key"])
+    out = rows.join(cut, "row_key", "left").where("empty IS NULL OR NOT empty")
     text = F.coalesce("kept_text", "text")
     new = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.char_length("kept_text")).otherwise(F.col("n_chars")).cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
@@ -42,8 +61,9 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was verified."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    rows = own_keys(docs)
+    leaks = find_leaks(keyed_texts(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(leaks, "row_key", "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import random
 import shutil
 
 import pytest
@@ -34,3 +35,29 @@ def test_queries_are_registered():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert os.path.exists(queries.tokenizer_file())
+
+
+def words(seed, n):
+    rnd = random.Random(seed)
+    return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+
+
+def test_rows_that_repeat_an_id_are_judged_one_by_one(spark, small):
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first()["text"]
+    a, b, c, shared = words(1, 60), words(2, 60), words(3, 60), words(4, 20)
+    texts = [(0, a), (1, b), (1, b), (1, b), (2, a), (2, c), (3, f"{words(5, 40)} {shared}"), (4, f"{words(6, 40)} {shared}"), (4, words(7, 60)), (5, f"{words(8, 20)} {item} {words(9, 20)}"), (5, words(10, 60)), (None, words(11, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], spark.read.parquet(f"{small}/documents.parquet").schema)
+    stage = dict(corpus_pipeline.STAGES)
+
+    def rows(d):
+        return sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+
+    one = stage["near_dedup"](spark, docs, small)
+    want = [x for k, x in enumerate(texts) if k not in (2, 3, 4)]
+    assert rows(one) == sorted(want, key=str)
+    two = stage["substring_dedup"](spark, one, small)
+    want[want.index(texts[7])] = (4, words(6, 40))
+    assert rows(two) == sorted(want, key=str) and all(r["n_chars"] == len(r["text"]) for r in two.collect())
+    three = stage["decontamination"](spark, two, small)
+    want.remove(texts[9])
+    assert rows(three) == sorted(want, key=str)
