@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+
+from tracewarden.llm import substring_dedup as sd
 from tracewarden.llm.substring_dedup import remove_repeats
 
 
@@ -65,3 +69,58 @@ def test_case_matters_and_clashing_columns(spark):
 def test_very_long_text_of_one_word(spark):
     rows = [(1, "la " * 20_000), (2, "la " * 30)]
     assert run(spark, rows) == brute(rows)
+
+
+def greedy(phrases, rank):
+    """Factors by the definition: from each window, the longest run of windows that an earlier document's phrase has."""
+    out = []
+    for p, w in enumerate(phrases):
+        i = 0
+        while i < len(w):
+            best = 0
+            for q, v in enumerate(phrases):
+                if rank[q] < rank[p]:
+                    for j in range(len(v)):
+                        n = 0
+                        while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                            n += 1
+                        best = max(best, n)
+            if best:
+                out.append((p, i, best))
+            i += max(best, 1)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_parsing_finds_the_longest_factors(seed):
+    rnd = random.Random(seed)
+    phrases = [[rnd.randrange(4) for _ in range(rnd.randrange(0, 9))] for _ in range(60)]
+    rank = sorted(rnd.randrange(20) for _ in phrases)
+    got = sd.parse(np.array([len(p) for p in phrases]), np.array([x for p in phrases for x in p], np.int64), np.array(rank))
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == greedy(phrases, rank)
+
+
+def test_factors_end_where_the_reference_does_and_boundaries_are_checked():
+    a, b = [1, 2, 3, 4], [3, 4, 5, 6]
+    got = sd.parse(np.array([4, 4, 6]), np.array([*a, *b, 1, 2, 3, 4, 5, 9]), np.array([0, 1, 2]))
+    # 1 2 3 4 is the longest from the first window on, 5 lies across its end, 9 is new
+    assert [x.tolist() for x in got] == [[1, 2, 2], [0, 0, 4], [2, 4, 1]]
+
+
+@pytest.mark.parametrize("name, value", [("ANCHOR_PHRASES", 1), ("HOT_ROWS", 3), ("BLOCK_PHRASES", 7)])
+def test_crowded_anchors_hot_phrases_and_many_blocks(spark, monkeypatch, name, value):
+    monkeypatch.setattr(sd, name, value)
+    rnd = random.Random(value)
+    common = [f"c{i}" for i in range(5)]
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        text = [f"x{rnd.randrange(9)}" for _ in range(rnd.randrange(8, 20))] + common + [f"y{rnd.randrange(3)}" for _ in range(12)]
+        rows.append((i * 3 % 61, " ".join(text + (passage if i % 2 else []))))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_ids_that_are_no_numbers(spark):
+    text = " ".join(f"w{i}" for i in range(15))
+    rows = [("b", text), ("a", text + " more"), ("c", "z " + text)]
+    assert run(spark, rows, "doc_id string, text string") == brute(rows)

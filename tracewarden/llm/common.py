@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,9 +28,12 @@ SLICE_BYTES = 1_500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under a temporary folder where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one for a local master; an error otherwise,
+    as executors elsewhere would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tracewarden-scratch")
     return f"{base.rstrip('/')}/tracewarden-{uuid.uuid4().hex}"
 
@@ -41,6 +45,19 @@ def materialise(df: DataFrame, name: str, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the input: by sorting, never by a broadcast, whose build would land on the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A prefix with which no column begins, in either case."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -1,19 +1,20 @@
-"""Repeated passages by relative Lempel-Ziv parsing against a corpus-wide, hash-dealt reference index.
-
-Every document is parsed into factors relative to all documents with a smaller doc_id. The reference is not a text that a
-task scans, but an index of blocks dealt by hash:
-
-* anchors: every window of `window` words names its smallest k-gram (k = 5) as anchor. Equal windows name equal anchors,
-  wherever they stand. Consecutive windows with one anchor form a factor; its words are hashed as a whole.
-* a counting filter of anchors, built in blocks by slot range, drops factors whose anchor occurs in one document only. The
-  filter has a fixed size; where it is crowded it lets more factors through, but none is lost.
-* a factor that also starts in an earlier document is a duplicate span as it stands: long factors cost one row, not one
-  row per window.
-* factor boundaries: where documents share an anchor but not the whole factor, the factor's windows are looked up one by
-  one in the windows of all distinct factors with that anchor.
-
-Which windows are duplicates is decided on the input alone, so that the order of documents does not matter. Popular
-passages meet in map-side minima; no step gathers the documents of a passage, or emits pairs of them.
+"""Repeated passages by relative Lempel-Ziv parsing against reference blocks that are dealt by hash.
+
+A document is parsed relative to all documents with a smaller doc_id. No block can hold all of those, and no document can be
+read against every block, so both are cut into phrases that meet where they can match:
+
+* every window of `window` words names its smallest k-gram (k = 5) as anchor; equal windows name equal anchors. Consecutive
+  windows with one anchor form a phrase. A counting filter of anchors drops phrases whose anchor only one text has; it has a
+  fixed size, and where it is crowded it lets more phrases through, but none is lost.
+* equal phrases are one, kept with its first document; in later documents it is a factor as a whole, whatever their number.
+* the distinct phrases are dealt by anchor to reference blocks of bounded size. A block is indexed by its windows, and each of
+  its phrases is parsed greedily against the phrases of earlier documents: at a place, the longest match is found by
+  extending all matches word by word, a factor is cut there, and parsing goes on with the first window that the factor does
+  not cover, so that windows across a factor's boundary are looked up like others.
+* anchors of more phrases than a block should hold have them cut into single windows, which are compared by a grouping.
+
+Factors are duplicate spans, and are merged per document. What is a duplicate is decided on the input alone, so that the
+order of documents does not matter. Popular passages meet in map-side minima; nothing gathers the documents of a passage.
 """
 
 from __future__ import annotations
@@ -25,12 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, materialise, mix, ngram_hashes, pieces, scratch_dir, ship, slices, starts_of, utf8, WordTable
+from .common import discard, hash_words, materialise, merged, mix, ngram_hashes, pieces, scratch_dir, ship, slices, starts_of, utf8, WordTable
 
 ANCHOR_WORDS = 5
 FILTER_BITS = 28
 #: Slots of one block of the filter, as a power of two.
-BLOCK_BITS = 18
+BLOCK_BITS = 16
+#: Distinct phrases of a reference block, about, and of one anchor before they are cut into windows.
+BLOCK_PHRASES, ANCHOR_PHRASES = 150_000, 20_000
+#: Rows of one phrase that are joined in one task, about.
+HOT_ROWS = 10_000
+#: Parts into which the windows of crowded anchors are dealt when they are told their first document.
+SPREAD = 32
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -39,7 +46,7 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # ---------------------------------------------------------------- kernels
 
 
-def factors(flat: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def phrases(flat: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Of texts' word hashes laid end to end: text number, start in the text, windows, anchor, hash of the whole factor."""
     k, w = ANCHOR_WORDS, window - ANCHOR_WORDS + 1
     total = len(flat)
@@ -98,7 +105,7 @@ def slot_rows(window: int):
         table = WordTable()
         for batch in pieces(batches):
             for _, flat, starts in _texts(batch, 0, table):
-                doc, _, _, anchor, _ = factors(flat, starts, window)
+                doc, _, _, anchor, _ = phrases(flat, starts, window)
                 if not len(doc):
                     continue
                 own = np.unique(doc << FILTER_BITS | _slot(anchor)) & ((1 << FILTER_BITS) - 1)
@@ -130,46 +137,100 @@ def filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
 
 
-def factor_rows(window: int, shared):
-    """(text, doc_id, t) -> factors whose anchor several texts may have."""
+def phrase_rows(window: int, shared):
+    """(text, doc_id, t) -> phrases whose anchor several texts may have, with the hashes of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = WordTable(), np.frombuffer(shared.value, np.uint8)
         for batch in pieces(batches):
             for a, flat, starts in _texts(batch, 0, table):
-                doc, s, count, anchor, whole = factors(flat, starts, window)
+                doc, s, count, anchor, whole = phrases(flat, starts, window)
                 slot = _slot(anchor)
                 keep = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
-                row = pa.array(doc[keep] + a)
+                if not len(keep):
+                    continue
+                row, c = pa.array(doc[keep] + a), count[keep]
+                edge = starts_of(c)
+                at = np.repeat(starts[doc[keep]] + s[keep] - edge[:-1], c) + np.arange(edge[-1])
+                w = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ngram_hashes(flat, window)[at].view(np.int64)))
                 cols = [pa.array(anchor[keep].view(np.int64)), pa.array(whole[keep].view(np.int64)), batch.column(1).take(row), batch.column(2).take(row)]
-                cols += [pa.array(s[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "whole", "doc_id", "t", "s", "c"])
+                cols += [pa.array(s[keep].astype(np.int32)), pa.array(c.astype(np.int32)), w]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "whole", "doc_id", "t", "s", "c", "w"])
 
     return run
 
 
-def window_rows(window: int):
-    """(text, doc_id, at: [(s, c, anchor, whole)]) -> (anchor, hash of a window, doc_id, whole, place in the factor)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable()
-        for batch in pieces(batches):
-            places = batch.column(2)
-            for a, flat, starts in _texts(batch, 0, table):
-                if len(flat) < window:
-                    continue
-                h = ngram_hashes(flat, window)
-                part = places.slice(a, len(starts) - 1)
-                rows, inner = np.repeat(np.arange(len(part)), pa.compute.list_value_length(part).to_numpy(zero_copy_only=False)), part.flatten()
-                s, c, anchor, whole = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                c = c.astype(np.int64)
-                each = np.repeat(np.arange(len(rows)), c)
-                offset = np.arange(len(each)) - np.repeat(np.cumsum(c) - c, c)
-                key = h[starts[rows[each]] + s[each] + offset]
-                cols = [pa.array(anchor[each]), pa.array(key.view(np.int64)), batch.column(1).take(pa.array(rows[each] + a)), pa.array(whole[each]), pa.array(offset.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "key", "doc_id", "whole", "o"])
+def longest_matches(window: np.ndarray, left: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For every window of a block's phrases, of how many windows the longest match from there on in an earlier document is.
 
-    return run
+    window: their hashes, phrase by phrase; left: windows from each to its phrase's end, itself included; rank: number of its
+    phrase's document, in order. All matches are extended by a word at a time; a run of windows that no earlier document has
+    can't become one by growing.
+    """
+    length = np.zeros(len(window), np.int64)
+    at = np.arange(len(window))
+    run = np.unique(window, return_inverse=True)[1]
+    size = 0
+    while len(at):
+        size += 1
+        first = np.full(int(run.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, run, rank[at])
+        hit = first[run] < rank[at]
+        length[at[hit]] = size
+        # runs that some later document repeats go on, with all their places
+        lives = np.zeros(len(first), bool)
+        lives[run[hit]] = True
+        keep = lives[run] & (left[at] > size)
+        at, run = at[keep], run[keep]
+        if len(at):
+            pair = np.empty((len(at), 2), np.int64)
+            pair[:, 0], pair[:, 1] = run, window[at + size].view(np.int64)
+            order = np.lexsort((pair[:, 1], pair[:, 0]))
+            new = (pair[order[1:]] != pair[order[:-1]]).any(axis=1)
+            run = np.empty(len(at), np.int64)
+            run[order] = np.concatenate(([0], np.cumsum(new)))
+    return length
+
+
+def parse(count: np.ndarray, window: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of a block's phrases relative to earlier documents: phrase, first window, windows.
+
+    count: windows of each phrase; window: their hashes; rank: number of each phrase's document, in order.
+    """
+    starts = starts_of(count)
+    owner = np.repeat(np.arange(len(count)), count)
+    longest = longest_matches(window, starts[1:][owner] - np.arange(len(window)), rank[owner])
+    place = np.zeros(len(count), np.int64)
+    open_ = np.flatnonzero(count > 0)
+    out = []
+    while len(open_):
+        n = longest[starts[open_] + place[open_]]
+        cut = np.flatnonzero(n)
+        out.append((open_[cut], place[open_[cut]], n[cut]))
+        place[open_] += np.maximum(n, 1)
+        open_ = open_[place[open_] < count[open_]]
+    phrase, at, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+    order = np.lexsort((at, phrase))
+    return phrase[order], at[order], n[order]
+
+
+def parse_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One reference block, phrases sorted by document: (document's hash, w, later, ...) -> (..., factors) of those that have
+    a factor or that later documents repeat."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    mark = table.column(0).to_numpy()
+    rank = np.concatenate(([0], np.cumsum(mark[1:] != mark[:-1])))
+    w = table.column(1).combine_chunks()
+    count = pa.compute.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
+    phrase, at, n = parse(count, w.flatten().to_numpy(zero_copy_only=False), rank)
+    edge = np.searchsorted(phrase, np.arange(len(count) + 1)).astype(np.int32)
+    inner = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["o", "n"])
+    found = table.append_column("factors", pa.ListArray.from_arrays(pa.array(edge), inner))
+    found = found.filter(pa.array((np.diff(edge) > 0) | table.column(2).to_numpy()))
+    yield from found.drop_columns(found.column_names[:3]).to_batches(max_chunksize=20_000)
 
 
 def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,35 +287,60 @@ def remove_repeats(documents: DataFrame, window: int = 13) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     slots = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(slot_rows(window), "block int, slot int, n byte")
-    blocks = slots.repartition("block").mapInArrow(filter_blocks, "block int, bits binary")
+    blocks = materialise(slots.repartition("block").mapInArrow(filter_blocks, "block int, bits binary"), "blocks", folder)
     bits = bytearray(1 << FILTER_BITS >> 3)
     width = 1 << BLOCK_BITS >> 3
-    for r in blocks.toLocalIterator():  # fixed in size, whatever the corpus
+    for r in blocks.coalesce(4).toLocalIterator():  # fixed in size, whatever the corpus
         bits[r["block"] * width : (r["block"] + 1) * width] = r["bits"]
     shared = spark.sparkContext.broadcast(bytes(bits))
+    del bits
 
-    found = docs.where("doc_id IS NOT NULL").select("text", "doc_id", "t").mapInArrow(factor_rows(window, shared), f"anchor long, whole long, doc_id {id_type}, t long, s int, c int")
+    found = docs.where("doc_id IS NOT NULL").select("text", "doc_id", "t")
+    found = found.mapInArrow(phrase_rows(window, shared), f"anchor long, whole long, doc_id {id_type}, t long, s int, c int, w array<long>")
     found = materialise(found, "found", folder)
-    first = found.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "t", "s", "c")).alias("m"), F.max("doc_id").alias("last"))
-    first = materialise(first.select("anchor", "whole", "m.*", "last"), "first", folder)
-    # anchors whose distinct factors come from several documents: boundaries to be checked window by window
-    mixed = first.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1 AND lo < hi").select("anchor")
-    mixed = materialise(mixed, "mixed", folder)
-    ends = first.join(mixed, "anchor", "left_semi")
-    ends = ends.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "c", "anchor", "whole")).alias("at"))
-    ends = docs.join(ends, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("text", "doc_id", "at")
-    single = materialise(ends.mapInArrow(window_rows(window), f"anchor long, key long, doc_id {id_type}, whole long, o int"), "single", folder)
-    low = materialise(single.groupBy("anchor", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "key", "lo"), "low", folder)
-    hits = single.join(low, ["anchor", "key"]).where("lo < doc_id").groupBy("anchor", "whole").agg(F.collect_set("o").alias("offsets"))
-    verdict = first.select("anchor", "whole", F.col("doc_id").alias("m"), "last").join(hits, ["anchor", "whole"], "left")
-    verdict = materialise(verdict.where("m < last OR offsets IS NOT NULL").drop("last"), "verdict", folder)
-    spans = found.join(verdict, ["anchor", "whole"])
-    own = F.transform("offsets", lambda o: F.struct((F.col("s") + o).alias("s"), F.lit(window).alias("n")))
+    shared.destroy()
+    first = found.groupBy("anchor", "whole").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("last"), F.count("*").alias("rows"), F.first("w").alias("w"))
+    first = materialise(first.withColumn("later", F.col("m") < F.col("last")).drop("last"), "first", folder)
+    verdict = materialise(parsed(first, id_type, folder), "verdict", folder)
+
+    # rows of very frequent phrases are dealt to several tasks; no more than 2 ** 17 phrases can be so frequent
+    size = first.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    part = max(HOT_ROWS, size >> 17)
+    hot = verdict.where(F.col("rows") > part).select("anchor", "whole", F.ceil(F.col("rows") / part).cast("int").alias("parts"))
+    at = found.drop("w")
+    keys = ["anchor", "whole"]
+    if not hot.isEmpty():
+        at = at.join(F.broadcast(hot), keys, "left").withColumn("deal", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "s"), F.col("parts"))).otherwise(0)).drop("parts")
+        dealt = F.when(F.col("rows") > part, F.sequence(F.lit(0), F.ceil(F.col("rows") / part).cast("long") - 1)).otherwise(F.array(F.lit(0).cast("long")))
+        verdict = verdict.withColumn("deal", F.explode(dealt))
+        keys = [*keys, "deal"]
+    spans = merged(at, verdict, keys)
+    own = F.transform("factors", lambda f: F.struct((F.col("s") + f["o"]).alias("s"), (f["n"] + (window - 1)).alias("n")))
     all_of_it = F.array(F.struct(F.col("s"), (F.col("c") + (window - 1)).alias("n")))
-    spans = spans.select("doc_id", "t", F.when(F.col("m") < F.col("doc_id"), all_of_it).otherwise(own).alias("x")).where("x IS NOT NULL")
-    spans = spans.select("doc_id", "t", F.explode("x").alias("x")).groupBy("doc_id", "t").agg(F.collect_set("x").alias("spans"))
-    spans = materialise(spans, "spans", folder)
-    discard(spark, *(f"{folder}/{x}" for x in ("found", "first", "mixed", "single", "low", "verdict")))
-    shared.unpersist()
-    out = docs.join(spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans")
+    spans = spans.select("doc_id", "t", F.explode(F.when(F.col("m") < F.col("doc_id"), all_of_it).otherwise(own)).alias("x"))
+    spans = materialise(spans.groupBy("doc_id", "t").agg(F.collect_set("x").alias("spans")), "spans", folder)
+    discard(spark, *(f"{folder}/{x}" for x in ("blocks", "found", "first", "crowded", "verdict")))
+    out = merged(docs, spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(cut_rows, f"doc_id {id_type}, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")
+
+
+def parsed(first: DataFrame, id_type: str, folder: str) -> DataFrame:
+    """Distinct phrases -> (anchor, whole, m, rows, factors) of those that have factors or are repeated as a whole."""
+    blocks = max(1, -(-first.count() // BLOCK_PHRASES))
+    crowded = first.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > ANCHOR_PHRASES).select("anchor")
+    crowded = materialise(crowded, "crowded", folder)
+    some = not crowded.isEmpty()
+    usual = merged(first, crowded, "anchor", "left_anti") if some else first
+    usual = usual.repartition(blocks, "anchor").sortWithinPartitions("m").select(F.xxhash64("m").alias("mark"), "w", "later", "anchor", "whole", "m", "rows")
+    out = usual.mapInArrow(parse_block, f"anchor long, whole long, m {id_type}, rows long, factors array<struct<o:int,n:int>>")
+    if not some:
+        return out
+    rest = merged(first, crowded, "anchor", "left_semi")
+    single = rest.select("anchor", "whole", "m", F.posexplode("w").alias("o", "key"))
+    low = single.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo < hi")
+    low = low.select("key", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("deal"))
+    single = single.withColumn("deal", F.pmod(F.xxhash64("whole"), F.lit(SPREAD)))
+    hits = merged(single, low, ["key", "deal"]).where("lo < m")
+    hits = hits.groupBy("anchor", "whole").agg(F.collect_list(F.struct("o", F.lit(1).alias("n"))).alias("factors"))
+    rest = merged(rest.select("anchor", "whole", "m", "rows", "later"), hits, ["anchor", "whole"], "left").where("later OR factors IS NOT NULL")
+    return out.unionByName(rest.drop("later"))
