@@ -59,6 +59,7 @@ def test_matches_brute_force(spark):
 
 
 def test_blocks_split_and_still_find_all(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 3)
     rows = corpus(2)
     assert run(spark, rows, 80)[0] == brute(rows, 80)
 

@@ -2,7 +2,7 @@
 
 The index holds the test items, neighbours in blocks of BLOCK. Collection statistics (items, document frequencies, mean
 length) are those of the whole benchmark, computed before anything is cut into slices. For each term the index keeps its
-postings (items in order, with BM25 impacts divided by the score an item gives itself), the largest impact of all, and the
+postings (items in their order, with BM25 impacts divided by the score an item gives itself), the largest impact of all, and the
 largest per block. A passage first adds up the overall maxima of its words, then the block maxima of its distinct terms, for
 all passages of a slice of text at once in numpy. Where some block could reach the threshold, the passage's posting cursors
 run: they are kept in the order of their items, the pivot is the first at which the maxima reach the threshold, a pivot whose
@@ -112,14 +112,12 @@ def weighted(benchmark: DataFrame, folder: str) -> DataFrame:
     part = items.select("rid", "length", F.explode(F.arrays_zip("term", "count")).alias("x")).select("rid", "length", "x.*")
     df = part.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = merged(part, df, "term").select("rid", "term", "df", (idf * F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("length") / size["mean"]))).alias("impact"))
-    own = part.groupBy("rid").agg(F.sum("impact").alias("own"), F.collect_list(F.struct("term", "impact", "df")).alias("all"))
-    # neighbours share their most frequent terms, so that items of one language or subject fall into the same blocks
-    common = F.slice(F.array_sort(F.transform("all", lambda x: F.struct((-x["df"]).alias("d"), x["term"].alias("t")))), 1, 3)
-    own = own.select("rid", common.alias("near"), F.transform("all", lambda x: F.struct(x["term"].alias("term"), (x["impact"] / F.col("own")).alias("impact"))).alias("impacts"))
+    part = merged(part, df, "term").select("rid", "term", (idf * F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("length") / size["mean"]))).alias("impact"))
+    own = part.groupBy("rid").agg(F.sum("impact").alias("own"), F.collect_list(F.struct("term", "impact")).alias("all"))
+    own = own.select("rid", F.transform("all", lambda x: F.struct(x["term"].alias("term"), (x["impact"] / F.col("own")).alias("impact"))).alias("impacts"))
     longest = items.groupBy("kind").agg(F.max("length").alias("longest"))  # a row for each doubling of length
     out = merged(items.select("rid", "kind", "item_id", "text"), own, "rid").join(F.broadcast(longest), "kind")
-    return out.orderBy("kind", "near", "rid").select("kind", "item_id", "text", "longest", "impacts")
+    return out.orderBy("kind", "rid").select("kind", "item_id", "text", "longest", "impacts")
 
 
 def build_index(ids: list, texts: list[bytes], impacts: list[tuple[np.ndarray, np.ndarray]], longest: int) -> dict:

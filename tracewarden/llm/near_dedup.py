@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, materialise, mix, ngram_hashes, pieces, scratch_dir, ship, slices, utf8, WordTable
+from .common import discard, hash_words, materialise, merged, mix, ngram_hashes, pieces, scratch_dir, ship, slices, utf8, WordTable
 
 BANDS, ROWS = 30, 5
 BUCKETS = BANDS * ROWS
@@ -267,13 +267,13 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     labels = materialise(labels, f"{name}-0", folder)
     turn = 0
     while True:
-        near = both.join(labels.withColumnRenamed("c", "b"), "b").select(F.col("a").alias("c"), "comp")
+        near = merged(both, labels.withColumnRenamed("c", "b"), "b").select(F.col("a").alias("c"), "comp")
         low = near.union(labels).groupBy("c").agg(F.min("comp").alias("comp"))
         to = labels.select(F.col("c").alias("comp"), F.col("comp").alias("jump"))
         turn += 1
-        new = low.join(to, "comp", "left").select("c", F.least("comp", F.coalesce("jump", "comp")).alias("comp"))
+        new = merged(low, to, "comp", "left").select("c", F.least("comp", F.coalesce("jump", "comp")).alias("comp"))
         new = materialise(new, f"{name}-{turn}", folder)
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "c").where(F.col("comp") != F.col("old")).limit(1).count()
+        changed = merged(new, labels.withColumnRenamed("comp", "old"), "c").where(F.col("comp") != F.col("old")).limit(1).count()
         discard(spark, f"{folder}/{name}-{turn - 1}")
         labels = new
         if not changed:
@@ -307,7 +307,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     bands = classes.select("c", "regs").mapInArrow(band_rows, "k long, c long")
     bands = materialise(bands, "bands", folder)
     shared = materialise(bands.groupBy("k").agg(F.count("*").alias("size")).where("size > 1").select("k"), "shared", folder)
-    rows = materialise(bands.join(shared, "k", "left_semi"), "rows", folder)
+    rows = materialise(merged(bands, shared, "k", "left_semi"), "rows", folder)
     least = floor_estimate(percent / 100)
     info = classes.select("c", "n", "regs")
 
@@ -316,28 +316,28 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
 
     def full_sets(need: DataFrame, name: str) -> DataFrame:
         """(c, sets) of the classes named in need, recomputed from the text of one of their documents."""
-        of = classes.select("c", F.col("rep").alias("doc_id")).join(need, "c", "left_semi")
-        texts = docs.join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+        of = merged(classes.select("c", F.col("rep").alias("doc_id")), need, "c", "left_semi")
+        texts = merged(docs, of.select("doc_id").distinct(), "doc_id", "left_semi")
         sets = texts.mapInArrow(signature_rows(shingle, True), f"doc_id {id_type}, n long, c long, sets binary")
-        sets = sets.join(need, "c", "left_semi").groupBy("c").agg(F.first("sets").alias("sets"))
+        sets = merged(sets, need, "c", "left_semi").groupBy("c").agg(F.first("sets").alias("sets"))
         return materialise(sets, f"sets-{name}", folder)
 
     # 1. every member against its bucket's leader
     leader = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("c", "k").alias("o"), F.col("c").alias("c"))).alias("l"))
     leader = materialise(leader.select("k", F.col("l.c").alias("lead")), "leader", folder)
-    met = rows.join(leader, "k").where("c <> lead")
+    met = merged(rows, leader, "k").where("c <> lead")
     pairs = met.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    pairs = merged(merged(pairs, side("a"), "a"), side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
     pairs = materialise(pairs.mapInArrow(estimate_pairs(least), "a long, b long"), "pairs-1", folder)
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "1")
     one = sets.select(F.col("c").alias("a"), F.col("sets").alias("sa"))
     two = sets.select(F.col("c").alias("b"), F.col("sets").alias("sb"))
-    full = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+    full = merged(merged(pairs, one, "a"), two, "b").select("a", "b", "sa", "sb")
     links = materialise(full.mapInArrow(confirm_pairs(percent), "a long, b long"), "links-1", folder)
     label = components(links, folder, "comp-1")
 
     # 2. members of different components that still share a bucket
-    tagged = rows.join(label, "c", "left").select("k", "c", F.coalesce("comp", "c").alias("comp"))
+    tagged = merged(rows, label, "c", "left").select("k", "c", F.coalesce("comp", "c").alias("comp"))
     tagged = materialise(tagged, "tagged", folder)
     part = tagged.groupBy("k", "comp").agg(F.count("*").alias("m"))
     part = part.groupBy("k").agg(F.count("*").alias("parts"), F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("top"))
@@ -346,7 +346,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
         "k", F.col("top.comp").alias("main"), F.ceil(F.col("size") / BLOCK).alias("gm"), F.ceil((F.col("size") - F.col("top.m")) / BLOCK).alias("gu")
     )
     part = materialise(part, "parts", folder)
-    open_rows = tagged.join(part, "k")
+    open_rows = merged(tagged, part, "k")
     spot = F.pmod(F.xxhash64("c"), F.lit(1 << 40))
     members = open_rows.select("k", "c", "comp", F.lit(0).alias("side"), F.pmod(spot, F.col("gm")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("gu").cast("int") - 1)).alias("j"))
     others = open_rows.where("comp <> main").select(
@@ -356,7 +356,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
         others.select("k", "c", "comp", "side", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
     )
     sets = full_sets(open_rows.select("c").distinct(), "2")
-    cells = cells.join(info, "c").join(sets, "c")
+    cells = merged(merged(cells, info, "c"), sets, "c")
     cells = cells.select(F.xxhash64("k", "i", "j").alias("block"), "k", "side", "c", "comp", "n", "regs", "sets")
     cells = cells.repartition("block").sortWithinPartitions("block", "k")
     more = materialise(cells.mapInArrow(compare_blocks(least, percent), "a long, b long"), "links-2", folder)
@@ -364,11 +364,12 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     label = components(links, folder, "comp-2")
 
     # classes back to documents
-    low = classes.join(label, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "rep")
+    low = merged(classes, label, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "rep")
     low = materialise(low, "low", folder)
     smallest = materialise(low.groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest", folder)
-    of_class = materialise(low.join(smallest, "comp").select("c", "component_id"), "of-class", folder)
-    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(of_class, "c", "left")
+    of_class = materialise(merged(low, smallest, "comp").select("c", "component_id"), "of-class", folder)
+    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"))
+    out = merged(out, of_class, "c", "left")
     cid = F.coalesce("component_id", "doc_id")
     discard(spark, *(f"{folder}/{x}" for x in ("bands", "shared", "rows", "leader", "tagged", "parts", "pairs-1", "sets-1", "sets-2", "low", "smallest")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
