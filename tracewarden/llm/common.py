@@ -84,12 +84,13 @@ def id_remainder(col: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def label_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, seed: int = 11) -> DataFrame:
-    """Labelled rows for training: (doc_id, text, label), at most about per_class of each class.
+def label_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, seed: int = 11, text_bytes: int | None = None) -> DataFrame:
+    """Labelled rows for training: (text, y, point), at most per_class of each class, in no order; point orders them.
 
-    The bound holds for fitting only. learn is a condition on doc_id. Classes are thinned by a hash of the id with a
-    fraction taken from exact class counts, so one pass over the labels suffices and no row is moved to count it; the
-    thinned labels are small by construction and are broadcast. An id labelled twice counts once, with its largest label.
+    The bound holds for fitting only; learn is a condition on doc_id. Classes are first thinned by a hash of the id with a
+    fraction taken from exact class counts, so that few labels are left, which are broadcast (1.5 * per_class of a class,
+    about). Rows are then bounded, as an id may have many: those with the smallest hashes of id and text stay. Texts of more
+    than text_bytes are not learnt from, if that is given. An id labelled twice counts once, with its largest label.
     """
     lab = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -98,11 +99,16 @@ def label_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Col
         .agg(F.max("y").alias("y"))
     )
     counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    point = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
     keep = F.lit(False)
     for y in (0, 1):
-        keep = keep | ((F.col("y") == y) & (point < min(1.0, per_class / max(1, counts.get(y, 0)))))
-    return documents.select("doc_id", "text").join(F.broadcast(lab.where(keep)), "doc_id")
+        keep = keep | ((F.col("y") == y) & (chance < min(1.0, 1.5 * per_class / max(1, counts.get(y, 0)))))
+    rows = documents.select("doc_id", "text")
+    if text_bytes is not None:
+        rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes)
+    rows = rows.join(F.broadcast(lab.where(keep)), "doc_id").select("text", "y", F.xxhash64("doc_id", "text", F.lit(seed)).alias("point"))
+    of = [rows.where(F.col("y") == y).orderBy("point").limit(per_class) for y in (0, 1)]
+    return of[0].unionByName(of[1])
 
 
 # ---------------------------------------------------------------- words as 64-bit hashes

@@ -13,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, ship, slices, starts_of, utf8
 
 BUCKETS = 8192
 ORDERS = (1, 2, 3, 4)
-#: Texts that training may use: per language, and over all languages.
-PER_LANGUAGE, IN_ALL = 400, 6000
+#: Texts that training may use: per language, over all languages, and of each where there are very many (the rarest beyond
+#: IN_ALL / FEW languages are not learnt). Bytes of all these texts.
+PER_LANGUAGE, IN_ALL, FEW, ALL_BYTES = 400, 6000, 5, 64_000_000
 STEPS = 120
 #: Decoding is ambiguous if the second codeword's loss is within this share of the first's.
 AMBIGUOUS = 0.15
@@ -162,24 +163,33 @@ def predict_rows(shared):
 def identify_languages(documents: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1), ambiguous.
 
-    The model learns from text and lang of rows where held_out is false and lang is not null: about per_language texts of
-    each language, about in_all together. lang is used for nothing else. Texts that are null, empty or without a letter are
-    `und` with score 0 and ambiguous; so is every text if there is nothing to learn from. Rows are judged one by one;
-    an empty table gives an empty result. Other columns are ignored.
+    The model learns from text and lang of rows where held_out is false and lang is not null: at most per_language texts of
+    each language, in_all and ALL_BYTES together, those with the smallest hashes. Where that leaves fewer than FEW texts a
+    language, FEW of each of the in_all / FEW most frequent languages. lang is used for nothing else. Texts that are null,
+    empty or without a letter are `und` with score 0 and ambiguous; so is every text if there is nothing to learn from. Rows
+    are judged one by one; an empty table gives an empty result. Other columns are ignored.
     """
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("lang").alias("lang"))
     usable = docs.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = min(per_language, in_all // max(1, len(sizes)))
-    point = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1e6
-    model = {"names": []}
+    point = F.xxhash64("doc_id", "text", F.lit(7))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(point).alias("low")).orderBy(F.desc("n"), "lang").limit(max(1, in_all // FEW)).collect()
+    each = max(FEW, min(per_language, in_all // max(1, len(sizes))))
+    texts, langs, held = [], [], 0
     if sizes:
-        rate = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, each / n))])
-        rows = usable.where(point < rate[F.col("lang")]).select("text", "lang").collect()
-        if rows:
-            model = train([r["text"].encode() for r in rows], [r["lang"] for r in rows])
-    shared = spark.sparkContext.broadcast(model)
+        # thinned first, so that few rows move, but never to nothing; the rank then bounds them, also where rows repeat
+        rate = spark.createDataFrame([(r["lang"], min(1.0, 1.5 * each / r["n"]), r["low"]) for r in sizes], f"lang {docs.schema['lang'].dataType.simpleString()}, rate double, low long")
+        some = usable.join(F.broadcast(rate), "lang").where((F.pmod(point, F.lit(1_000_000)) / 1e6 < F.col("rate")) | (point == F.col("low")))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(point, "text"))
+        some = some.withColumn("rank", rank).where(F.col("rank") <= each).select("rank", "lang", "text")
+        for r in some.repartition(1).sortWithinPartitions("rank", "lang").toLocalIterator():
+            text = r["text"].encode()
+            held += len(text)
+            if held > ALL_BYTES:
+                break
+            texts.append(text)
+            langs.append(r["lang"])
+    shared = spark.sparkContext.broadcast(train(texts, langs) if texts else {"names": []})
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", "held_out").mapInArrow(predict_rows(shared), f"doc_id {id_type}, held_out boolean, lang_pred string, score double, ambiguous boolean")

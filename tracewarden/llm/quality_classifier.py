@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, label_sample, ship
+from .common import free_prefix, id_remainder, label_sample, ship
 from .quality_rules import SPACES, SYMBOLS, TERMINAL, word_array
 
 #: Labelled rows for fitting, per class.
@@ -24,35 +24,37 @@ CUT = 0.7
 FEATURES = ("log_words", "word_length", "upper", "symbols", "digits", "marks", "bars", "bangs", "distinct", "log_lines", "same_lines", "ended_lines", "words_per_line")
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df's columns and one double column per name in FEATURES (prefixed with _). Null text counts as empty."""
-    d = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    d = d.withColumns({"_w": word_array(F.col("_t")), "_l": F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
+def with_statistics(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """df with one more double column per name in FEATURES, and the prefix that they bear, which no column of df has. Null
+    text counts as empty."""
+    p = free_prefix(df.columns)
+    t, w, lines, solid, n_words, n_lines = (F.col(f"{p}{x}") for x in ("t", "w", "l", "solid", "n", "m"))
+    d = df.withColumn(f"{p}t", F.coalesce(F.col(text), F.lit("")))
+    d = d.withColumns({f"{p}w": word_array(t), f"{p}l": F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def share(chars: str) -> Column:
-        return (F.char_length("_t") - F.char_length(F.translate("_t", chars, ""))) / F.greatest(F.col("_solid"), F.lit(1))
-
-    d = d.withColumns({"_solid": F.char_length(F.translate("_t", SPACES, "")), "_n": F.size("_w"), "_m": F.size("_l")})
-    n, m = F.greatest("_n", F.lit(1)), F.greatest("_m", F.lit(1))
-    d = d.withColumns(
-        {
-            "_log_words": F.log1p("_n"),
-            "_word_length": F.col("_solid") / n,
-            "_upper": share(upper),
-            "_symbols": share(SYMBOLS),
-            "_digits": share("0123456789"),
-            "_marks": share(".,;:?"),
-            "_bars": share("|"),
-            "_bangs": share("!"),
-            "_distinct": F.size(F.array_distinct("_w")) / n,
-            "_log_lines": F.log1p("_m"),
-            "_same_lines": F.lit(1.0) - F.size(F.array_distinct("_l")) / m,
-            "_ended_lines": F.size(F.filter("_l", lambda x: x.rlike(TERMINAL))) / m,
-            "_words_per_line": F.col("_n") / m,
-        }
-    )
-    return d.drop("_t", "_w", "_l", "_solid", "_n", "_m")
+        return (F.char_length(t) - F.char_length(F.translate(t, chars, ""))) / F.greatest(solid, F.lit(1))
+
+    d = d.withColumns({f"{p}solid": F.char_length(F.translate(t, SPACES, "")), f"{p}n": F.size(w), f"{p}m": F.size(lines)})
+    n, m = F.greatest(n_words, F.lit(1)), F.greatest(n_lines, F.lit(1))
+    values = {
+        "log_words": F.log1p(n_words),
+        "word_length": solid / n,
+        "upper": share(upper),
+        "symbols": share(SYMBOLS),
+        "digits": share("0123456789"),
+        "marks": share(".,;:?"),
+        "bars": share("|"),
+        "bangs": share("!"),
+        "distinct": F.size(F.array_distinct(w)) / n,
+        "log_lines": F.log1p(n_lines),
+        "same_lines": F.lit(1.0) - F.size(F.array_distinct(lines)) / m,
+        "ended_lines": F.size(F.filter(lines, lambda x: x.rlike(TERMINAL))) / m,
+        "words_per_line": n_words / m,
+    }
+    d = d.withColumns({f"{p}{k}": v for k, v in values.items()})
+    return d.drop(*(f"{p}{x}" for x in ("t", "w", "l", "solid", "n", "m"))), p
 
 
 # ---------------------------------------------------------------- learning, on the driver
@@ -113,9 +115,14 @@ def learn_rules(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, seed: int
         value = _grow(x, cuts, g, np.sort(rows), DEPTH, (), rules, features)
         z += 0.5 * value
     listed = sorted(rules)
+    if not listed:  # too few texts for any split
+        p = min(max(float(y.mean()), 0.05), 0.95)
+        return {"rules": [], "bias": float(np.log(p / (1 - p)))}
     a = np.stack([_fires(x, r) for r in listed], 1).astype(np.float64)
     keep = np.flatnonzero((a.mean(axis=0) > 0.005) & (a.mean(axis=0) < 0.995))
     listed, a = [listed[i] for i in keep], a[:, keep]
+    if not listed:
+        listed, a = [()], np.zeros((len(y), 1))
     # accelerated proximal gradient for the lasso
     w, v, b, t = np.zeros(a.shape[1]), np.zeros(a.shape[1]), 0.0, 1.0
     step = 4 / max(1.0, float(np.linalg.norm(a * np.sqrt(weight)[:, None], 2) ** 2 / len(y)))
@@ -139,11 +146,11 @@ def learn_rules(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, seed: int
     return {"rules": [(r, float(c)) for r, c in zip(listed, w, strict=True) if abs(c) > 1e-6], "bias": b}
 
 
-def compile_score(model: dict) -> Column:
-    """The model as one expression over the columns of with_statistics."""
+def compile_score(model: dict, prefix: str) -> Column:
+    """The model as one expression over the columns that with_statistics adds under prefix."""
 
     def condition(rule: tuple) -> Column:
-        return reduce(lambda p, q: p & q, [F.col(f"_{FEATURES[f]}") > c if above else F.col(f"_{FEATURES[f]}") <= c for f, above, c in rule])
+        return reduce(lambda p, q: p & q, [F.col(f"{prefix}{FEATURES[f]}") > c if above else F.col(f"{prefix}{FEATURES[f]}") <= c for f, above, c in rule])
 
     z = F.lit(float(model["bias"]))
     for rule, w in model["rules"]:
@@ -155,25 +162,44 @@ def compile_score(model: dict) -> Column:
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = PER_CLASS) -> dict:
-    """Learn from at most about per_class labelled rows of each class; learn is a condition on doc_id."""
+    """Learn from at most per_class labelled rows of each class; learn is a condition on doc_id. Rows come in an order of
+    their own, so that the model depends on the tables only, not on how they are read."""
     ship(documents.sparkSession)
     rows = label_sample(documents, labels, "quality", F.lit(True) if learn is None else learn, per_class)
-    stats = with_statistics(rows).select("y", *[f"_{f}" for f in FEATURES]).toPandas()
-    return learn_rules(stats[[f"_{f}" for f in FEATURES]].to_numpy(np.float64), stats["y"].to_numpy(np.float64))
+    d, p = with_statistics(rows.select("text", "y", "point"))
+    names = [f"{p}{f}" for f in FEATURES]
+    stats = d.select("y", "point", *names).toArrow()  # at most 2 * per_class rows
+    x = np.column_stack([stats[c].to_numpy().astype(np.float64) for c in names]) if len(stats) else np.empty((0, len(names)))
+    y = stats["y"].to_numpy().astype(np.float64)
+    order = np.lexsort((*x.T, stats["point"].to_numpy()))
+    return learn_rules(x[order], y[order])
 
 
 def score_quality(documents: DataFrame, model: dict) -> DataFrame:
     """doc_id, score (0 to 1, high is good), predicted (1 if score >= 0.7), by the text alone.
 
     Null and empty texts are scored as texts without words. Rows are judged one by one; an empty table gives an empty
-    result. Other columns are ignored. Without labels of both classes the score is the same for all.
+    result. Other columns are ignored. Without labels of both classes the score is the same for all, as it is with too few
+    labelled texts for any rule.
     """
-    d = with_statistics(documents.select("doc_id", "text")).select("doc_id", compile_score(model).alias("score"))
+    d, p = with_statistics(documents.select("doc_id", "text"))
+    d = d.select("doc_id", compile_score(model, p).alias("score"))
     return d.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
+def keep_good(documents: DataFrame, model: dict) -> DataFrame:
+    """Rows of documents that score CUT or more, with all their columns, whatever these are called. Null and empty texts are
+    judged as texts without words, repeated rows alike; an empty table stays empty."""
+    d, p = with_statistics(documents)
+    return d.where(compile_score(model, p) >= CUT).select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
 def classify_quality(documents: DataFrame, labels: DataFrame, held_out: int = 2, modulus: int = 4) -> DataFrame:
-    """Fit on rows whose id remainder is not held_out, score all rows: doc_id, held_out, score, predicted."""
+    """Fit on rows whose id remainder is not held_out, score all rows: doc_id, held_out, score, predicted.
+
+    A null id counts as the empty text for the remainder. Everything else is as in score_quality: null and empty texts have no
+    words, repeated rows are scored alike, an empty table gives an empty result, other columns are ignored.
+    """
     aside = id_remainder("doc_id", modulus) == held_out
     model = fit_quality(documents, labels, ~aside)
     return score_quality(documents, model).select("doc_id", aside.alias("held_out"), "score", "predicted")
