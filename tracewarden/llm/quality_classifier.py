@@ -191,7 +191,7 @@ def keep_good(documents: DataFrame, model: dict) -> DataFrame:
     """Rows of documents that score CUT or more, with all their columns, whatever these are called. Null and empty texts are
     judged as texts without words, repeated rows alike; an empty table stays empty."""
     d, p = with_statistics(documents)
-    return d.where(compile_score(model, p) >= CUT).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return d.where(compile_score(model, p) >= CUT).drop(*(f"{p}{f}" for f in FEATURES))
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame, held_out: int = 2, modulus: int = 4) -> DataFrame:
