@@ -147,7 +147,7 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def estimate_pairs(least: float):
-    """(a, b, na, nb, ra, rb) -> (a, b) whose estimate is high enough to be worth confirming."""
+    """(a, b, na, nb, ra, rb, da, db) -> (a, b, da, db) whose estimate is high enough to be worth confirming."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +156,7 @@ def estimate_pairs(least: float):
             n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             m = (_regs(batch.column(4)) == _regs(batch.column(5))).sum(axis=1)
             keep = pa.array(estimate(m, n_a, n_b) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1, 6, 7)], names=["a", "b", "da", "db"])
 
     return run
 
@@ -263,22 +263,21 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, f"{name}-links", folder)
-    labels = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("comp"))
+    labels = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("comp"), F.lit(True).alias("moved"))
     labels = materialise(labels, f"{name}-0", folder)
-    turn = 0
-    while True:
-        near = merged(both, labels.withColumnRenamed("c", "b"), "b").select(F.col("a").alias("c"), "comp")
-        low = near.union(labels).groupBy("c").agg(F.min("comp").alias("comp"))
+    turn, moved = 0, not labels.isEmpty()
+    while moved:
+        near = merged(both, labels.select(F.col("c").alias("b"), "comp"), "b").select(F.col("a").alias("c"), "comp", F.lit(None).cast("long").alias("old"))
+        low = near.union(labels.select("c", "comp", F.col("comp").alias("old"))).groupBy("c").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
         to = labels.select(F.col("c").alias("comp"), F.col("comp").alias("jump"))
         turn += 1
-        new = merged(low, to, "comp", "left").select("c", F.least("comp", F.coalesce("jump", "comp")).alias("comp"))
-        new = materialise(new, f"{name}-{turn}", folder)
-        changed = merged(new, labels.withColumnRenamed("comp", "old"), "c").where(F.col("comp") != F.col("old")).limit(1).count()
+        new = merged(low, to, "comp", "left").select("c", F.least("comp", F.coalesce("jump", "comp")).alias("comp"), "old")
+        new = materialise(new.select("c", "comp", (F.col("comp") != F.col("old")).alias("moved")), f"{name}-{turn}", folder)
+        moved = not new.where("moved").isEmpty()
         discard(spark, f"{folder}/{name}-{turn - 1}")
         labels = new
-        if not changed:
-            discard(spark, f"{folder}/{name}-links")
-            return labels
+    discard(spark, f"{folder}/{name}-links")
+    return labels.select("c", "comp")
 
 
 # ---------------------------------------------------------------- the operator
@@ -306,38 +305,36 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     classes = materialise(classes, "classes", folder)
     bands = classes.select("c", "regs").mapInArrow(band_rows, "k long, c long")
     bands = materialise(bands, "bands", folder)
-    shared = materialise(bands.groupBy("k").agg(F.count("*").alias("size")).where("size > 1").select("k"), "shared", folder)
-    rows = materialise(merged(bands, shared, "k", "left_semi"), "rows", folder)
+    # buckets of several classes, and the leader of each
+    shared = bands.groupBy("k").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("c", "k").alias("o"), F.col("c").alias("c"))).alias("l"))
+    shared = materialise(shared.where("size > 1").select("k", F.col("l.c").alias("lead")), "shared", folder)
+    rows = materialise(merged(bands, shared, "k"), "rows", folder)
     least = floor_estimate(percent / 100)
-    info = classes.select("c", "n", "regs")
+    info = classes.select("c", "n", "regs", "rep")
 
     def side(x: str) -> DataFrame:
-        return info.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+        return info.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), F.col("rep").alias(f"d{x}"))
 
-    def full_sets(need: DataFrame, name: str) -> DataFrame:
-        """(c, sets) of the classes named in need, recomputed from the text of one of their documents."""
-        of = merged(classes.select("c", F.col("rep").alias("doc_id")), need, "c", "left_semi")
-        texts = merged(docs, of.select("doc_id").distinct(), "doc_id", "left_semi")
+    def full_sets(reps: DataFrame, name: str) -> DataFrame:
+        """(c, sets) of the classes that the documents named in reps have, recomputed from their texts."""
+        texts = merged(docs, reps.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
         sets = texts.mapInArrow(signature_rows(shingle, True), f"doc_id {id_type}, n long, c long, sets binary")
-        sets = merged(sets, need, "c", "left_semi").groupBy("c").agg(F.first("sets").alias("sets"))
-        return materialise(sets, f"sets-{name}", folder)
+        return materialise(sets.where("n > 0").groupBy("c").agg(F.first("sets").alias("sets")), f"sets-{name}", folder)
 
     # 1. every member against its bucket's leader
-    leader = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("c", "k").alias("o"), F.col("c").alias("c"))).alias("l"))
-    leader = materialise(leader.select("k", F.col("l.c").alias("lead")), "leader", folder)
-    met = merged(rows, leader, "k").where("c <> lead")
+    met = rows.where("c <> lead")
     pairs = met.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
-    pairs = merged(merged(pairs, side("a"), "a"), side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
-    pairs = materialise(pairs.mapInArrow(estimate_pairs(least), "a long, b long"), "pairs-1", folder)
-    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "1")
+    pairs = merged(merged(pairs, side("a"), "a"), side("b"), "b").select("a", "b", "na", "nb", "ra", "rb", "da", "db")
+    pairs = materialise(pairs.mapInArrow(estimate_pairs(least), f"a long, b long, da {id_type}, db {id_type}"), "pairs-1", folder)
+    sets = full_sets(pairs.select(F.explode(F.array("da", "db")).alias("doc_id")), "1")
     one = sets.select(F.col("c").alias("a"), F.col("sets").alias("sa"))
     two = sets.select(F.col("c").alias("b"), F.col("sets").alias("sb"))
-    full = merged(merged(pairs, one, "a"), two, "b").select("a", "b", "sa", "sb")
+    full = merged(merged(pairs.select("a", "b"), one, "a"), two, "b").select("a", "b", "sa", "sb")
     links = materialise(full.mapInArrow(confirm_pairs(percent), "a long, b long"), "links-1", folder)
     label = components(links, folder, "comp-1")
 
     # 2. members of different components that still share a bucket
-    tagged = merged(rows, label, "c", "left").select("k", "c", F.coalesce("comp", "c").alias("comp"))
+    tagged = merged(rows.select("k", "c"), label, "c", "left").select("k", "c", F.coalesce("comp", "c").alias("comp"))
     tagged = materialise(tagged, "tagged", folder)
     part = tagged.groupBy("k", "comp").agg(F.count("*").alias("m"))
     part = part.groupBy("k").agg(F.count("*").alias("parts"), F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("top"))
@@ -346,30 +343,41 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
         "k", F.col("top.comp").alias("main"), F.ceil(F.col("size") / BLOCK).alias("gm"), F.ceil((F.col("size") - F.col("top.m")) / BLOCK).alias("gu")
     )
     part = materialise(part, "parts", folder)
-    open_rows = merged(tagged, part, "k")
-    spot = F.pmod(F.xxhash64("c"), F.lit(1 << 40))
-    members = open_rows.select("k", "c", "comp", F.lit(0).alias("side"), F.pmod(spot, F.col("gm")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("gu").cast("int") - 1)).alias("j"))
-    others = open_rows.where("comp <> main").select(
-        "k", "c", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("gm").cast("int") - 1)).alias("i"), F.pmod(spot, F.col("gu")).alias("j")
-    )
-    cells = members.select("k", "c", "comp", "side", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).union(
-        others.select("k", "c", "comp", "side", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
-    )
-    sets = full_sets(open_rows.select("c").distinct(), "2")
-    cells = merged(merged(cells, info, "c"), sets, "c")
-    cells = cells.select(F.xxhash64("k", "i", "j").alias("block"), "k", "side", "c", "comp", "n", "regs", "sets")
-    cells = cells.repartition("block").sortWithinPartitions("block", "k")
-    more = materialise(cells.mapInArrow(compare_blocks(least, percent), "a long, b long"), "links-2", folder)
-    links = links.union(more)
-    label = components(links, folder, "comp-2")
+    if not part.isEmpty():
+        open_rows = materialise(merged(tagged, part, "k"), "open", folder)
+        spot = F.pmod(F.xxhash64("c"), F.lit(1 << 40))
+
+        def cells_of(rows: DataFrame, mark: int, i, j) -> DataFrame:
+            return rows.select("k", "c", "comp", F.lit(mark).alias("side"), i.alias("i"), j.alias("j"))
+
+        def all_of(g: str):
+            return F.sequence(F.lit(0).cast("long"), F.col(g) - 1)
+
+        # a bucket's members and others in a grid of cells of at most BLOCK of each
+        members = cells_of(open_rows, 0, F.array(F.pmod(spot, F.col("gm"))), all_of("gu"))
+        others = cells_of(open_rows.where("comp <> main"), 1, all_of("gm"), F.array(F.pmod(spot, F.col("gu"))))
+        cells = members.union(others).withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
+        few = merged(open_rows.select("c").distinct(), info, "c")
+        few = materialise(few, "few", folder)
+        sets = full_sets(few.select(F.col("rep").alias("doc_id")), "2")
+        cells = merged(cells, merged(few.drop("rep"), sets, "c"), "c")
+        cells = cells.select(F.xxhash64("k", "i", "j").alias("block"), "k", "side", "c", "comp", "n", "regs", "sets")
+        cells = cells.repartition("block").sortWithinPartitions("block", "k")
+        more = materialise(cells.mapInArrow(compare_blocks(least, percent), "a long, b long"), "links-2", folder)
+        if not more.isEmpty():
+            label = components(links.union(more), folder, "comp-2")
 
     # classes back to documents
-    low = merged(classes, label, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "rep")
-    low = materialise(low, "low", folder)
-    smallest = materialise(low.groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest", folder)
-    of_class = materialise(merged(low, smallest, "comp").select("c", "component_id"), "of-class", folder)
-    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"))
-    out = merged(out, of_class, "c", "left")
+    linked = materialise(merged(label, classes.select("c", "rep"), "c"), "linked", folder)
+    smallest = linked.groupBy("comp").agg(F.min("rep").alias("low"))
+    linked = materialise(merged(linked, smallest, "comp").select("c", "low"), "low", folder)
+    of_class = merged(classes.select("c", "rep"), linked, "c", "left").select("c", F.coalesce("low", "rep").alias("component_id"))
+    of_class = materialise(of_class, "of-class", folder)
+    # rows without shingles belong to no class: they get keys of their own, so that they do not meet in one task
+    key = F.when(F.col("n") > 0, F.col("c")).otherwise(F.xxhash64("doc_id"))
+    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("class_id"), key.alias("c"))
+    out = merged(out, of_class, "c", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")))
     cid = F.coalesce("component_id", "doc_id")
-    discard(spark, *(f"{folder}/{x}" for x in ("bands", "shared", "rows", "leader", "tagged", "parts", "pairs-1", "sets-1", "sets-2", "low", "smallest")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+    gone = ("bands", "shared", "rows", "tagged", "parts", "open", "few", "pairs-1", "sets-1", "sets-2", "links-1", "links-2", "linked", "low", "classes")
+    discard(spark, *(f"{folder}/{x}" for x in gone))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
