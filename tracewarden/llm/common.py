@@ -38,10 +38,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tracewarden-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that lets the shuffle files of a query go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str, folder: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. Once it is written
+    nothing reads the shuffle files behind it, so they go at once."""
+    path, conf = f"{folder}/{name}", df.sparkSession.conf
+    was = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(CLEAN, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +60,14 @@ def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "i
     return left.join(right.hint("merge"), on, how)
 
 
+def spread(left: DataFrame, right: DataFrame, on: str, how: str = "inner", parts: int = 8) -> DataFrame:
+    """merged() where a key may have very many rows on the left and has one at most on the right: the left's rows are dealt to
+    parts tasks a key, and the right's rows are repeated for each."""
+    deal = F.pmod(F.xxhash64(*left.columns), F.lit(parts))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    return merged(left.withColumn("_deal", deal), right.withColumn("_deal", every), [on, "_deal"], how).drop("_deal")
+
+
 def free_prefix(columns: list[str]) -> str:
     """A prefix with which no column begins, in either case."""
     prefix = "_"

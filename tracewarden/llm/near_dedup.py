@@ -24,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, materialise, merged, mix, ngram_hashes, pieces, scratch_dir, ship, slices, utf8, WordTable
+from .common import discard, hash_words, materialise, merged, mix, ngram_hashes, pieces, scratch_dir, ship, slices, spread, utf8, WordTable
 
 BANDS, ROWS = 30, 5
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
 BLOCK = 512
+#: Rows of one class that are joined in one task, about.
+HOT_ROWS = 5_000
 #: A true link at the threshold is thrown away by the estimate only beyond this many standard deviations.
 MARGIN_SIGMA = 5.0
 
@@ -258,7 +260,8 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(a, b) -> (c, comp): comp is the smallest node reachable from c; only nodes with an edge are returned.
 
     Smallest-label propagation with pointer jumping. Each round is written to the shared folder, which cuts lineage; labels
-    reach a node through a map-side minimum, so a node with very many links is no hot spot.
+    reach a node through a map-side minimum and joins are dealt, so that neither a node with very many links nor a component
+    of very many nodes is a hot spot.
     """
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -267,11 +270,11 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     labels = materialise(labels, f"{name}-0", folder)
     turn, moved = 0, not labels.isEmpty()
     while moved:
-        near = merged(both, labels.select(F.col("c").alias("b"), "comp"), "b").select(F.col("a").alias("c"), "comp", F.lit(None).cast("long").alias("old"))
+        near = spread(both, labels.select(F.col("c").alias("b"), "comp"), "b").select(F.col("a").alias("c"), "comp", F.lit(None).cast("long").alias("old"))
         low = near.union(labels.select("c", "comp", F.col("comp").alias("old"))).groupBy("c").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
         to = labels.select(F.col("c").alias("comp"), F.col("comp").alias("jump"))
         turn += 1
-        new = merged(low, to, "comp", "left").select("c", F.least("comp", F.coalesce("jump", "comp")).alias("comp"), "old")
+        new = spread(low, to, "comp", "left").select("c", F.least("comp", F.coalesce("jump", "comp")).alias("comp"), "old")
         new = materialise(new.select("c", "comp", (F.col("comp") != F.col("old")).alias("moved")), f"{name}-{turn}", folder)
         moved = not new.where("moved").isEmpty()
         discard(spark, f"{folder}/{name}-{turn - 1}")
@@ -301,7 +304,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sig = materialise(docs.mapInArrow(signature_rows(shingle, False), f"doc_id {id_type}, n long, c long, regs binary"), "sig", folder)
     # equal sets: one class; registers follow from the set, so any row's will do
-    classes = sig.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = sig.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("rows"))
     classes = materialise(classes, "classes", folder)
     bands = classes.select("c", "regs").mapInArrow(band_rows, "k long, c long")
     bands = materialise(bands, "bands", folder)
@@ -370,13 +373,17 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     # classes back to documents
     linked = materialise(merged(label, classes.select("c", "rep"), "c"), "linked", folder)
     smallest = linked.groupBy("comp").agg(F.min("rep").alias("low"))
-    linked = materialise(merged(linked, smallest, "comp").select("c", "low"), "low", folder)
-    of_class = merged(classes.select("c", "rep"), linked, "c", "left").select("c", F.coalesce("low", "rep").alias("component_id"))
+    linked = materialise(spread(linked, smallest, "comp").select("c", "low"), "low", folder)
+    of_class = merged(classes.select("c", "rep", "rows"), linked, "c", "left").select("c", "rows", F.coalesce("low", "rep").alias("component_id"))
     of_class = materialise(of_class, "of-class", folder)
-    # rows without shingles belong to no class: they get keys of their own, so that they do not meet in one task
-    key = F.when(F.col("n") > 0, F.col("c")).otherwise(F.xxhash64("doc_id"))
-    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("class_id"), key.alias("c"))
-    out = merged(out, of_class, "c", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")))
+    # no more than 2 ** 17 classes can have so many rows: these are broadcast, all others are joined
+    total = of_class.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    often = of_class.where(F.col("rows") > max(HOT_ROWS, total >> 17)).select("c", F.col("component_id").alias("known"))
+    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("class_id"), "c").join(F.broadcast(often), "c", "left")
+    # rows that need no class get keys of their own, so that they do not meet in one task
+    key = F.when((F.col("n") > 0) & F.col("known").isNull(), F.col("c")).otherwise(F.xxhash64("doc_id"))
+    out = merged(out.withColumn("c", key), of_class.select("c", "component_id"), "c", "left")
+    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("known", "component_id")))
     cid = F.coalesce("component_id", "doc_id")
     gone = ("bands", "shared", "rows", "tagged", "parts", "open", "few", "pairs-1", "sets-1", "sets-2", "links-1", "links-2", "linked", "low", "classes")
     discard(spark, *(f"{folder}/{x}" for x in gone))

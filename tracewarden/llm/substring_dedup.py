@@ -19,21 +19,22 @@ order of documents does not matter. Popular passages meet in map-side minima; no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, materialise, merged, mix, ngram_hashes, pieces, scratch_dir, ship, slices, starts_of, utf8, WordTable
+from .common import discard, hash_words, materialise, merged, mix, pieces, scratch_dir, ship, slices, starts_of, utf8, WordTable
 
 ANCHOR_WORDS = 5
 FILTER_BITS = 28
 #: Slots of one block of the filter, as a power of two.
 BLOCK_BITS = 16
 #: Distinct phrases of a reference block, about, and of one anchor before they are cut into windows.
-BLOCK_PHRASES, ANCHOR_PHRASES = 150_000, 20_000
+BLOCK_PHRASES, ANCHOR_PHRASES = 150_000, 1_000
 #: Rows of one phrase that are joined in one task, about.
 HOT_ROWS = 10_000
 #: Parts into which the windows of crowded anchors are dealt when they are told their first document.
@@ -46,44 +47,73 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # ---------------------------------------------------------------- kernels
 
 
-def phrases(flat: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Of texts' word hashes laid end to end: text number, start in the text, windows, anchor, hash of the whole factor."""
-    k, w = ANCHOR_WORDS, window - ANCHOR_WORDS + 1
-    total = len(flat)
+@lru_cache(maxsize=1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse, to the powers 0 .. size - 1, modulo 2 ** 64."""
+    out = []
+    with np.errstate(over="ignore"):
+        for x in (BASE, INVERSE):
+            p = np.full(size, x, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+class Runs:
+    """Hashes of runs of words, from sums over all words before."""
+
+    def __init__(self, flat: np.ndarray):
+        size = 1 << 16
+        while size <= len(flat):
+            size *= 2
+        power, self.back = powers(size)
+        self.sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(flat * power[: len(flat)], out=self.sums[1:])
+
+    def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Of the words from s up to e."""
+        return mix((self.sums[e] - self.sums[s]) * self.back[s] + (e - s).astype(np.uint64))
+
+    def all_of(self, n: int) -> np.ndarray:
+        """Of the n words from each place on."""
+        m = len(self.sums) - n
+        return mix((self.sums[n:] - self.sums[:m]) * self.back[:m] + np.uint64(n))
+
+
+def first_least(g: np.ndarray, w: int) -> np.ndarray:
+    """For every run of w values, the place of its first least one; found by doubling."""
+    n = len(g) - w + 1
+
+    def better(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.where(g[q] < g[p], q, p)
+
+    power, width = np.arange(len(g), dtype=np.int32), 1
+    best, done = None, 0
+    while True:
+        if w & width:
+            part = power[done : done + n]
+            best = part if best is None else better(best, part)
+            done += width
+        if done == w:
+            return best
+        power, width = better(power[:-width], power[width:]), 2 * width
+
+
+def phrases(runs: Runs, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Of texts' words laid end to end: text number, first word (of all), windows, anchor."""
+    k = ANCHOR_WORDS
+    total = int(starts[-1])
     m = total - window + 1
-    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     if m <= 0:
-        return none
-    g = ngram_hashes(flat, k)
-    best = g[:m].copy()
-    at = np.zeros(m, np.int64)
-    for o in range(1, w):
-        cand = g[o : o + m]
-        less = cand < best
-        best[less] = cand[less]
-        at[less] = o
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    g = runs.all_of(k)
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    good = np.flatnonzero(doc[:m] == doc[window - 1 : window - 1 + m])
-    if not len(good):
-        return none
-    pos = good + at[good]
+    good = np.flatnonzero(doc[:m] == doc[window - 1 :])
+    pos, own = first_least(g, window - k + 1)[good], doc[good]
     new = np.ones(len(good), bool)
-    new[1:] = (pos[1:] != pos[:-1]) | (good[1:] != good[:-1] + 1) | (doc[good[1:]] != doc[good[:-1]])
+    new[1:] = (pos[1:] != pos[:-1]) | (own[1:] != own[:-1])
     head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(good)))
-    s = good[head]
-    e = s + count + window - 1
-    with np.errstate(over="ignore"):
-        power = np.full(total, BASE, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        back = np.full(total, INVERSE, np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        q = np.zeros(total + 1, np.uint64)
-        np.cumsum(flat * power, out=q[1:])
-        whole = mix((q[e] - q[s]) * back[s] + count.astype(np.uint64))
-    return doc[s], s - starts[doc[s]], count, best[s], whole
+    return own[head], good[head], np.diff(np.append(head, len(good))), g[pos[head]]
 
 
 def _texts(batch: pa.RecordBatch, column: int, table: WordTable) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -105,7 +135,7 @@ def slot_rows(window: int):
         table = WordTable()
         for batch in pieces(batches):
             for _, flat, starts in _texts(batch, 0, table):
-                doc, _, _, anchor, _ = phrases(flat, starts, window)
+                doc, _, _, anchor = phrases(Runs(flat), starts, window)
                 if not len(doc):
                     continue
                 own = np.unique(doc << FILTER_BITS | _slot(anchor)) & ((1 << FILTER_BITS) - 1)
@@ -144,17 +174,18 @@ def phrase_rows(window: int, shared):
         table, bits = WordTable(), np.frombuffer(shared.value, np.uint8)
         for batch in pieces(batches):
             for a, flat, starts in _texts(batch, 0, table):
-                doc, s, count, anchor, whole = phrases(flat, starts, window)
+                runs = Runs(flat)
+                doc, s, count, anchor = phrases(runs, starts, window)
                 slot = _slot(anchor)
                 keep = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
                 if not len(keep):
                     continue
-                row, c = pa.array(doc[keep] + a), count[keep]
-                edge = starts_of(c)
-                at = np.repeat(starts[doc[keep]] + s[keep] - edge[:-1], c) + np.arange(edge[-1])
-                w = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ngram_hashes(flat, window)[at].view(np.int64)))
-                cols = [pa.array(anchor[keep].view(np.int64)), pa.array(whole[keep].view(np.int64)), batch.column(1).take(row), batch.column(2).take(row)]
-                cols += [pa.array(s[keep].astype(np.int32)), pa.array(c.astype(np.int32)), w]
+                doc, s, c, anchor = doc[keep], s[keep], count[keep], anchor[keep]
+                row, whole, edge = pa.array(doc + a), runs.hashes(s, s + c + (window - 1)), starts_of(c)
+                at = np.repeat(s - edge[:-1], c) + np.arange(edge[-1])
+                w = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(runs.hashes(at, at + window).view(np.int64)))
+                cols = [pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(1).take(row), batch.column(2).take(row)]
+                cols += [pa.array((s - starts[doc]).astype(np.int32)), pa.array(c.astype(np.int32)), w]
                 yield pa.RecordBatch.from_arrays(cols, names=["anchor", "whole", "doc_id", "t", "s", "c", "w"])
 
     return run
@@ -233,50 +264,71 @@ def parse_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found.drop_columns(found.column_names[:3]).to_batches(max_chunksize=20_000)
 
 
-def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) -> (doc_id, n_words, n_removed, text of the words outside all spans, merged spans)."""
-    for batch in pieces(batches):
-        texts, spans = utf8(batch.column(1)), batch.column(2)
-        n_words, n_removed, kept, merged = [], [], [], []
-        for a, b in slices(texts):
-            for i in range(a, b):
-                words = texts[i].split()
-                n_words.append(len(words))
-                own = spans[i].as_py()
-                if not own:
-                    n_removed.append(0)
-                    kept.append(b" ".join(words))
-                    merged.append([])
-                    continue
-                edge = np.zeros(len(words) + 1, np.int32)
-                for x in own:
-                    edge[x["s"]] += 1
-                    edge[min(x["s"] + x["n"], len(words))] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                n_removed.append(int(gone.sum()))
-                turn = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                merged.append([{"start": int(s), "end": int(e)} for s, e in turn.reshape(-1, 2)])
-                kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
-            first = len(n_words) - (b - a)
-            cols = [batch.column(0).slice(a, b - a), pa.array(n_words[first:], pa.int64()), pa.array(n_removed[first:], pa.int64())]
-            cols += [pa.array([x.decode("utf-8") for x in kept], pa.string()), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-            kept, merged = [], []
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
+def deal_rows(shared):
+    """(anchor, whole, t, s, ...) -> the same and deal: 0, or for the very frequent phrases one of as many numbers as tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, anchor, parts = shared.value
+        for batch in batches:
+            own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            at = np.minimum(np.searchsorted(whole, own[1]), len(whole) - 1)
+            hot = (whole[at] == own[1]) & (anchor[at] == own[0])
+            spot = mix(own[2].view(np.uint64) + own[3].astype(np.uint64))
+            deal = np.where(hot, spot % parts[at].astype(np.uint64), 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(deal)], names=[*batch.schema.names, "deal"])
+
+    return run
+
+
+def cut_rows(one_space: bool):
+    """(doc_id, text, spans, ...) -> (doc_id, n_words, n_removed, text of the words outside all spans, merged spans, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts, spans = utf8(batch.column(1)), batch.column(2)
+            for a, b in slices(texts):
+                n_words, n_removed, kept, merged = [], [], [], []
+                for i in range(a, b):
+                    words = texts[i].split()
+                    n_words.append(len(words))
+                    own = spans[i].as_py()
+                    if not own:
+                        n_removed.append(0)
+                        kept.append(b" ".join(words) if one_space else None)
+                        merged.append([])
+                        continue
+                    edge = np.zeros(len(words) + 1, np.int32)
+                    for x in own:
+                        edge[x["s"]] += 1
+                        edge[min(x["s"] + x["n"], len(words))] -= 1
+                    gone = np.cumsum(edge[:-1]) > 0
+                    n_removed.append(int(gone.sum()))
+                    turn = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+                    merged.append([{"start": int(s), "end": int(e)} for s, e in turn.reshape(-1, 2)])
+                    kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
+                text = pa.array(kept, pa.binary()).cast(pa.string())
+                if not one_space:
+                    text = pa.compute.if_else(pa.array(np.array(n_removed) > 0), text, batch.column(1).slice(a, b - a))
+                cols = [batch.column(0).slice(a, b - a), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text]
+                cols += [pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), *(c.slice(a, b - a) for c in batch.columns[3:])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_text", "spans", *batch.schema.names[3:]])
+
+    return run
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def remove_repeats(documents: DataFrame, window: int = 13) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 13, carry: Sequence[str] = (), one_space: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text, spans (word ranges [start, end) that were removed).
 
     Words are split at ASCII white space and taken as they are. A word goes if a window of `window` consecutive words covers
     it whose words also start, in the same order, in a document with a smaller doc_id; windows are judged on the input.
-    kept_text joins what stays by single spaces.
+    kept_text joins what stays by single spaces; without one_space, texts from which nothing is removed stay as they are.
 
     Null, empty and short texts have no window and keep all words. Rows that repeat a doc_id are not earlier than one
     another; a row without a doc_id is earlier than none and keeps all its words. An empty table gives an empty result.
-    Other columns are ignored.
+    Columns named in carry go along with their rows, under names that none of the others has; all other columns are ignored.
     """
     if window < ANCHOR_WORDS:
         raise ValueError(f"window must be at least {ANCHOR_WORDS} words")
@@ -306,12 +358,13 @@ def remove_repeats(documents: DataFrame, window: int = 13) -> DataFrame:
     # rows of very frequent phrases are dealt to several tasks; no more than 2 ** 17 phrases can be so frequent
     size = first.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
     part = max(HOT_ROWS, size >> 17)
-    hot = verdict.where(F.col("rows") > part).select("anchor", "whole", F.ceil(F.col("rows") / part).cast("int").alias("parts"))
-    at = found.drop("w")
+    hot = verdict.where(F.col("rows") > part).select("whole", "anchor", F.ceil(F.col("rows") / part).cast("long").alias("parts")).orderBy("whole").toArrow()
+    at = found.select("anchor", "whole", "t", "s", "c", "doc_id")
     keys = ["anchor", "whole"]
-    if not hot.isEmpty():
-        at = at.join(F.broadcast(hot), keys, "left").withColumn("deal", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "s"), F.col("parts"))).otherwise(0)).drop("parts")
-        dealt = F.when(F.col("rows") > part, F.sequence(F.lit(0), F.ceil(F.col("rows") / part).cast("long") - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    if len(hot):
+        dealing = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in hot.columns))
+        at = at.mapInArrow(deal_rows(dealing), f"anchor long, whole long, t long, s int, c int, doc_id {id_type}, deal long")
+        dealt = F.when(F.col("rows") > part, F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rows") / part).cast("long") - 1)).otherwise(F.array(F.lit(0).cast("long")))
         verdict = verdict.withColumn("deal", F.explode(dealt))
         keys = [*keys, "deal"]
     spans = merged(at, verdict, keys)
@@ -320,8 +373,9 @@ def remove_repeats(documents: DataFrame, window: int = 13) -> DataFrame:
     spans = spans.select("doc_id", "t", F.explode(F.when(F.col("m") < F.col("doc_id"), all_of_it).otherwise(own)).alias("x"))
     spans = materialise(spans.groupBy("doc_id", "t").agg(F.collect_set("x").alias("spans")), "spans", folder)
     discard(spark, *(f"{folder}/{x}" for x in ("blocks", "found", "first", "crowded", "verdict")))
-    out = merged(docs, spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(cut_rows, f"doc_id {id_type}, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")
+    more = "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)
+    out = merged(documents.select("doc_id", "text", F.xxhash64("text").alias("t"), *carry), spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans", *carry)
+    return out.mapInArrow(cut_rows(one_space), f"doc_id {id_type}, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>{more}")
 
 
 def parsed(first: DataFrame, id_type: str, folder: str) -> DataFrame:
@@ -330,12 +384,12 @@ def parsed(first: DataFrame, id_type: str, folder: str) -> DataFrame:
     crowded = first.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > ANCHOR_PHRASES).select("anchor")
     crowded = materialise(crowded, "crowded", folder)
     some = not crowded.isEmpty()
-    usual = merged(first, crowded, "anchor", "left_anti") if some else first
+    usual = first.join(crowded, "anchor", "left_anti") if some else first  # few anchors: Spark broadcasts them up to its own bound
     usual = usual.repartition(blocks, "anchor").sortWithinPartitions("m").select(F.xxhash64("m").alias("mark"), "w", "later", "anchor", "whole", "m", "rows")
     out = usual.mapInArrow(parse_block, f"anchor long, whole long, m {id_type}, rows long, factors array<struct<o:int,n:int>>")
     if not some:
         return out
-    rest = merged(first, crowded, "anchor", "left_semi")
+    rest = first.join(crowded, "anchor", "left_semi")
     single = rest.select("anchor", "whole", "m", F.posexplode("w").alias("o", "key"))
     low = single.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo < hi")
     low = low.select("key", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("deal"))
