@@ -78,13 +78,13 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     stays empty. n_chars, where there is such a column, follows the text.
     """
     rows = Rows(docs)
-    cut = remove_repeats(rows.texts(), window=13).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("row_key"), "kept_text", (F.col("n_removed") == F.col("n_words")).alias("empty"))
-    out = merged(rows.table, cut.dropDuplicates(["row_key"]), "row_key", "left").where("empty IS NULL OR NOT empty")
-    new = {rows.text: F.coalesce("kept_text", rows.text)}
+    out = rows.table.withColumnsRenamed({"row_key": "doc_id"}).withColumn("text", F.col(rows.text))
+    out = remove_repeats(out, window=13, carry=[c for c in rows.own if c != rows.text], one_space=False)
+    out = out.where("n_removed = 0 OR n_removed < n_words")
+    new = {rows.text: F.col("kept_text")}
     if "n_chars" in rows.names:
         n = rows.own[rows.names.index("n_chars")]
-        new[n] = F.when(F.col("kept_text").isNotNull(), F.char_length("kept_text")).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType)
+        new[n] = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType)
     return rows.named(out.select(*[new.get(c, F.col(c)).alias(c) for c in rows.own]))
 
 
