@@ -384,3 +384,23 @@ def test_goertzel_and_blocks(spark):
     d = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "series_id string, idx long, x double")
     assert [r["power"] for r in signal.goertzel(d, 0.25, 1.0, 8).orderBy("block").collect()] == pytest.approx([16.0] * 3)
     assert signal.blocks(d, 32).count() == 0
+
+
+def test_keywords_do_not_reach_across_fields(spark):
+    rule = rules.compile_rule({"id": "k", "detection": {"words": ["err*r"], "condition": "words"}})
+    events = [{"a": "xerr", "b": "zr"}, {"a": "terror", "b": ""}, {"a": None, "b": "ERR or"}]
+    d = spark.createDataFrame([(i, e) for i, e in enumerate(events)], "id long, fields map<string,string>")
+    got = {r["id"] for r in rules.fire(d, [rule], ["id"], *rules.map_access()).collect()}
+    assert got == {i for i, e in enumerate(events) if rules.matches(rule, e)} == {1, 2}
+
+
+def test_fire_scans_once_whatever_the_number_of_rules(spark, monkeypatch):
+    monkeypatch.setattr(rules, "CHUNK", 2)
+    raw = [{"id": f"r{i}", "detection": {"s": {"a|contains": f"{i}"}, "condition": "s"}} for i in range(5)]
+    raw += [{"id": "net", "detection": {"s": {"ip|cidr": "10.0.0.0/8"}, "condition": "s"}}, {"id": "dash", "detection": {"s": {"a|contains|windash": " -x"}, "condition": "s"}}]
+    compiled = [rules.compile_rule(r) for r in raw]
+    events = [{"a": "13", "ip": "10.2.3.4"}, {"a": "run /x 4", "ip": "11.0.0.1"}, {"a": "none", "ip": "10.0.0"}]
+    d = spark.createDataFrame([(i, e) for i, e in enumerate(events)], "id long, fields map<string,string>")
+    out = rules.fire(d, compiled, ["id"], *rules.map_access())
+    assert sorted(map(tuple, out.collect())) == sorted((i, r.rule_id) for i, e in enumerate(events) for r in compiled if rules.matches(r, e))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") + out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,22 +32,22 @@ def windowed_fanout(events: DataFrame, entity: str, value: str, ts: str, grain:
 
 @dataclass
 class Shadow:
-    """What is known of one actor: recent events, how far it has come, and how warm that is."""
+    """What is known of one actor: when each stage's events came, when stages were met, and how warm that is."""
 
-    events: list[dict] = field(default_factory=list)
-    prefix: int = 0
-    times: list[float] = field(default_factory=list)
-    weight: float = 0.0
+    seen: list[list[float]] = field(default_factory=list)
+    met: list[float] = field(default_factory=list)
+    warmth: float = 0.0
     last: float | None = None
-    fired: bool = False
+    told: bool = False
 
 
-Stage = Callable[[list[dict], float | None], float | None]
+Stage = Callable[[dict], bool]
 
 
 @dataclass(frozen=True)
 class ShadowRules:
-    """Stages take (events, not before) and return when they are met. Weights fade with tau; below prune they are dropped."""
+    """Stages say whether an event is theirs, and are met in their order, each no earlier than the one before. Warmth fades
+    with tau; below prune what was met is forgotten. Events count for horizon seconds (8 tau, if not given)."""
 
     stages: tuple[Stage, ...]
     fire_at: int = 2
@@ -54,40 +55,39 @@ class ShadowRules:
     prune: float = 0.05
     horizon: float | None = None
 
+    def further(self, s: Shadow) -> Iterator[float]:
+        """Times at which the stages after those already met can be met, from the sorted times of their events."""
+        at = s.met[-1] if s.met else -math.inf
+        for times in s.seen[len(s.met) :]:
+            k = bisect_left(times, at)
+            if k == len(times):
+                return
+            at = times[k]
+            yield at
+
     def observe(self, s: Shadow, event: dict, t: float) -> dict | None:
-        """Take in one event of the actor, in time order; an alert when its prefix first reaches fire_at."""
-        keep = t - (self.horizon if self.horizon is not None else 8 * self.tau)
-        s.events = [e for e in s.events if e["t"] >= keep] + [event | {"t": t}]
-        if s.prefix and s.last is not None:
-            s.weight *= math.exp(-max(0.0, t - s.last) / self.tau)
-            if s.weight < self.prune:
-                s.prefix, s.times, s.weight, s.fired = 0, [], 0.0, False
-        moved = False
-        while s.prefix < len(self.stages):
-            met = self.stages[s.prefix](s.events, s.times[-1] if s.times else None)
-            if met is None:
-                break
-            s.prefix += 1
-            s.times.append(met)
-            moved = True
-        if moved:
-            s.weight = 1.0
-        if s.prefix:
-            s.last = t
-        if s.prefix >= self.fire_at and not s.fired:
-            s.fired = True
-            return {"prefix": s.prefix, "completeness": s.prefix / len(self.stages), "t": s.times[s.prefix - 1], "weight": s.weight}
-        return None
+        """Take in one event of the actor, in time order; an alert when the stages met first number fire_at."""
+        since = t - (8 * self.tau if self.horizon is None else self.horizon)
+        recent = [times[bisect_left(times, since) :] for times in s.seen] or [[] for _ in self.stages]
+        for times, stage in zip(recent, self.stages, strict=True):
+            if stage(event):
+                insort(times, t)
+        s.seen = recent
+        if s.met:
+            faded = s.warmth * math.exp(min(0.0, s.last - t) / self.tau)
+            s.met, s.warmth, s.told = (s.met, faded, s.told) if faded >= self.prune else ([], 0.0, False)
+        new = list(self.further(s))
+        s.met, s.warmth = s.met + new, 1.0 if new else s.warmth
+        s.last = t if s.met else s.last
+        if s.told or len(s.met) < self.fire_at:
+            return None
+        s.told = True
+        return {"prefix": len(s.met), "completeness": len(s.met) / len(self.stages), "t": s.met[-1], "weight": s.warmth}
 
 
 def first_with(field_: str, value: str) -> Stage:
-    """A stage met by the earliest event whose field has the value."""
-
-    def stage(events: list[dict], not_before: float | None) -> float | None:
-        times = [e["t"] for e in events if e.get(field_) == value and (not_before is None or e["t"] >= not_before)]
-        return min(times) if times else None
-
-    return stage
+    """A stage of events whose field has the value."""
+    return lambda event: event.get(field_) == value
 
 
 ALERT = "actor string, prefix int, completeness double, t double, weight double"
