@@ -287,7 +287,47 @@ def test_lattice_relations(spark):
     sets = {1: "a b", 2: "a b", 3: "a b c", 4: "c d", 5: "e"}
     d = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s.split()], "i int, t string")
     got = {(r["a"], r["b"]): r["rel"] for r in corpus.lattice_edges(d, "i", "t").collect()}
-    assert got == {(1, 2): "exact", (1, 3): "broader", (2, 3): "broader", (3, 4): "related"}
+    assert got == {(1, 2): "exact", (1, 3): "broader", (3, 4): "related"}
+    # relations of classes, told of all their members, are those of all pairs
+    copies = {1: [1] + [b for (a, b), r in got.items() if r == "exact" and a == 1]}
+    every = got | {(x, y): r for (a, b), r in got.items() if r != "exact" for x in copies.get(a, [a]) for y in copies.get(b, [b])}
+    assert every == {(1, 2): "exact", (1, 3): "broader", (2, 3): "broader", (3, 4): "related"}
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8])
+def test_tight_relations_are_all_found_on_rare_tokens(spark, least):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"t{int(x)}") for i in range(80) for x in set(rng.zipf(1.4, 6) % 30)]
+    d = spark.createDataFrame(rows, "i int, t string")
+    full = {tuple(r) for r in corpus.lattice_edges(d, "i", "t").collect() if r["tightness"] >= least}
+    assert full and full == {tuple(r) for r in corpus.lattice_edges(d, "i", "t", least=least).collect()}
+
+
+def test_pairs_that_never_meet_are_coordinated(spark):
+    rows = [(1, b) for b in range(0, 30, 2)] + [(2, b) for b in range(1, 30, 2)] + [(3, 0), (3, 29)]
+    out = {(r["a"], r["b"]): (r["mi"], r["pearson"]) for r in detectors.coordination(spark.createDataFrame(rows, "entity int, bin long")).collect()}
+    assert out[1, 2] == (1.0, -1.0) and set(out) == {(1, 2), (1, 3), (2, 3)}
+    assert [(r["a"], r["b"]) for r in detectors.coordination(spark.createDataFrame(rows, "entity int, bin long"), least=0.5).collect()] == [(1, 2)]
+
+
+def test_running_totals_by_ranges(spark):
+    rng = np.random.default_rng(1)
+    keys = sorted(set(rng.normal(size=500).round(3).tolist()))
+    d = spark.createDataFrame([(k, int(n)) for k, n in zip(keys, rng.integers(0, 9, len(keys)), strict=True)], "k double, n long")
+    got = {r["k"]: (r["up"], r["low"]) for r in detectors.running(detectors.running(d, "k", "n", "up"), "k", "n", "low", descending=True, agg=F.min).collect()}
+    total, up = 0, {}
+    for r in d.orderBy("k").collect():
+        total += r["n"]
+        up[r["k"]] = total
+    n = dict(map(tuple, d.collect()))
+    assert got == {k: (up[k], min(n[j] for j in keys if j >= k)) for k in keys}
+    assert detectors.running(d.limit(0), "k", "n", "up").collect() == []
+
+
+def test_entropy_as_an_aggregate(spark):
+    d = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 5), ("c", 0), ("c", None)], "g string, n long")
+    got = {r["g"]: (r["h"], r["c"]) for r in d.groupBy("g").agg(stats.entropy(F.col("n")).alias("h"), stats.herfindahl(F.col("n")).alias("c")).collect()}
+    assert got == {"a": (1.5, 0.375), "b": (0.0, 1.0), "c": (0.0, 0.0)}
 
 
 def test_formal_concepts():

@@ -15,22 +15,49 @@ def log2(c: Column) -> Column:
     return F.log(c) / F.lit(math.log(2.0))
 
 
+def entropy_from_sums(total: Column, weighted: Column) -> Column:
+    """Shannon entropy in bits from the sum of counts n and the sum of n * log2(n): log2(S) - W / S; nothing gives 0."""
+    h = F.greatest(F.lit(0.0), F.round(log2(total) - weighted / total, DIGITS))
+    return F.when(total > 0, h).otherwise(0.0)
+
+
+def entropy(n: Column) -> Column:
+    """Aggregate: entropy in bits of the counts n, of which nulls and zeros are ignored.
+
+    Two sums, combined before the shuffle. The second is a decimal one, so that the order of rows does not show.
+    """
+    n = n.cast("double")
+    term = F.when(n > 0, (n * log2(n)).cast("decimal(32,14)"))
+    return entropy_from_sums(F.coalesce(F.sum(F.when(n > 0, n)), F.lit(0.0)), F.sum(term).cast("double"))
+
+
+def herfindahl(n: Column) -> Column:
+    """Aggregate: sum of squared shares of the counts n; nothing gives 0."""
+    n = n.cast("double")
+    total = F.coalesce(F.sum(n), F.lit(0.0))
+    return F.when(total > 0, F.sum(n * n) / (total * total)).otherwise(0.0)
+
+
+def _two_sums(counts: Column, second) -> Column:
+    """Of an array of counts in ascending order: struct of their sum s and the sum w of second(n), in one pass."""
+    kept = F.sort_array(F.transform(F.filter(counts, lambda x: x > 0), lambda x: x.cast("double")))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
+    return F.aggregate(kept, zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["w"] + second(x)).alias("w")))
+
+
 def entropy_of_counts(counts: Column) -> Column:
     """Shannon entropy in bits of an array of counts; zeros are ignored, nothing gives 0.
 
     Counts are folded in ascending order and the result is rounded, so that equal multisets give equal numbers.
     """
-    kept = F.sort_array(F.filter(counts, lambda x: x > 0))
-    total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    h = F.aggregate(kept, F.lit(0.0), lambda s, x: s - x.cast("double") / total * log2(x.cast("double") / total))
-    return F.when(total > 0, F.round(h, DIGITS)).otherwise(0.0)
+    sums = _two_sums(counts, lambda x: x * log2(x))
+    return F.aggregate(F.array(sums), F.lit(0.0), lambda _, a: entropy_from_sums(a["s"], a["w"]))
 
 
 def herfindahl_of_counts(counts: Column) -> Column:
     """Sum of squared shares of an array of counts; nothing gives 0."""
-    kept = F.sort_array(F.filter(counts, lambda x: x > 0))
-    total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return F.when(total > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / total, F.lit(2.0)))).otherwise(0.0)
+    sums = _two_sums(counts, lambda x: x * x)
+    return F.aggregate(F.array(sums), F.lit(0.0), lambda _, a: F.when(a["s"] > 0, a["w"] / (a["s"] * a["s"])).otherwise(0.0))
 
 
 def kl_divergence(counts: DataFrame, base: DataFrame, key: str, group: list[str]) -> DataFrame:
@@ -53,7 +80,7 @@ def mutual_information(rows: DataFrame, x: str, y: str, group: list[str]) -> Dat
 
     def h(cols: list[str], name: str) -> DataFrame:
         c = joint.groupBy(*group, *cols).agg(F.sum("n").alias("n"))
-        return c.groupBy(*group).agg(entropy_of_counts(F.collect_list("n")).alias(name))
+        return c.groupBy(*group).agg(entropy(F.col("n")).alias(name))
 
     out = h([x], "hx").join(h([y], "hy"), group).join(h([x, y], "hxy"), group)
     return out.select(*group, F.greatest(F.lit(0.0), F.col("hx") + F.col("hy") - F.col("hxy")).alias("mi"))

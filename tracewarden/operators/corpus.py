@@ -90,28 +90,41 @@ def token_idf(tokens: DataFrame, item: str, token: str) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select(token, "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
-def lattice_edges(tokens: DataFrame, item: str, token: str, close: float = CLOSE, weighted: bool = True) -> DataFrame:
-    """Relations between items that share a token: a, b (a < b), rel, tightness.
+def lattice_edges(tokens: DataFrame, item: str, token: str, close: float = CLOSE, weighted: bool = True, least: float = 0.0) -> DataFrame:
+    """Relations between classes of items with equal token sets: a, b (a < b, the classes' smallest items), rel, tightness;
+    and exact ones from each class to its other members, with tightness 1.
 
-    exact, broader (a has fewer tokens, all in b), narrower, related; broader relations aside, close where the weight of the
-    common tokens over that of all is at least `close`. Without weight, sizes decide.
+    Between classes: broader (a has fewer tokens, all in b), narrower, related; broader relations aside, close where the
+    weight of the common tokens over that of all is at least `close`. Without weight, sizes decide. What holds between two
+    classes holds between all their members, so copies cost their number and not their pairs.
 
-    Items with equal token sets are joined through one representative (see classes_of), so that a large group of copies
-    costs its members and not its pairs; relations between representatives hold for all members.
+    With least > 0 only relations of at least that tightness come out, and classes meet on rare tokens alone: a pair that
+    tight must share one among the rarest of each that make up all but less than `least` of its weight.
     """
     d = tokens.select(F.col(item).alias("item"), F.col(token).alias("token")).distinct()
-    idf = token_idf(d, "item", "token").withColumn("w", F.col("idf") if weighted else F.lit(1.0)).select("token", "w")
-    d = d.join(idf, "token")
+    idf = token_idf(d, "item", "token").withColumn("w", F.col("idf") if weighted else F.lit(1.0)).select("token", "w", "df")
+    of = classes_of(d, "item", "token")
+    d = d.join(of.where("item = class_id").select("item"), "item").join(idf, "token")
     per = d.groupBy("item").agg(F.count("*").alias("n"), F.sum("w").alias("m"))
-    a = d.select(F.col("item").alias("a"), "token", "w")
-    b = d.select(F.col("item").alias("b"), "token")
-    both = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"), F.sum("w").alias("shared"))
+    key = d
+    if least > 0:
+        rare = Window.partitionBy("item").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        key = d.withColumn("rest", F.sum("w").over(rare)).join(per, "item").where(F.col("rest") >= least * F.col("m") - 1e-9).select("item", "token", "w")
+    meet = key.select(F.col("item").alias("a"), "token").join(key.select(F.col("item").alias("b"), "token"), "token").where("a < b")
+    a, b = d.select(F.col("item").alias("a"), "token", "w"), d.select(F.col("item").alias("b"), "token")
+    if least > 0:
+        shared = meet.select("a", "b").distinct().join(a, "a").join(b, ["b", "token"])
+    else:
+        shared = meet.join(a, ["a", "token"])
+    both = shared.groupBy("a", "b").agg(F.count("*").alias("k"), F.sum("w").alias("shared"))
     rows = both.join(per.select(F.col("item").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma")), "a").join(per.select(F.col("item").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb")), "b")
     weight = F.col("ma") + F.col("mb") - F.col("shared")
     plain = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
     tight = F.round(F.when(weight > 1e-12, F.col("shared") / weight).otherwise(plain), 3)
-    rel = F.when((F.col("k") == F.col("na")) & (F.col("k") == F.col("nb")), "exact").when(F.col("k") == F.col("na"), "broader").when(F.col("k") == F.col("nb"), "narrower")
-    return rows.select("a", "b", F.coalesce(rel, F.when(tight >= close, "close").otherwise("related")).alias("rel"), tight.alias("tightness"))
+    rel = F.when(F.col("k") == F.col("na"), "broader").when(F.col("k") == F.col("nb"), "narrower")
+    rows = rows.select("a", "b", F.coalesce(rel, F.when(tight >= close, "close").otherwise("related")).alias("rel"), tight.alias("tightness"))
+    copies = of.where("item > class_id").select(F.col("class_id").alias("a"), F.col("item").alias("b"), F.lit("exact").alias("rel"), F.lit(1.0).alias("tightness"))
+    return (rows.where(F.col("tightness") >= least) if least > 0 else rows).unionByName(copies)
 
 
 def classes_of(tokens: DataFrame, item: str, token: str) -> DataFrame:

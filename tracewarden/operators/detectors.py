@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions.stats import DIGITS, circular, circular_distance, entropy_of_counts
+from tracewarden.functions.stats import DIGITS, circular, circular_distance, entropy, entropy_of_counts
 
 
 def seconds(ts: Column | str) -> Column:
@@ -30,38 +32,60 @@ def fanout_cells(events: DataFrame, entity: str, value: str, t: Column, grain: f
     """
     e = events.select(F.col(entity).alias("entity"), F.col(value).alias("value"), time_bin(t, grain).alias("bin")).where("entity IS NOT NULL AND bin IS NOT NULL")
     counts = e.groupBy("entity", "bin", "value").agg(F.count("*").alias("n"))
-    cells = counts.groupBy("entity", "bin").agg(entropy_of_counts(F.collect_list("n")).alias("entropy"), F.count("value").alias("distinct_values"), F.sum("n").alias("n_events"))
+    cells = counts.groupBy("entity", "bin").agg(entropy(F.col("n")).alias("entropy"), F.count("value").alias("distinct_values"), F.sum("n").alias("n_events"))
     return cells.withColumn("bin_start", F.col("bin") * F.lit(float(grain)))
 
 
+def buckets(d: DataFrame, key: str, parts: int = 64) -> Column:
+    """Number of the range of key into which a row falls, ascending, by at most parts quantiles of d's rows (nulls: 0).
+
+    The quantiles are the only thing that comes to the driver. Ranges are few and of like size, so that running totals can be
+    taken within each of them and carried from one to the next as one number a range.
+    """
+    cuts = d.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] or []
+    cuts = sorted({float(c) for c in cuts})
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+
+
+def running(d: DataFrame, key: str, value: str, out: str, descending: bool = False, agg: Callable = F.sum) -> DataFrame:
+    """d, which has each key once, and out: the sum (or least) of value over rows up to this one in order of key.
+
+    No task takes all rows: totals run within ranges of keys, and a range's start is the total of those before it.
+    """
+    d = d.withColumn("_range", buckets(d, key))
+    order, before = (F.desc, F.desc("_range")) if descending else (F.asc, F.asc("_range"))
+    parts = d.groupBy("_range").agg(agg(value).alias("_all"))  # one row a range
+    parts = parts.select("_range", agg("_all").over(Window.orderBy(before).rowsBetween(Window.unboundedPreceding, -1)).alias("_start"))
+    own = agg(value).over(Window.partitionBy("_range").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("_own", own).join(F.broadcast(parts), "_range")
+    total = F.col("_own") + F.coalesce("_start", F.lit(0)) if agg is F.sum else F.least("_own", "_start")
+    return d.withColumn(out, total).drop("_range", "_own", "_start")
+
+
 def conformal(rows: DataFrame, score: str, calibration: DataFrame | None = None, tail: str = "upper", by: list[str] | None = None) -> DataFrame:
     """rows with p_value = (1 + number of calibration scores at least as extreme) / (n + 1); non-finite scores give NaN.
 
-    Calibration scores (default: the rows' own) are reduced to counts of distinct rounded values, and only these are ranked:
-    no raw row takes part in a global sort. `by` calibrates within groups.
+    Calibration scores (default: the rows' own) are reduced to counts of distinct rounded values, and only these are ranked,
+    range by range. `by` calibrates within groups.
     """
     by = by or []
     key = F.round(F.col(score), DIGITS)
     finite = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(F.col(score)) != float("inf"))
     cal = (rows if calibration is None else calibration).where(finite).groupBy(*by, key.alias("_k")).agg(F.count("*").alias("_n"))
-    order = F.desc("_k") if tail == "upper" else F.asc("_k")
-    w = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy(*by)
-    cal = cal.select(*by, "_k", F.sum("_n").over(w).alias("_at_least"), F.sum("_n").over(total).alias("_total"))
-    if calibration is None:
-        out = rows.withColumn("_k", F.when(finite, key)).join(cal, [*by, "_k"], "left")
-        p = (F.lit(1.0) + F.col("_at_least")) / (F.col("_total") + 1)
-        return out.withColumn("p_value", F.when(F.col("_k").isNotNull(), p).otherwise(F.lit(float("nan")))).drop("_k", "_at_least", "_total")
-    # scores from elsewhere: an as-of lookup, by merging both in score order
-    lead = cal.select(*by, "_k", "_at_least", F.lit(0).alias("_q"))
-    ask = rows.where(finite).select(*by, key.alias("_k"), F.lit(None).cast("long").alias("_at_least"), F.lit(1).alias("_q")).distinct()
-    both = lead.unionByName(ask)
-    w = Window.partitionBy(*by).orderBy(order, "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("_m", F.coalesce(F.max("_at_least").over(w), F.lit(0))).where("_q = 1").select(*by, "_k", "_m")
-    size = cal.groupBy(*by).agg(F.max("_total").alias("_total"))
-    out = rows.withColumn("_k", F.when(finite, key)).join(seen, [*by, "_k"], "left")
+    size = cal.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    if calibration is not None:  # scores from elsewhere are ranked among the others, and count for nothing
+        ask = rows.where(finite).select(*by, key.alias("_k"), F.lit(0).cast("long").alias("_n"))
+        cal = cal.unionByName(ask).groupBy(*by, "_k").agg(F.sum("_n").alias("_n"))
+    if by:
+        order = F.desc("_k") if tail == "upper" else F.asc("_k")
+        w = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        cal = cal.withColumn("_at_least", F.sum("_n").over(w))
+    else:
+        cal = running(cal, "_k", "_n", "_at_least", descending=tail == "upper")
+    out = rows.withColumn("_k", F.when(finite, key)).join(cal.drop("_n"), [*by, "_k"], "left")
     out = out.join(size, by, "left") if by else out.crossJoin(F.broadcast(size))
-    return out.withColumn("p_value", F.when(F.col("_k").isNotNull(), (F.lit(1.0) + F.col("_m")) / (F.col("_total") + 1)).otherwise(F.lit(float("nan")))).drop("_k", "_m", "_total")
+    p = (F.lit(1.0) + F.col("_at_least")) / (F.coalesce("_total", F.lit(0)) + 1)
+    return out.withColumn("p_value", F.when(F.col("_k").isNotNull(), p).otherwise(F.lit(float("nan")))).drop("_k", "_at_least", "_total")
 
 
 def conformal_bound(n: int, alpha: float) -> float:
@@ -94,13 +118,14 @@ def fdr(rows: DataFrame, p: str, q: float = 0.05, method: str = "bh") -> DataFra
     """
     real = F.col(p).isNotNull() & ~F.isnan(p)
     levels = rows.where(real).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    asc = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    levels = levels.select("_p", F.sum("_n").over(asc).alias("_rank"), F.sum("_n").over(whole).alias("_m"))
-    c = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), F.col("_m")), F.lit(0.0), lambda s, k: s + F.lit(1.0) / k)
-    levels = levels.withColumn("_raw", F.col("_m") * c / F.col("_rank") * F.col("_p"))
-    desc = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    levels = levels.select(F.col("_p").alias(p), F.least(F.lit(1.0), F.min("_raw").over(desc)).alias("q_value"))
+    m = F.col("_m")
+    exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(1_000_000))), F.lit(0.0), lambda s, k: s + F.lit(1.0) / k)
+    harmonic = F.when(m <= 1_000_000, exact).otherwise(F.log(m) + F.lit(0.5772156649015329) + 0.5 / m)  # to 1e-13
+    size = rows.where(real).agg(F.greatest(F.count("*"), F.lit(1)).alias("_m")).withColumn("_c", F.lit(1.0) if method == "bh" else harmonic)
+    levels = running(levels, "_p", "_n", "_rank").crossJoin(F.broadcast(size))
+    levels = levels.withColumn("_raw", m * F.col("_c") / F.col("_rank") * F.col("_p"))
+    levels = running(levels, "_p", "_raw", "_least", descending=True, agg=F.min)
+    levels = levels.select(F.col("_p").alias(p), F.least(F.lit(1.0), "_least").alias("q_value"))
     out = rows.join(levels, p, "left")
     return out.withColumn("q_value", F.coalesce("q_value", F.lit(float("nan")))).withColumn("rejected", ~F.isnan("q_value") & (F.col("q_value") <= q))
 
@@ -169,23 +194,36 @@ def activity_features(active: DataFrame) -> DataFrame:
     return per.select("entity", "active", (F.col("active") / F.col("windows")).alias("rate"), entropy_of_counts(F.array("active", F.col("windows") - F.col("active"))).alias("entropy"))
 
 
-def coordination(active: DataFrame) -> DataFrame:
-    """Pairs of entities that share an active bin: mutual information and Pearson correlation of their 0/1 activity.
+def coordination(active: DataFrame, least: float = 0.0) -> DataFrame:
+    """Pairs of entities: mutual information (above least, or any where that is 0) and Pearson correlation of 0/1 activity.
 
-    The axis runs from bin 0 of the earliest activity to the last. Pairs come from an equi-join on the bin, so entities that
-    never act together cost nothing (their association is the independent complement).
+    The axis runs from the earliest active bin to the last. Pairs that share a bin come from an equi-join on it. Of pairs
+    that never meet, the figures follow from how many bins each has: entities are classed by that number, pairs of classes
+    that can be apart (together no more bins than there are) and whose figure is large enough are kept, and only their
+    members are paired. So anti-phase pairs are found, and with a bound such as 0.05 sparse entities cost nothing.
     """
     span = active.agg((F.max("bin") - F.min("bin") + 1).cast("double").alias("w"))
     per = active.groupBy("entity").agg(F.count("*").cast("double").alias("n"))
     a, b = active.select(F.col("entity").alias("a"), "bin"), active.select(F.col("entity").alias("b"), "bin")
-    both = a.join(b, "bin").where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("n11"))
-    rows = both.join(per.select(F.col("entity").alias("a"), F.col("n").alias("na")), "a").join(per.select(F.col("entity").alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(span))
-    n11, na, nb, w = (F.col(c) for c in ("n11", "na", "nb", "w"))
-    hx, hy = entropy_of_counts(F.array(na, w - na)), entropy_of_counts(F.array(nb, w - nb))
-    hxy = entropy_of_counts(F.array(n11, na - n11, nb - n11, w - na - nb + n11))
-    top = w * n11 - na * nb
-    below = F.sqrt(na * (w - na) * nb * (w - nb))
-    return rows.select("a", "b", F.greatest(F.lit(0.0), hx + hy - hxy).alias("mi"), F.when(below > 0, top / below).otherwise(0.0).alias("pearson"))
+    met = a.join(b, "bin").where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("n11"))
+    left, right = per.select(F.col("entity").alias("a"), F.col("n").alias("na")), per.select(F.col("entity").alias("b"), F.col("n").alias("nb"))
+
+    def figures(rows: DataFrame) -> DataFrame:
+        n11, na, nb, w = (F.col(c) for c in ("n11", "na", "nb", "w"))
+        hx, hy = entropy_of_counts(F.array(na, w - na)), entropy_of_counts(F.array(nb, w - nb))
+        hxy = entropy_of_counts(F.array(n11, na - n11, nb - n11, w - na - nb + n11))
+        below = F.sqrt(na * (w - na) * nb * (w - nb))
+        mi = F.greatest(F.lit(0.0), hx + hy - hxy)
+        rows = rows.withColumns({"mi": mi, "pearson": F.when(below > 0, (w * n11 - na * nb) / below).otherwise(0.0)})
+        return rows.where(F.col("mi") >= least) if least else rows
+
+    together = figures(met.join(left, "a").join(right, "b").crossJoin(F.broadcast(span))).select("a", "b", "mi", "pearson")
+    kinds = per.select(F.col("n").alias("na")).distinct()  # no more classes than bins
+    kinds = kinds.join(kinds.withColumnRenamed("na", "nb"), F.col("na") <= F.col("nb")).crossJoin(F.broadcast(span)).where("na + nb <= w")
+    kinds = figures(kinds.withColumn("n11", F.lit(0.0))).select("na", "nb", "mi", "pearson")
+    other = kinds.where("na < nb").select(F.col("nb").alias("na"), F.col("na").alias("nb"), "mi", "pearson")
+    apart = kinds.unionByName(other).join(left, "na").join(right, "nb").where("a < b").select("a", "b", "mi", "pearson")
+    return together.unionByName(apart.join(met, ["a", "b"], "left_anti"))
 
 
 def coordination_null(active: DataFrame, pairs: DataFrame, permutations: int = 199, seed: int = 7) -> DataFrame:

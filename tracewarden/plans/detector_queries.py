@@ -114,7 +114,7 @@ def mutual_information(spark, f):
 
 def concentration(spark, f):
     counts = _lines(spark, f).groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-    out = counts.groupBy("l_suppkey").agg(F.count("*").alias("distinct_parts"), stats.herfindahl_of_counts(F.collect_list("n")).alias("hhi"))
+    out = counts.groupBy("l_suppkey").agg(F.count("*").alias("distinct_parts"), stats.herfindahl(F.col("n")).alias("hhi"))
     return out.withColumn("hhi", F.round("hhi", 9))
 
 
@@ -178,7 +178,8 @@ SELECT entity, n, round(n / (n + 20.0), 6) AS z, round(total / n, 6) AS own_mean
        round(n / (n + 20.0) * (total / n) + (1 - n / (n + 20.0)) * population, 6) AS estimate FROM b, w""",
     "coordination_pairs": f"""WITH x AS (SELECT DISTINCT entity, bin FROM ({_EV})), s AS (SELECT CAST(max(bin) - min(bin) + 1 AS DOUBLE) AS w FROM x),
 n AS (SELECT entity, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY 1),
-j AS (SELECT a.entity AS a, b.entity AS b, CAST(count(*) AS DOUBLE) AS n11 FROM x a JOIN x b ON a.bin = b.bin AND a.entity < b.entity GROUP BY ALL),
+m AS (SELECT a.entity AS a, b.entity AS b, CAST(count(*) AS DOUBLE) AS n11 FROM x a JOIN x b ON a.bin = b.bin AND a.entity < b.entity GROUP BY ALL),
+j AS (SELECT p.entity AS a, q.entity AS b, coalesce(n11, 0.0) AS n11 FROM n p JOIN n q ON p.entity < q.entity LEFT JOIN m ON m.a = p.entity AND m.b = q.entity),
 r AS (SELECT a, b, n11, p.n AS na, q.n AS nb, w FROM j JOIN n p ON p.entity = a JOIN n q ON q.entity = b, s)
 SELECT a, b, round(greatest(0.0, {_h2("na", "(w - na)")} + {_h2("nb", "(w - nb)")} - {_h2("n11", "(na - n11)", "(nb - n11)", "(w - na - nb + n11)")}), 9) AS mi,
        round(CASE WHEN na * (w - na) * nb * (w - nb) > 0 THEN (w * n11 - na * nb) / sqrt(na * (w - na) * nb * (w - nb)) ELSE 0 END, 9) AS pearson FROM r""",

@@ -118,10 +118,13 @@ def viterbi_roles(spark, f):
 
 
 def formal_concepts(spark, f):
-    """All concepts of brand x size-class incidence."""
-    p = table(spark, f, "part").select(F.col("p_brand").alias("object"), F.concat(F.lit("s"), F.floor(F.col("p_size") / 10).cast("string")).alias("attribute")).where("object < 'Brand#25'")
-    thin = p.groupBy("object", "attribute").agg(F.count("*").alias("n")).where("n % 3 <> 0").select("object", "attribute")
-    rows = fca.concepts(fca.Context.of(thin))
+    """All concepts of brands and size classes, where a brand has a class if its parts there are dearer than all on average."""
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    p = table(spark, f, "part").select(F.col("p_brand").alias("object"), F.concat(F.lit("s"), F.floor(F.col("p_size") / 10).cast("string")).alias("attribute"), cents.alias("c"))
+    cells = p.groupBy("object", "attribute").agg(F.sum("c").alias("c"), F.count("*").alias("n"))
+    whole = p.agg(F.sum("c").alias("all_c"), F.count("*").alias("all_n"))
+    dear = cells.crossJoin(F.broadcast(whole)).where("CAST(c AS DECIMAL(38,0)) * all_n > CAST(all_c AS DECIMAL(38,0)) * n").select("object", "attribute")
+    rows = fca.concepts(fca.Context.of(dear))
     return spark.createDataFrame([(",".join(sorted(e)), ",".join(sorted(i))) for e, i in rows], "extent string, intent string")
 
 
@@ -158,4 +161,13 @@ ORACLES = {
     "sliding_kl": _windows("x % 4", f"round({_KL}, 9)", "kl"),
     "energy": f"WITH {_S}, {_blocks(32, 'sum(x * x) AS e')}, m AS (SELECT *, e / (median(e) OVER (PARTITION BY series_id) / {chi2_quantile(0.5, 32)!r}) AS st FROM b) SELECT series_id, block, round(e, 3) AS energy, round(st, 6) AS statistic, st > {chi2_quantile(0.05, 32)!r} AS detected FROM m",
     "goertzel": f"WITH {_S}, {_blocks(28, f'sum(x * cos(j * {_W7!r})) AS re, sum(x * sin(j * {_W7!r})) AS im')} SELECT series_id, block, round(re * re + im * im, 2) AS power FROM b",
+    # every set of attributes, the objects that have them all, and the attributes that all of these have
+    "formal_concepts": """WITH p AS (SELECT p_brand AS o, 's' || CAST(floor(p_size / 10) AS INT) AS a, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part),
+i AS (SELECT o, a FROM p GROUP BY ALL HAVING CAST(sum(c) AS HUGEINT) * (SELECT count(*) FROM p) > CAST((SELECT sum(c) FROM p) AS HUGEINT) * count(*)),
+t AS (SELECT list_sort(list(DISTINCT a)) AS s FROM i),
+b AS (SELECT list_filter(s, lambda x: (k >> (list_position(s, x) - 1)) & 1 = 1) AS attrs FROM t, unnest(range(0, CAST(pow(2, (SELECT len(s) FROM t)) AS BIGINT))) AS u(k)),
+h AS (SELECT o, list(a) AS own FROM i GROUP BY 1),
+x AS (SELECT DISTINCT coalesce(list_sort(l), []) AS ext FROM (SELECT attrs, list(h.o) FILTER (WHERE list_has_all(h.own, attrs)) AS l FROM b, h GROUP BY attrs)),
+y AS (SELECT ext, z.a, count(i.o) FILTER (WHERE list_contains(ext, i.o)) AS n FROM x, (SELECT DISTINCT a FROM i) z JOIN i ON i.a = z.a GROUP BY ext, z.a)
+SELECT array_to_string(ext, ',') AS extent, array_to_string(coalesce(list(a ORDER BY a) FILTER (WHERE n = len(ext)), []), ',') AS intent FROM y GROUP BY ext""",
 }

@@ -58,7 +58,7 @@ def burst_then_later(spark, f):
 
 
 def _tickets(spark, f):
-    issued = table(spark, f, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("hash"), F.col("o_custkey").alias("account"), (F.col("o_custkey") % 7).alias("ip"), F.col("o_orderkey").alias("seq"))
+    issued = table(spark, f, "orders").where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("hash"), F.col("o_custkey").alias("account"), (F.col("o_custkey") % 7).alias("ip"), F.col("o_orderkey").alias("seq"))
     li = table(spark, f, "lineitem")
     presented = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") != 2, F.col("l_orderkey")).alias("hash"), F.col("l_suppkey").alias("account"), (F.col("l_partkey") % 7).alias("ip"))
     return issued, presented
@@ -74,7 +74,7 @@ def ledger_classes(spark, f):
 
 
 def path_completeness(spark, f):
-    seen = _ev(spark, f).where("event_id % 7 < 3").groupBy("user_id").agg(F.collect_set("event_type").alias("stages"))
+    seen = _ev(spark, f).groupBy("user_id").agg(F.collect_set("event_type").alias("stages"))
     out = s.completeness(seen, ["signup", "view", "click", "purchase"])
     return out.select("user_id", "coverage", "reach", "frontier", F.array_join("gaps", ",").alias("gaps"))
 
@@ -88,7 +88,7 @@ def transition_matrix(spark, f):
 
 
 def _part_tokens(spark, f):
-    p = table(spark, f, "part").where("p_size <= 5")
+    p = table(spark, f, "part")
     return p.select("p_partkey", F.explode(F.array(F.concat(F.lit("brand="), "p_brand"), F.concat(F.lit("type="), "p_type"), F.concat(F.lit("size="), F.col("p_size").cast("string")))).alias("token"))
 
 
@@ -106,15 +106,15 @@ def exact_classes(spark, f):
 
 
 def edge_components(spark, f):
-    """Components over lattice edges of one brand, by label propagation."""
+    """Components over exact and close lattice edges, by label propagation."""
     t = _part_tokens(spark, f)
-    e = corpus.lattice_edges(t, "p_partkey", "token").where("rel IN ('exact', 'close')")
+    e = corpus.lattice_edges(t, "p_partkey", "token", least=corpus.CLOSE).where("rel IN ('exact', 'close')")
     return graph.components(e.select("a", "b")).groupBy("component").agg(F.count("*").alias("members"))
 
 
 def fca_concept_groups(spark, f):
     p = table(spark, f, "part")
-    t = p.where("p_size < 40").select("p_partkey", F.explode(F.array("p_brand", "p_type")).alias("token"))
+    t = p.select("p_partkey", F.explode(F.array("p_brand", "p_type")).alias("token"))
     return corpus.concept_groups(t, p, "p_partkey", "token")
 
 
@@ -125,8 +125,8 @@ def over_collapse(spark, f):
 
 
 def cross_corpus(spark, f):
-    d = table(spark, f, "documents").select("source", F.substring("text", 1, 2).alias("token"))
-    return corpus.cross_corpus(d.where("source IN ('src1', 'src2', 'src3')"), "source", "token")
+    d = table(spark, f, "documents").select("source", F.explode(F.array_distinct(F.split("text", "[\\x20\\x09-\\x0D]+"))).alias("token"))
+    return corpus.cross_corpus(d.where("source IS NOT NULL AND token <> ''"), "source", "token")
 
 
 def coverage_tiers(spark, f):
@@ -148,7 +148,7 @@ def _edges(spark, f):
 
 
 def closure_up(spark, f):
-    seeds = table(spark, f, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    seeds = table(spark, f, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     return graph.closure(_edges(spark, f), seeds).select("start", "node")
 
 
@@ -160,7 +160,7 @@ def closure_down(spark, f):
 
 def flow_taint(spark, f):
     """Orders that derive from a nation named by a source set."""
-    sinks = table(spark, f, "orders").where("o_orderkey % 40 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    sinks = table(spark, f, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     sources = table(spark, f, "nation").where("n_regionkey = 1").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
     return graph.flows(_edges(spark, f).select(F.col("src").alias("child"), F.col("dst").alias("parent")), sinks, sources)
 
@@ -226,14 +226,15 @@ QUERIES = {x.__name__: x for x in (pattern_join, orphan_anti, orphan_timed, gap_
 
 _T = "epoch_us(ts) / 1e6"
 _EV = f"(SELECT event_id, user_id, event_type, value, {_T} AS t FROM events)"
-_TOK = "(SELECT p_partkey, unnest(['brand=' || p_brand, 'type=' || p_type, 'size=' || p_size]) AS token FROM part WHERE p_size <= 5)"
-_LAT = f"""WITH t AS (SELECT DISTINCT * FROM {_TOK}), i AS (SELECT token, ln((SELECT count(DISTINCT p_partkey) FROM t) / count(*)) AS w FROM t GROUP BY 1),
-d AS (SELECT * FROM t JOIN i USING (token)), p AS (SELECT p_partkey AS item, count(*) AS n, sum(w) AS m FROM d GROUP BY 1),
+_TOK = "(SELECT p_partkey, unnest(['brand=' || p_brand, 'type=' || p_type, 'size=' || p_size]) AS token FROM part)"
+_LAT = f"""WITH t0 AS (SELECT DISTINCT * FROM {_TOK}), i AS (SELECT token, ln((SELECT count(DISTINCT p_partkey) FROM t0) / count(*)) AS w FROM t0 GROUP BY 1),
+c AS (SELECT item, min(item) OVER (PARTITION BY s) AS rep FROM (SELECT p_partkey AS item, list_sort(list(token)) AS s FROM t0 GROUP BY 1)),
+d AS (SELECT p_partkey, token, w FROM t0 JOIN c ON p_partkey = item AND item = rep JOIN i USING (token)), p AS (SELECT p_partkey AS item, count(*) AS n, sum(w) AS m FROM d GROUP BY 1),
 j AS (SELECT x.p_partkey AS a, y.p_partkey AS b, count(*) AS k, sum(x.w) AS shared FROM d x JOIN d y ON x.token = y.token AND x.p_partkey < y.p_partkey GROUP BY ALL),
 e AS (SELECT a, b, k, p.n AS na, q.n AS nb, round(CASE WHEN p.m + q.m - shared > 1e-12 THEN shared / (p.m + q.m - shared) ELSE k / (p.n + q.n - k) END, 3) AS tightness FROM j JOIN p ON p.item = a JOIN p q ON q.item = b),
-l AS (SELECT a, b, tightness, CASE WHEN j.k = na AND j.k = nb THEN 'exact' WHEN j.k = na THEN 'broader' WHEN j.k = nb THEN 'narrower' WHEN tightness >= 0.6 THEN 'close' ELSE 'related' END AS rel FROM e j)"""
+l AS (SELECT a, b, tightness, CASE WHEN k = na THEN 'broader' WHEN k = nb THEN 'narrower' WHEN tightness >= 0.6 THEN 'close' ELSE 'related' END AS rel FROM e UNION ALL SELECT rep, item, 1.0, 'exact' FROM c WHERE rep < item)"""
 _EDGES = "(SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"
-_TICKETS = """issued AS (SELECT o_orderkey AS hash, o_custkey AS account, o_custkey % 7 AS ip FROM orders WHERE o_orderkey % 3 <> 0),
+_TICKETS = """issued AS (SELECT o_orderkey AS hash, o_custkey AS account, o_custkey % 7 AS ip FROM orders WHERE o_orderpriority <> '1-URGENT'),
 presented AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber <> 2 THEN l_orderkey END AS hash, l_suppkey AS account, l_partkey % 7 AS ip FROM lineitem)"""
 _FLAGGED = f"(SELECT * FROM ({DETECTOR_ORACLES['fanout_conformal']}) WHERE flagged)"
 
@@ -258,7 +259,7 @@ SELECT b.user_id AS key, round(burst_t, 3) AS burst_t, n, round(min(e.t), 3) AS
 SELECT tier, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM x WHERE tier IS NOT NULL GROUP BY 1""",
     "ledger_classes": f"""WITH {_TICKETS}, x AS (SELECT id, CASE WHEN i.hash IS NOT NULL AND i.ip <> p.ip THEN 'CONTEXT-DIVERGENCE' WHEN i.hash IS NOT NULL THEN 'CONFIRMED' ELSE 'GAP' END AS outcome FROM presented p LEFT JOIN issued i ON i.hash = p.hash)
 SELECT outcome, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM x GROUP BY 1""",
-    "path_completeness": """WITH s AS (SELECT user_id, list(DISTINCT event_type) AS s FROM events WHERE event_id % 7 < 3 GROUP BY 1), p AS (SELECT *, ['signup', 'view', 'click', 'purchase'] AS path FROM s),
+    "path_completeness": """WITH s AS (SELECT user_id, list(DISTINCT event_type) AS s FROM events GROUP BY 1), p AS (SELECT *, ['signup', 'view', 'click', 'purchase'] AS path FROM s),
 q AS (SELECT *, list_filter(path, lambda x: list_contains(s, x)) AS seen FROM p), r AS (SELECT *, coalesce(list_max(list_transform(seen, lambda x: list_position(path, x))), 0) AS deep FROM q)
 SELECT user_id, round(len(seen) / 4, 4) AS coverage, round(deep / 4, 4) AS reach, CASE WHEN deep < 4 THEN path[deep + 1] END AS frontier, array_to_string(list_filter(path[1:deep], lambda x: NOT list_contains(seen, x)), ',') AS gaps FROM r""",
     "transition_matrix": f"""WITH x AS (SELECT event_type AS b, lag(event_type) OVER (PARTITION BY user_id ORDER BY t, event_id) AS a FROM {_EV})
@@ -269,15 +270,15 @@ SELECT a AS state, b AS next_state, n, round(n / sum(n) OVER (PARTITION BY a), 9
     "edge_components": f"""WITH RECURSIVE {_LAT[5:]}, g AS MATERIALIZED (SELECT a, b FROM l WHERE rel IN ('exact', 'close')), h AS MATERIALIZED (SELECT a, b FROM g UNION SELECT b, a FROM g),
 r(node, root) AS (SELECT DISTINCT a, a FROM h UNION SELECT h.b, r.root FROM r JOIN h ON h.a = r.node WHERE r.root < h.b)
 SELECT component, count(*) AS members FROM (SELECT node, min(root) AS component FROM r GROUP BY 1) GROUP BY 1""",
-    "fca_concept_groups": """WITH t AS (SELECT p_partkey, array_to_string(list_sort(list(DISTINCT token)), ' ') AS tokens FROM (SELECT p_partkey, unnest([p_brand, p_type]) AS token FROM part WHERE p_size < 40) GROUP BY 1)
+    "fca_concept_groups": """WITH t AS (SELECT p_partkey, array_to_string(list_sort(list(DISTINCT token)), ' ') AS tokens FROM (SELECT p_partkey, unnest([p_brand, p_type]) AS token FROM part) GROUP BY 1)
 SELECT coalesce(tokens, '') AS tokens, count(*) AS members, min(part.p_partkey) AS first FROM part LEFT JOIN t USING (p_partkey) GROUP BY 1""",
     "over_collapse": "SELECT p_brand AS slice, count(*) AS n, count(DISTINCT p_type) AS blind, count(DISTINCT (p_type, p_size, p_name)) AS aware, round(count(DISTINCT (p_type, p_size, p_name)) / count(DISTINCT p_type), 9) AS ratio FROM part GROUP BY 1 HAVING count(*) >= 10",
-    "cross_corpus": "WITH d AS (SELECT substring(text, 1, 2) AS token, array_to_string(list_sort(list(DISTINCT source)), '+') AS corpora FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY 1) SELECT corpora, count(*) AS n_tokens FROM d GROUP BY 1",
+    "cross_corpus": "WITH t AS (SELECT source, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS token FROM documents WHERE source IS NOT NULL), d AS (SELECT token, array_to_string(list_sort(list(DISTINCT source)), '+') AS corpora FROM t GROUP BY 1) SELECT corpora, count(*) AS n_tokens FROM d GROUP BY 1",
     "coverage_tiers": """SELECT n_nationkey, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) THEN 'direct' WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9990) THEN 'bridged'
 WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) THEN 'coarse' WHEN n_regionkey < 3 THEN 'uncovered' ELSE 'no-reference' END AS tier FROM nation""",
-    "closure_up": f"WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), r(start, node) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT start, node FROM r",
+    "closure_up": f"WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), r(start, node) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey FROM orders UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT start, node FROM r",
     "closure_down": f"WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), r(start, node) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT r.start, e.src FROM r JOIN e ON e.dst = r.node) SELECT start, count(*) AS reached FROM r GROUP BY 1",
-    "flow_taint": "SELECT 'o' || o_orderkey AS sink, 'n' || n_nationkey AS source FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND o_orderkey % 40 = 0",
+    "flow_taint": "SELECT 'o' || o_orderkey AS sink, 'n' || n_nationkey AS source FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1",
     "bridge_compose": "SELECT 'r:' || n_regionkey AS source, count(*) AS targets FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "belnap_folds": f"""WITH c AS (SELECT source, CASE WHEN quality = 1 THEN 1 ELSE 0 END + CASE WHEN toxic = 1 THEN 2 ELSE 0 END AS v FROM documents JOIN labels USING (doc_id)),
 g AS (SELECT source, bit_or(v) AS o, bit_and(v) AS a FROM c GROUP BY 1)

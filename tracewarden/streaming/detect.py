@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewarden.functions.stats import entropy_of_counts
+from tracewarden.functions.stats import entropy
 
 
 def windowed_fanout(events: DataFrame, entity: str, value: str, ts: str, grain: str = "1 day", lateness: str = "1 hour") -> DataFrame:
@@ -23,7 +23,7 @@ def windowed_fanout(events: DataFrame, entity: str, value: str, ts: str, grain:
     e = events.select(F.col(entity).alias("entity"), F.col(value).alias("value"), F.col(ts).cast("timestamp").alias("ts"))
     e = e.withWatermark("ts", lateness) if events.isStreaming else e
     n = e.groupBy(F.window("ts", grain), "entity", "value").agg(F.count("*").alias("n"))
-    agg = n.groupBy("window", "entity").agg(entropy_of_counts(F.collect_list("n")).alias("entropy"), F.count("value").alias("distinct_values"), F.sum("n").alias("n_events"))
+    agg = n.groupBy("window", "entity").agg(entropy(F.col("n")).alias("entropy"), F.count("value").alias("distinct_values"), F.sum("n").alias("n_events"))
     return agg.select("entity", F.col("window.start").alias("start"), "distinct_values", "n_events", "entropy")
 
 
