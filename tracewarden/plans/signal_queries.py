@@ -66,7 +66,8 @@ def cusum(spark, f):
         hi, lo, alarm = g.cusum_kernel(x)
         return {"hi": hi, "lo": lo, "alarm": alarm}
 
-    return g.per_series(_series(spark, f), kernel, "hi double, lo double, alarm int")
+    out = g.per_series(_series(spark, f), kernel, "hi double, lo double, alarm int")
+    return out.withColumns({"hi": F.round("hi", 6), "lo": F.round("lo", 6)})
 
 
 def welch(spark, f):
@@ -74,7 +75,8 @@ def welch(spark, f):
         freq, power = g.welch_kernel(x, 1.0, 64)
         return {"freq": freq, "power": power}
 
-    return g.per_series(_series(spark, f), kernel, "freq double, power double")
+    out = g.per_series(_series(spark, f), kernel, "freq double, power double")
+    return out.withColumns({"freq": F.round("freq", 9), "power": F.round("power", 3)})
 
 
 def butter(spark, f):
@@ -102,7 +104,7 @@ def lock_in(spark, f):
 
 
 def matched_filter(spark, f):
-    return g.per_series(_series(spark, f), lambda x: {"score": g.matched_kernel(x - x.mean(), np.sin(2 * np.pi * np.arange(14) / 7))}, "score double")
+    return g.per_series(_series(spark, f), lambda x: {"score": g.matched_kernel(x - x.mean(), np.sin(2 * np.pi * np.arange(14) / 7))}, "score double").withColumn("score", F.round("score", 6))
 
 
 def viterbi_roles(spark, f):
@@ -151,6 +153,7 @@ _ALPHA, _RANK = g.ca_alpha(16, 0.01), 12
 _Q = [(c + 0.5) / 12 for c in (4.0, 3.0, 2.0, 1.0)]
 _KL = " + ".join(f"(len(list_filter(l, lambda y: y = {i})) + 0.5) / 18 * ln((len(list_filter(l, lambda y: y = {i})) + 0.5) / 18 / {q!r}) / ln(2)" for i, q in enumerate(_Q))
 _W7 = 2 * math.pi / 7
+_SEGMENT = "avg(x) AS m, list({'j': j, 'x': x}) AS l"
 
 ORACLES = {
     "cfar_ca": f"WITH {_S}, t AS (SELECT *, CASE WHEN count(x) {_LEAD} + count(x) {_LAG} = 16 THEN (sum(x) {_LEAD} + sum(x) {_LAG}) / 16 * {_ALPHA!r} END AS th FROM s) SELECT series_id, idx, round(th, 4) AS threshold, coalesce(x > th, FALSE) AS detected FROM t",
@@ -170,4 +173,15 @@ h AS (SELECT o, list(a) AS own FROM i GROUP BY 1),
 x AS (SELECT DISTINCT coalesce(list_sort(l), []) AS ext FROM (SELECT attrs, list(h.o) FILTER (WHERE list_has_all(h.own, attrs)) AS l FROM b, h GROUP BY attrs)),
 y AS (SELECT ext, z.a, count(i.o) FILTER (WHERE list_contains(ext, i.o)) AS n FROM x, (SELECT DISTINCT a FROM i) z JOIN i ON i.a = z.a GROUP BY ext, z.a)
 SELECT array_to_string(ext, ',') AS extent, array_to_string(coalesce(list(a ORDER BY a) FILTER (WHERE n = len(ext)), []), ',') AS intent FROM y GROUP BY ext""",
+    "matched_filter": f"""WITH {_S}, n AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1 AS i, x - avg(x) OVER (PARTITION BY series_id) AS x FROM s)
+SELECT a.series_id, a.i AS idx, round(sum(b.x * sin({_W7!r} * (b.i - a.i))) / {math.sqrt(sum(math.sin(_W7 * k) ** 2 for k in range(14)))!r}, 6) AS score
+FROM n a JOIN n b ON a.series_id = b.series_id AND b.i BETWEEN a.i AND a.i + 13 GROUP BY ALL HAVING count(*) = 14""",
+    "welch": f"""WITH {_S}, {_blocks(64, _SEGMENT)}, y AS (SELECT series_id, block, u.v.j AS j, (u.v.x - m) * (0.5 - 0.5 * cos(j * {2 * math.pi / 64!r})) AS y FROM b, unnest(l) AS u(v)),
+d AS (SELECT series_id, block, k, sum(y * cos(j * k * {2 * math.pi / 64!r})) AS re, sum(y * sin(j * k * {2 * math.pi / 64!r})) AS im FROM y, unnest(range(0, 33)) AS t(k) GROUP BY ALL)
+SELECT series_id, k AS idx, round(k / 64, 9) AS freq, round(avg(re * re + im * im) / {sum((0.5 - 0.5 * math.cos(2 * math.pi * k / 64)) ** 2 for k in range(64))!r} * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END, 3) AS power FROM d GROUP BY series_id, k""",
+    "cusum": f"""WITH RECURSIVE {_S}, m AS (SELECT series_id, median(x) AS mu FROM s GROUP BY 1), v AS (SELECT series_id, 1.4826 * median(abs(x - mu)) AS sigma FROM s JOIN m USING (series_id) GROUP BY 1),
+z AS MATERIALIZED (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1 AS i, (x - mu) / sigma AS z FROM s JOIN m USING (series_id) JOIN v USING (series_id)),
+r(series_id, i, hi, lo) AS (SELECT series_id, i, greatest(0.0, z - 0.5), greatest(0.0, -z - 0.5) FROM z WHERE i = 0
+UNION ALL SELECT z.series_id, z.i, greatest(0.0, CASE WHEN hi > 5 OR lo > 5 THEN 0.0 ELSE hi END + z - 0.5), greatest(0.0, CASE WHEN hi > 5 OR lo > 5 THEN 0.0 ELSE lo END - z - 0.5) FROM r JOIN z ON z.series_id = r.series_id AND z.i = r.i + 1)
+SELECT series_id, i AS idx, round(hi, 6) AS hi, round(lo, 6) AS lo, CAST(CASE WHEN hi > 5 THEN 1 WHEN lo > 5 THEN -1 ELSE 0 END AS INT) AS alarm FROM r""",
 }
