@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from enum import IntEnum
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions import belnap as b
@@ -291,17 +291,51 @@ def to_triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.union(g).union(d).union(u)
 
 
-def verdict_rows(detections: DataFrame, technique: str, ref: str, p_value: str = "p_value", fired: str = "flagged", pd: float = 0.9, check: str | None = None) -> DataFrame:
+def verdict_rows(detections: DataFrame, technique: str, ref: str, p_value: str = "p_value", fired: str = "flagged", pd: float = 0.9, check: str | None = None, axes: dict[str, Column] | None = None) -> DataFrame:
     """Verdict columns for detection rows: score, decision, cross_check, w_score, guarantee, record (JSON).
 
-    A row that fired is evidence for, with log-odds ln(pd / p); one that did not establishes nothing.
+    A row that fired is evidence for, with log-odds ln(pd / p); one that did not establishes nothing. Axes are four-valued
+    codes of who (default: true), what (default: the detection), when, where and how (default: none); w_score is the share
+    of the five that are true, and `when` joins the decision.
     """
     yes = F.coalesce(F.col(fired), F.lit(False))
     odds = F.log(F.lit(pd) / F.col(p_value))
     score = F.when(yes, F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).otherwise(0.0)
     detect = F.when(yes, b.TRUE).otherwise(b.NONE)
+    five = {"who": F.lit(b.TRUE), "what": detect, "when": F.lit(b.NONE), "where": F.lit(b.NONE), "how": F.lit(b.NONE)} | (axes or {})
+    decision = b.col_k_join(detect, five["when"])
     cross = b.col_k_join(detect, b.of(F.col(check), ~F.col(check))) if check else F.lit(None).cast("int")
-    w_score = (F.lit(1) + (detect == b.TRUE).cast("int")) / F.lit(5.0)
-    d = detections.withColumns({"score": score, "decision": b.name_of(detect), "cross_check": b.name_of(cross), "w_score": w_score, "guarantee": F.lit("well_formed")})
-    record = F.to_json(F.struct(F.lit(technique).alias("technique"), F.round("score", 9).alias("score"), "decision", "cross_check", F.struct(F.lit("true").alias("who"), F.col("decision").alias("what"), F.col("w_score").alias("score"), F.lit(ref).alias("provenance")).alias("w_record")))
+    w_score = sum(((c == b.TRUE).cast("int") for c in five.values()), F.lit(0)) / F.lit(5.0)
+    d = detections.withColumns({"score": score, "decision": b.name_of(decision), "cross_check": b.name_of(cross), "w_score": w_score, "guarantee": F.lit("well_formed")})
+    w = F.struct(*[b.name_of(c).alias(k) for k, c in five.items()], F.col("w_score").alias("score"), F.lit(ref).alias("provenance"))
+    record = F.to_json(F.struct(F.lit(technique).alias("technique"), F.round("score", 9).alias("score"), "decision", "cross_check", w.alias("w_record")))
     return d.withColumn("record", record)
+
+
+def offhours_verdicts(found: DataFrame, technique: str, ref: str, hours: tuple[float, float] = (8.0, 18.0)) -> DataFrame:
+    """Verdicts on off-hours detections (hour, p_value, flagged); the check asks the clock: is the hour outside business hours?"""
+    outside = (F.col("hour") < hours[0]) | (F.col("hour") >= hours[1])
+    return verdict_rows(found.withColumn("_outside", outside), technique, ref, check="_outside").drop("_outside")
+
+
+def coordination_verdicts(pairs: DataFrame, technique: str, ref: str) -> DataFrame:
+    """Verdicts on pairs (pearson, p_value, rejected); the check is the linear measure, so anti-phase pairs come out as both."""
+    return verdict_rows(pairs.withColumn("_linear", F.col("pearson") > 0), technique, ref, fired="rejected", check="_linear").drop("_linear")
+
+
+def pattern_verdicts(matches: DataFrame, technique: str, ref: str, times: list[str], who: list[str], where: list[str], p: float = 1e-6) -> DataFrame:
+    """Verdicts on structural matches, which say what and how by themselves: who and where hold if any of their columns is
+    filled, when if there are two times or more and they ascend. p stands for the precision of an exact match, not for a
+    calibrated rate."""
+
+    def filled(columns: list[str]) -> Column:
+        have = [F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in columns]
+        return F.when(F.greatest(F.lit(False), F.lit(False), *have), b.TRUE).otherwise(b.NONE)
+
+    pairs = list(zip(times, times[1:], strict=False))
+    ordered = F.lit(bool(pairs))
+    for x, y in pairs:
+        ordered = ordered & F.coalesce(F.col(x) <= F.col(y), F.lit(False))
+    axes = {"who": filled(who), "what": F.lit(b.TRUE), "when": F.when(ordered, b.TRUE).otherwise(b.NONE), "where": filled(where), "how": F.lit(b.TRUE)}
+    d = matches.withColumns({"_p": F.lit(p), "_hit": F.lit(True)})
+    return verdict_rows(d, technique, ref, p_value="_p", fired="_hit", axes=axes).drop("_p", "_hit")
