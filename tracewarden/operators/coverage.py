@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.plans.storage import cut
+
+from .corpus import classes_of
+
 # The eighteen phases of the Unified Kill Chain in order, each with its stage and the tactic of that name.
 KILL_CHAIN = (
     ("reconnaissance", "in", "reconnaissance"),
@@ -79,20 +83,21 @@ def behaviour_against_structure(hits: DataFrame, tokens: DataFrame, key: str) ->
     tokens(rule_id, token). Rules are reduced to classes of equal catch and of equal content before anything is paired, and
     events to the distinct sets of classes that fire on them; disjoint pairs without a common token follow by subtraction.
     """
-    from .corpus import classes_of
-
-    h = hits.select("rule_id", F.to_json(F.struct(key)).alias("e")).distinct()
-    caught = classes_of(h, "rule_id", "e").withColumnRenamed("class_id", "catch")
-    t = tokens.select("rule_id", "token").distinct().join(caught.select("rule_id"), "rule_id")
+    h = cut(hits.select("rule_id", F.to_json(F.struct(key)).alias("e")).distinct())
+    caught = cut(classes_of(h, "rule_id", "e").withColumnRenamed("class_id", "catch"))
+    t = cut(tokens.select("rule_id", "token").distinct().join(caught.select("rule_id"), "rule_id"))
     content = classes_of(t, "rule_id", "token").withColumnRenamed("class_id", "content")
     kinds = caught.join(content, "rule_id", "left").na.fill("", ["content"]).groupBy("catch", "content").agg(F.count("*").alias("n"))
+    kinds = cut(kinds)  # no more rows than rules
     sets = h.join(caught.where("rule_id = catch").select("rule_id"), "rule_id").groupBy("e").agg(F.sort_array(F.collect_set("rule_id")).alias("s")).select("s").distinct()
     meet = sets.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).where("x <> y").distinct()
+    meet = cut(meet)
     rep = t.join(content.where("rule_id = content").select("rule_id"), "rule_id")
     size = rep.groupBy("rule_id").agg(F.count("*").alias("m"))
     both = rep.select(F.col("rule_id").alias("p"), "token").join(rep.select(F.col("rule_id").alias("q"), "token"), "token").where("p <> q").groupBy("p", "q").agg(F.count("*").alias("k"))
     both = both.join(size.select(F.col("rule_id").alias("p"), F.col("m").alias("mp")), "p").join(size.select(F.col("rule_id").alias("q"), F.col("m").alias("mq")), "q")
     both = both.select("p", "q", F.when((F.col("k") == F.col("mp")) | (F.col("k") == F.col("mq")), "nested").otherwise("related").alias("s"))
+    both = cut(both)
     a = kinds.toDF("ca", "ta", "na")
     b = kinds.toDF("cb", "tb", "nb")
     alike = a.where("ta <> ''").join(b, F.col("ta") == F.col("tb")).union(a.join(both, F.col("ta") == F.col("p")).join(b, F.col("q") == F.col("tb")).select(*a.columns, *b.columns))
@@ -103,7 +108,7 @@ def behaviour_against_structure(hits: DataFrame, tokens: DataFrame, key: str) ->
     pair = pair.join(meet.withColumn("meet", F.lit(True)), (F.col("ca") == F.col("x")) & (F.col("cb") == F.col("y")), "left").join(both, (F.col("ta") == F.col("p")) & (F.col("tb") == F.col("q")), "left")
     behaviour = F.when(F.col("ca") == F.col("cb"), "co-catch").when(F.col("meet"), "overlap").otherwise("disjoint")
     structure = F.when((F.col("ta") == F.col("tb")) & (F.col("ta") != ""), "exact").otherwise(F.coalesce("s", F.lit("none")))
-    told = pair.groupBy(behaviour.alias("behaviour"), structure.alias("structure")).agg(F.sum("pairs").alias("pairs"))
+    told = cut(pair.groupBy(behaviour.alias("behaviour"), structure.alias("structure")).agg(F.sum("pairs").alias("pairs")))
     n = caught.agg(F.count("*").alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
     rest = n.unionByName(told.select((-F.col("pairs")).alias("pairs"))).agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
     return told.unionByName(rest.select(F.lit("disjoint").alias("behaviour"), F.lit("none").alias("structure"), "pairs"))

@@ -88,6 +88,31 @@ def conformal(rows: DataFrame, score: str, calibration: DataFrame | None = None,
     return out.withColumn("p_value", F.when(F.col("_k").isNotNull(), p).otherwise(F.lit(float("nan")))).drop("_k", "_at_least", "_total")
 
 
+def drift(scores: DataFrame, order: str, score: str, by: list[str], alpha: float = 0.05, least: int = 20) -> DataFrame:
+    """Per group whether its scores look exchangeable over time: by, n, ks, p_value, verdict.
+
+    The first half is compared with the second by the two-sample Kolmogorov-Smirnov test: true if p > alpha, false if not, and
+    none below `least` scores. Null and NaN are left out; the middle one of an odd number belongs to the second half.
+    """
+    d = scores.where(F.col(score).isNotNull() & ~F.isnan(score)).select(*by, F.col(score).alias("_s"), F.col(order).alias("_o"))
+    whole = Window.partitionBy(*by)
+    d = d.withColumns({"_i": F.row_number().over(whole.orderBy("_o", "_s")), "_n": F.count("*").over(whole)})
+    first = (F.col("_i") <= F.floor(F.col("_n") / 2)).cast("long")
+    level = d.groupBy(*by, "_s", "_n").agg(F.sum(first).alias("_a"), F.sum(1 - first).alias("_b"))
+    up = whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    na, nb = F.floor(F.col("_n") / 2), F.col("_n") - F.floor(F.col("_n") / 2)
+    gap = F.abs(F.sum("_a").over(up) / F.greatest(na, F.lit(1)) - F.sum("_b").over(up) / nb)
+    ks = level.withColumn("_gap", gap).groupBy(*by, F.col("_n").alias("n")).agg(F.max("_gap").alias("ks"))
+    a, b = F.floor(F.col("n") / 2), F.col("n") - F.floor(F.col("n") / 2)
+    root = F.sqrt(a * b / (a + b))
+    ks = ks.withColumn("_x", (root + 0.12 + F.lit(0.11) / root) * F.col("ks"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * F.col("_x") * F.col("_x")))
+    p = F.when(F.col("_x") < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
+    ks = ks.withColumn("p_value", F.when(F.col("n") >= least, p))
+    verdict = F.when(F.col("p_value").isNull(), "none").when(F.col("p_value") > alpha, "true").otherwise("false")
+    return ks.select(*by, "n", "ks", "p_value", verdict.alias("verdict"))
+
+
 def conformal_bound(n: int, alpha: float) -> float:
     """False-alarm rate that n calibration scores really allow at level alpha."""
     if n < 1:

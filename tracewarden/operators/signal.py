@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -104,6 +105,87 @@ def sliding_kl(series: DataFrame, baseline: list[float], window: int, step: int
     return _sliding(series, F.rint("x").cast("long"), window, step, kl, "kl")
 
 
+def sliding_mi(pairs: DataFrame, window: int, step: int = 1) -> DataFrame:
+    """Mutual information in bits of the codes x and y of each window, from pairs(series_id, idx, x, y); never negative."""
+
+    def mi(v: Column) -> Column:
+        x, y = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
+        h = entropy_of_counts(_tally(x)) + entropy_of_counts(_tally(y)) - entropy_of_counts(_tally(v))
+        return F.greatest(F.lit(0.0), h)
+
+    code = F.struct(F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y"))
+    return _sliding(pairs, code, window, step, mi, "mi")
+
+
+def mi_null(pairs: DataFrame, window: int, step: int = 1, permutations: int = 200, seed: int = 7) -> DataFrame:
+    """sliding_mi() of each series with its y shuffled as a whole, `permutations` times: series_id, permutation, window, mi.
+
+    Every shuffle keeps both marginals and the window, so these values carry the same bias as the observed ones and can
+    calibrate them. Each series is read once, by one task, and each shuffle's rows are written as they come.
+    """
+    name = pairs.schema["series_id"].dataType.simpleString()
+
+    def entropies(codes: np.ndarray) -> np.ndarray:
+        """Per row of codes the entropy of its values, by runs of the sorted row."""
+        s = np.sort(codes, axis=1)
+        n, w = s.shape
+        starts = np.ones((n, w), bool)
+        starts[:, 1:] = s[:, 1:] != s[:, :-1]
+        at = np.flatnonzero(starts.ravel())
+        runs = np.diff(np.append(at, n * w))
+        return math.log2(w) - np.bincount(at // w, runs * np.log2(runs), minlength=n) / w
+
+    def run(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = pd.concat(list(parts)).sort_values("idx")
+        x, y = (np.unique(np.rint(d[c].to_numpy(float)), return_inverse=True)[1].ravel() for c in ("x", "y"))
+        if len(x) < window:
+            return
+        view = lambda c: np.lib.stride_tricks.sliding_window_view(c, window)[::step]
+        hx, rng = entropies(view(x)), np.random.default_rng(seed)
+        for k in range(permutations):
+            z = rng.permutation(y)
+            mi = np.maximum(0.0, hx + entropies(view(z)) - entropies(view(x * (y.max() + 1) + z)))
+            yield pd.DataFrame({"series_id": key[0], "permutation": k, "window": np.arange(len(mi)), "mi": mi})
+
+    return pairs.select("series_id", "idx", "x", "y").groupBy("series_id").applyInPandas(run, f"series_id {name}, permutation int, window int, mi double")
+
+
+def dominant(spectra: DataFrame, top: int = 5) -> DataFrame:
+    """Per series the `top` frequencies of most power, the constant part aside: spectra(series_id, freq, power) with rank."""
+    w = Window.partitionBy("series_id").orderBy(F.desc("power"), "freq")
+    return spectra.where("freq > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+# ---------------------------------------------------------------- window sizes that divide a length
+
+
+def divisors(n: int) -> list[int]:
+    if n < 1:
+        raise ValueError("only positive numbers have divisors here")
+    low = [d for d in range(1, math.isqrt(n) + 1) if n % d == 0]
+    return sorted({*low, *(n // d for d in low)})
+
+
+def prime_factors(n: int) -> set[int]:
+    return {d for d in divisors(n) if len(divisors(d)) == 2}
+
+
+def neighbours(d: int, n: int) -> list[int]:
+    """Divisors of n that are one prime factor away from its divisor d."""
+    if n % d:
+        raise ValueError(f"{d} does not divide {n}")
+    return [e for e in divisors(n) if len(divisors(max(d, e) // min(d, e))) == 2 and max(d, e) % min(d, e) == 0]
+
+
+def scales(n: int, start: int, hops: int) -> dict[int, int]:
+    """Window sizes within `hops` prime steps of `start` among the divisors of n, with their distance."""
+    near, front = {start: 0}, [start]
+    for hop in range(1, hops + 1):
+        front = sorted({e for d in front for e in neighbours(d, n)} - set(near))
+        near |= dict.fromkeys(front, hop)
+    return near
+
+
 def blocks(series: DataFrame, nperseg: int, noverlap: int | None = None) -> DataFrame:
     """Samples with the blocks they belong to: series_id, block, j (place in the block), x. Only full blocks."""
     step = nperseg - (nperseg // 2 if noverlap is None else noverlap)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detector_queries, entailment_queries, rule_queries, signal_queries, stream_queries, structure_queries
+from . import composition_queries, detector_queries, entailment_queries, rule_queries, signal_queries, stream_queries, structure_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (detector_queries, rule_queries, entailment_queries, structure_queries, signal_queries, stream_queries)
+_PARTS = (detector_queries, rule_queries, entailment_queries, structure_queries, signal_queries, stream_queries, composition_queries)
 
 
 def queries() -> dict[str, Query]:
