@@ -179,6 +179,12 @@ FROM n a JOIN n b ON a.series_id = b.series_id AND b.i BETWEEN a.i AND a.i + 13
     "welch": f"""WITH {_S}, {_blocks(64, _SEGMENT)}, y AS (SELECT series_id, block, u.v.j AS j, (u.v.x - m) * (0.5 - 0.5 * cos(j * {2 * math.pi / 64!r})) AS y FROM b, unnest(l) AS u(v)),
 d AS (SELECT series_id, block, k, sum(y * cos(j * k * {2 * math.pi / 64!r})) AS re, sum(y * sin(j * k * {2 * math.pi / 64!r})) AS im FROM y, unnest(range(0, 33)) AS t(k) GROUP BY ALL)
 SELECT series_id, k AS idx, round(k / 64, 9) AS freq, round(avg(re * re + im * im) / {sum((0.5 - 0.5 * math.cos(2 * math.pi * k / 64)) ** 2 for k in range(64))!r} * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END, 3) AS power FROM d GROUP BY series_id, k""",
+    # per state the best score so far and the path behind it; ties go to `answer`, the first in order
+    "viterbi_roles": f"""WITH RECURSIVE o AS MATERIALIZED (SELECT CAST(conv_id AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, CASE WHEN role = 'user' THEN 0.9 ELSE 0.1 END AS e FROM conversations),
+r(series_id, i, a, q, pa, pq) AS (SELECT series_id, i, ln(0.2) + ln(1 - e), ln(0.8) + ln(e), ['answer'], ['ask'] FROM o WHERE i = 0
+UNION ALL SELECT o.series_id, o.i, greatest(a + ln(0.3), q + ln(0.7)) + ln(1 - e), greatest(a + ln(0.7), q + ln(0.3)) + ln(e), list_append(CASE WHEN a + ln(0.3) >= q + ln(0.7) THEN pa ELSE pq END, 'answer'), list_append(CASE WHEN a + ln(0.7) >= q + ln(0.3) THEN pa ELSE pq END, 'ask')
+FROM r JOIN o ON o.series_id = r.series_id AND o.i = r.i + 1), w AS (SELECT series_id, arg_max(CASE WHEN a >= q THEN pa ELSE pq END, i) AS path FROM r GROUP BY 1)
+SELECT series_id, t.i - 1 AS idx, path[t.i] AS state FROM w, unnest(range(1, len(path) + 1)) AS t(i)""",
     "cusum": f"""WITH RECURSIVE {_S}, m AS (SELECT series_id, median(x) AS mu FROM s GROUP BY 1), v AS (SELECT series_id, 1.4826 * median(abs(x - mu)) AS sigma FROM s JOIN m USING (series_id) GROUP BY 1),
 z AS MATERIALIZED (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1 AS i, (x - mu) / sigma AS z FROM s JOIN m USING (series_id) JOIN v USING (series_id)),
 r(series_id, i, hi, lo) AS (SELECT series_id, i, greatest(0.0, z - 0.5), greatest(0.0, -z - 0.5) FROM z WHERE i = 0
