@@ -1,7 +1,10 @@
+import copy
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +185,104 @@ def test_network_equals_its_definition(data):
     texts = ["the river dolt nitwit and walking", "one", "a b c d e f g", ""]
     z, _ = tx.logits([t.encode() for t in texts], model, tx.PartTable(model["words"]))
     assert np.allclose(z, [by_hand(t, model) for t in texts], atol=1e-3)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(tx, "PART_ROWS", 1500, raising=False)
+    n = 7000
+    words = [chr(0x4E00 + i) for i in range(n)]
+    d = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    model = tx.fit_toxicity(d, d.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    before = (np.random.default_rng(2).standard_normal((tx.BUCKETS, tx.DIM)) * 0.1).astype(np.float32)
+    own = [int(np.frombuffer(tx.PartTable()[w.encode()], np.uint32)[0]) for w in words]
+    moved = (model["e"][own] != before[own]).any(axis=1)
+    assert moved.sum() > 0.78 * n  # a fifth sets thresholds
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    d = spark.createDataFrame([(i, "dolt river " * 100_000 if i < 2 else f"the river {i}") for i in range(8)], "doc_id long, text string")
+    model = tx.fit_toxicity(d, d.select("doc_id", (F.col("doc_id") < 2).cast("int").alias("toxic")))
+    z, _ = tx.logits([b"dolt river", b"the river"], model, tx.PartTable(model["words"]))
+    assert z[0] > z[1]
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark, data, monkeypatch):
+    monkeypatch.setattr(tx, "PART_ROWS", 50)
+    docs, labels = data
+    one, two = tx.fit_toxicity(docs, labels), tx.fit_toxicity(docs.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(3))
+    assert all((one[k] == two[k]).all() for k in ("e", "v", "groups")) and one["words"] == two["words"]
+    assert np.allclose(one["edge"], two["edge"], atol=1e-4)
+
+
+def test_every_part_is_trained_on_in_every_epoch():
+    for parts in (1, 2, 7, 100):
+        every = [list(r) for r in tx.rounds(parts)]
+        assert sorted(sum(every, [])) == sorted(list(range(parts)) * tx.EPOCHS)
+        assert len(every[0]) == 1 and max(map(len, every)) <= tx.WIDE
+
+
+def test_thresholds_equal_brute_force(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3), round(rnd.gauss(3 * y, 2), rnd.choice([0, 1, 6])), y) for y in (0, 0, 0, 1) for _ in range(150)]
+    rows.append((3, 2.5, 1))
+    got = tx.best_edges(spark.createDataFrame(rows, "guess int, z double, y int").repartition(5))
+    assert sorted(got) == [-1, 0, 1, 2, 3] and got[3] == (2.5, 1, 0)
+    for k in (-1, 0, 1, 2):
+        own = [(z, y) for g, z, y in rows if k in (-1, g)]
+        toxic, clean = sum(y for _, y in own), sum(1 - y for _, y in own)
+        z = sorted({z for z, _ in own})
+        best = None
+        for low, high in zip(z, z[1:], strict=False):
+            good = 0.25 * sum(y for x, y in own if x >= high) / toxic + 0.75 * sum(1 - y for x, y in own if x <= low) / clean
+            key = (round(good, 9), high - low, -low)
+            if best is None or key > best[0]:
+                best = key, (low + high) / 2
+        assert got[k][1:] == (toxic, clean) and got[k][0] == pytest.approx(best[1])
+
+
+def test_groups_of_a_table_equal_those_of_its_texts(spark, data):
+    rows = data[0].select("text")
+    words, groups = tx.groups_of(rows)
+    want = tx.learn_groups([(r["text"] or "").encode() for r in rows.collect()])
+    assert words == want[0] and np.allclose(groups, want[1])
+
+
+def test_pieces_of_a_text_give_what_the_whole_gives(monkeypatch):
+    rnd = random.Random(5)
+    texts = [sentences("en", n, rnd).encode() for n in (0, 1, 30, 3, 200)]
+    model = {**tx.untrained(), "groups": None}
+    parts, flat, at, _ = tx.encode(texts, tx.PartTable())
+    want, where = tx.peaks(tx.embed(parts, model["e"]), flat, at, model, places=True)
+    monkeypatch.setattr(tx, "BLOCK", 7)
+    monkeypatch.setattr(tx, "SPLIT_BYTES", 10)
+    again = tx.encode(texts, tx.PartTable())
+    assert (again[0] == parts).all() and (again[1] == flat).all()
+    got, place = tx.peaks(tx.embed(parts, model["e"]), flat, at, model, places=True)
+    assert np.allclose(got, want, atol=1e-5) and (place == where).mean() > 0.99
+    coded = tx.gather([tx.code(x, tx.PartTable()) for x in texts])
+    assert (coded[0][coded[1]] == parts[flat]).all() and (coded[2] == at).all()
+
+
+def test_copies_are_averaged_over_those_that_moved_a_row():
+    shared = SimpleNamespace(value=tx.untrained())
+    before = shared.value["e"].copy()
+    given = [[("dolt river", 1), ("river", 0)], [("nitwit river", 1), ("stone river", 0)]]
+    models, sent = [], {}
+    for part, rows in enumerate(given):
+        coded = [(tx.code(x.encode(), tx.PartTable()), y) for x, y in rows]
+        models.append(copy.deepcopy(shared.value))
+        tx.train(iter(coded), models[-1], {0: 1.0, 1: 1.0})
+        batch = pa.RecordBatch.from_pydict({"part": pa.array([part] * 2, pa.int32()), "words": [c[0] for c, _ in coded], "flat": [c[1] for c, _ in coded], "y": [y for _, y in coded]})
+        for out in tx.train_part(shared, {0: 1.0, 1: 1.0})(iter([batch])):
+            sent.setdefault(out.column(0)[0].as_py(), []).append(out)
+    assert (shared.value["e"] == before).all()
+    model = copy.deepcopy(shared.value)
+    for batches in sent.values():
+        for out in tx.average(iter(batches)):
+            tx.take(model, out.column(0)[0].as_py(), out.column(1)[0].as_py())
+    one, two = models[0]["e"], models[1]["e"]
+    moved = [(m["e"] != before).any(axis=1) for m in models]
+    assert moved[0].any() and (moved[0] != moved[1]).any() and (moved[0] & moved[1]).any()
+    want = np.where((moved[0] & moved[1])[:, None], (one + two) / 2, np.where(moved[0][:, None], one, two))
+    assert np.allclose(model["e"], want, atol=1e-6) and model["turn"] == 1
+    assert np.allclose(model["v"], (models[0]["v"] + models[1]["v"]) / 2, atol=1e-6)

@@ -2,33 +2,41 @@
 
 A word's embedding is the sum of hashed, learnt vectors of the word and of its first letters (so that words built on one
 stem are related even if the word itself was never seen); filters of several widths run over the text, each keeps its largest
-response anywhere in it (so one passage in a long text is enough), and a logistic layer turns these into a score. Training
-runs on the driver over a bounded labelled sample. Scores are shifted per language, so that 0.7 is the threshold that serves
-each language best. Languages are not named: texts of the sample are grouped by their shares of the sample's most frequent
-words, which are function words and tell languages apart, and a text is guessed to be of the group whose profile is nearest.
+response anywhere in it (so one passage in a long text is enough), and a logistic layer turns these into a score. It learns
+from every labelled row: rows are dealt into parts by a hash, tasks train copies of the network on a part each, and the copies
+are averaged after every round. Scores are shifted per language, so that 0.7 is the threshold that serves each language best.
+Languages are not named: the most frequent words are grouped by the texts they occur in (they are function words, which tell
+languages apart), and a text is guessed to be of the group whose profile is nearest.
 """
 
 from __future__ import annotations
 
+import copy
+import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import id_remainder, label_sample, pieces, ship, slices, utf8, WORD_TABLE
+from .common import clean_shuffles, discard, id_remainder, labelled_rows, materialise, pieces, scratch_dir, ship, slices, utf8, WORD_TABLE
 
 BUCKETS, DIM, FILTERS = 1 << 16, 16, 24
 WIDTHS = (1, 2, 3)
 #: Lengths of the beginnings of a word that have vectors of their own.
 BEGINNINGS = (3, 4, 5, 6, 7)
 PARTS = 1 + len(BEGINNINGS)
-#: Labelled texts for fitting, per class.
-PER_CLASS = 2500
 EPOCHS, BATCH, RATE = 6, 32, 0.01
+#: Rows and bytes of text of a part, about, and copies of the network that are trained at once.
+PART_ROWS, PART_BYTES, WIDE = 8_000, 32_000_000, 16
+#: Ranges of buckets that are averaged by a task each.
+SLICES = 8
 CUT = 0.7
 #: Weight of clean texts in setting thresholds.
 CLEAN = 0.75
@@ -37,28 +45,70 @@ LEAST = 25
 
 #: Frequent words that tell languages apart, groups to begin with, and likeness from which two groups are one language.
 FREQUENT, GROUPS, SAME = 256, 12, 0.5
-#: Bytes of text to learn from, in all and of one text.
-ALL_BYTES, TEXT_BYTES = 64_000_000, 1_000_000
+#: Bytes of one text that are split at once, places of texts whose responses are held at once, words counted before they are sent.
+SPLIT_BYTES, BLOCK, COUNTED = 4_000_000, 1 << 19, 200_000
 
 _MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_~"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def learn_groups(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words, and a row of unit length over them for each group of texts (spherical k-means, like groups
+def split(text: bytes) -> Iterator[list[bytes]]:
+    """The text's words in lower case, those of SPLIT_BYTES at a time."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + SPLIT_BYTES) if len(text) - at > SPLIT_BYTES else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def number_words(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Numbers of the distinct words (from 1), word numbers of all texts with padding (0) between, starts."""
+    gap = max(WIDTHS)
+    number: dict[bytes, int] = {}
+    codes: list[int] = []
+    starts = []
+    for x in texts:
+        starts.append(len(codes))
+        for words in split(x):
+            codes += [number.setdefault(w, len(number) + 1) for w in words]
+        codes += [0] * gap
+    return number, np.array(codes, np.int64), np.array(starts, np.int64)
+
+
+def frequent_counts(tags: np.ndarray, flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """How often each of n frequent words is in each text; tags: a word's number among them (from 1; 0: none)."""
+    text = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(flat))))
+    tag = tags[flat]
+    known = np.flatnonzero(tag)
+    return np.bincount(text[known] * n + tag[known] - 1, minlength=len(at) * n).reshape(len(at), n)
+
+
+def texts_with(texts: list[bytes], spread: Counter) -> None:
+    """Add to spread in how many of the texts each word is."""
+    for x in texts:
+        spread.update({bare for words in split(x) for w in set(words) if (bare := w.strip(_MARKS))})
+
+
+def together(texts: list[bytes], words: list[bytes]) -> np.ndarray:
+    """For each of the words, its row: the shares (in millionths) of all of them in the texts it occurs in, added up. Whole
+    numbers, so that sums don't depend on the order of texts."""
+    frequent = {w: i + 1 for i, w in enumerate(words)}
+    number, flat, at = number_words(texts)
+    tags = np.array([0, *(frequent.get(w.strip(_MARKS), 0) for w in number)], np.int64)
+    counts = frequent_counts(tags, flat, at, len(words))
+    shares = counts * 1_000_000 // np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    return ((counts > 0).T.astype(float) @ shares.astype(float)).astype(np.int64)
+
+
+def group_words(joint: np.ndarray) -> np.ndarray:
+    """A row of unit length over the words for each group of them (spherical k-means of the rows of together(), like groups
     merged)."""
-    own = [Counter(bare for w in x.lower().split() if (bare := w.strip(_MARKS))) for x in texts]
-    spread = Counter(w for c in own for w in c)
-    words = [w for w, _ in sorted(spread.items(), key=lambda kv: (-kv[1], kv[0]))[:FREQUENT]]
-    number = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(texts), len(words)))
-    for i, c in enumerate(own):
-        for w in number.keys() & c.keys():
-            x[i, number[w]] = c[w]
-    x = profile(x[x.sum(axis=1) > 0])
+    x = profile(joint[joint.sum(axis=1) > 0].astype(float))
     if not len(x):
-        return words, np.zeros((0, len(words)))
+        return np.zeros((0, len(joint)))
     centre = profile(x.mean(axis=0, keepdims=True) ** 2)
-    for _ in range(GROUPS - 1):  # the text least like all centres so far is the next
+    for _ in range(GROUPS - 1):  # the word least like all centres so far is the next
         centre = np.concatenate((centre, x[(x @ centre.T).max(axis=1).argmin()][None]))
     for _ in range(20):
         near = (x @ centre.T).argmax(axis=1)
@@ -74,7 +124,46 @@ def learn_groups(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         both = centre[a] * size[a] + centre[b] * size[b]
         centre[a], size[a] = both / max(np.linalg.norm(both), 1e-12), size[a] + size[b]
         centre, size = np.delete(centre, b, axis=0), np.delete(size, b)
-    return words, centre
+    return centre
+
+
+def learn_groups(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, and a row of unit length over them for each group."""
+    spread: Counter = Counter()
+    texts_with(texts, spread)
+    words = [w for w, _ in sorted(spread.items(), key=lambda kv: (-kv[1], kv[0]))[:FREQUENT]]
+    return words, group_words(together(texts, words))
+
+
+def groups_of(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """learn_groups() over a table's column text: sums over all rows, of which FREQUENT words and their squares come back."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread: Counter = Counter()
+        for batch in pieces(batches):
+            texts_with(utf8(batch.column(0)), spread)
+            if len(spread) >= COUNTED:
+                yield pa.RecordBatch.from_pydict({"word": pa.array(spread.keys(), pa.binary()), "n": pa.array(spread.values(), pa.int64())})
+                spread.clear()
+        yield pa.RecordBatch.from_pydict({"word": pa.array(spread.keys(), pa.binary()), "n": pa.array(spread.values(), pa.int64())})
+
+    text = rows.select("text")
+    counts = text.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(words), len(words)), np.int64)
+        for batch in pieces(batches):
+            texts = utf8(batch.column(0))
+            for a, b in slices(texts, 2_000_000):
+                total += together(texts[a:b], words)
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": total[i, j]})
+
+    joint = np.zeros((len(words), len(words)), np.int64)
+    for r in text.mapInArrow(join, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        joint[r["i"], r["j"]] = r["n"]
+    return words, group_words(joint)
 
 
 def profile(counts: np.ndarray) -> np.ndarray:
@@ -102,23 +191,11 @@ class PartTable(dict):
 
 def encode(texts: list[bytes], table: PartTable, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Parts of the distinct words (row 0 pads), word numbers of all texts with padding between, starts, guessed groups."""
-    gap = max(WIDTHS)
-    number: dict[bytes, int] = {}
-    codes: list[int] = []
-    starts = []
-    for x in texts:
-        starts.append(len(codes))
-        codes += [number.setdefault(w, len(number) + 1) for w in x.lower().split()]
-        codes += [0] * gap
+    number, flat, at = number_words(texts)
     rows = np.frombuffer(b"".join([bytes(4 * PARTS + 4), *map(table.__getitem__, number)]), np.uint32).reshape(-1, PARTS + 1)
-    flat, at = np.array(codes, np.int64), np.array(starts, np.int64)
     guess = np.zeros(len(texts), np.int64)
     if groups is not None and len(groups):
-        tags = rows[:, PARTS][flat].astype(np.int64)
-        text = np.repeat(np.arange(len(texts)), np.diff(np.append(at, len(flat))))
-        known = np.flatnonzero(tags)
-        n = groups.shape[1]
-        counts = np.bincount(text[known] * n + tags[known] - 1, minlength=len(texts) * n).reshape(len(texts), n)
+        counts = frequent_counts(rows[:, PARTS].astype(np.int64), flat, at, groups.shape[1])
         guess = np.where(counts.any(axis=1), (profile(counts) @ groups.T).argmax(axis=1) + 1, 0)
     return rows[:, :PARTS].astype(np.int64), flat, at, guess
 
@@ -131,27 +208,51 @@ def embed(parts: np.ndarray, e: np.ndarray) -> np.ndarray:
     return out
 
 
-def logits(texts: list[bytes], model: dict, table: PartTable) -> tuple[np.ndarray, np.ndarray]:
-    """Raw output and guessed group of each text."""
-    parts, flat, at, guess = encode(texts, table, model["groups"])
-    emb = embed(parts, model["e"])
+def peaks(emb: np.ndarray, flat: np.ndarray, at: np.ndarray, model: dict, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each text's largest response of every filter, and where it is, if that is wanted."""
+    n = len(flat)
     flat = np.append(flat, np.zeros(max(WIDTHS) - 1, np.int64))
-    n = len(flat) - max(WIDTHS) + 1
     # windows that begin on a text's last pads would reach into the next text
-    ends = np.append(at[1:], n)
-    spill = (ends[:, None] - np.arange(1, max(WIDTHS))[None, :]).reshape(-1)
-    pooled = []
+    spill = np.sort((np.append(at[1:], n)[:, None] - np.arange(1, max(WIDTHS))[None, :]).reshape(-1))
+    cuts = np.union1d(at, np.arange(0, n, BLOCK))
+    first = np.searchsorted(cuts, at)
+    best, where = [], []
     for i, width in enumerate(WIDTHS):
-        z = (emb @ model["w"][i][0])[flat[:n]] + model["b"][i]
-        for o in range(1, width):
-            z += (emb @ model["w"][i][o])[flat[o : o + n]]
-        z[spill] = -np.inf
-        pooled.append(np.maximum(np.maximum.reduceat(z, at, axis=0), 0))
-    return np.concatenate(pooled, 1) @ model["v"] + model["c"], guess
+        tabs = [emb @ w for w in model["w"][i]]
+        most, top = [], []
+        for s in range(0, n, BLOCK):
+            e = min(s + BLOCK, n)
+            z = tabs[0][flat[s:e]] + model["b"][i]
+            for o in range(1, width):
+                z += tabs[o][flat[s + o : e + o]]
+            z[spill[np.searchsorted(spill, s) : np.searchsorted(spill, e)] - s] = -np.inf
+            own = cuts[np.searchsorted(cuts, s) : np.searchsorted(cuts, e)] - s
+            if places:
+                at_most = np.stack([a + z[a:b].argmax(axis=0) for a, b in zip(own, np.append(own[1:], e - s), strict=True)])
+                top.append(at_most + s)
+                most.append(np.take_along_axis(z, at_most, 0))
+            else:
+                most.append(np.maximum.reduceat(z, own, axis=0))
+        piece = np.concatenate(most)
+        best.append(np.maximum.reduceat(piece, first, axis=0))
+        if places:
+            place = np.concatenate(top)
+            if len(cuts) > len(at):  # of a text in several pieces, the piece with the largest
+                ends = np.append(first[1:], len(cuts))
+                place = np.stack([np.take_along_axis(place[a:b], piece[a:b].argmax(axis=0)[None], 0)[0] for a, b in zip(first, ends, strict=True)])
+            where.append(place)
+    return np.concatenate(best, 1), np.stack(where) if places else None
+
+
+def logits(texts: list[bytes], model: dict, table: PartTable) -> tuple[np.ndarray, np.ndarray]:
+    """Raw output and guessed group of each text."""
+    parts, flat, at, guess = encode(texts, table, model["groups"])
+    best, _ = peaks(embed(parts, model["e"]), flat, at, model)
+    return np.maximum(best, 0) @ model["v"] + model["c"], guess
 
 
-def train(texts: list[bytes], y: np.ndarray, seed: int = 2) -> dict:
-    """Fit by Adam on minibatches. Only the position of each filter's largest response gets a gradient."""
+def untrained(seed: int = 2) -> dict:
+    """A network with random weights; second: Adam's running squares of gradients, turn: steps so far."""
     rng = np.random.default_rng(seed)
     model = {
         "e": (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32),
@@ -159,121 +260,282 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 2) -> dict:
         "b": [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
         "v": (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.1).astype(np.float32),
         "c": np.float32(0),
+        "turn": 0,
     }
     model["e"][0] = 0
+    model["second"] = {name: np.zeros_like(x) for name, x in named(model).items()}
+    return model
+
+
+def named(model: dict) -> dict[str, np.ndarray]:
+    """The model's arrays that Adam moves, in place."""
+    out = {"e": model["e"], "v": model["v"]}
+    for i in range(len(WIDTHS)):
+        out[f"b{i}"] = model["b"][i]
+        out |= {f"w{i}{o}": w for o, w in enumerate(model["w"][i])}
+    return out
+
+
+def code(text: bytes, table: PartTable) -> tuple[bytes, bytes]:
+    """What training needs of a text: parts of its distinct words (16 bits each) and its word numbers from 1."""
+    parts, flat, _, _ = encode([text], table)
+    return parts[1:].astype(np.uint16).tobytes(), flat[: len(flat) - max(WIDTHS)].astype(number_type(len(parts))).tobytes()
+
+
+def number_type(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = PartTable()
-    coded = [encode([x], table)[:2] for x in texts]
-    pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    weight = np.where(y == 1, len(y) / (2 * max(1, len(pos))), len(y) / (2 * max(1, len(neg)))).astype(np.float32)
-    state: dict[str, list] = {}
-    turn = 0
-
-    def adam(name: str, value: np.ndarray, grad: np.ndarray, rows: np.ndarray | None = None):
-        m, v = state.setdefault(name, [np.zeros_like(value), np.zeros_like(value)])
+    for batch in pieces(batches):
+        texts = utf8(batch.column(0))
+        for a, b in slices(texts, 2_000_000):
+            words, flat = zip(*(code(x, table) for x in texts[a:b]), strict=True)
+            cols = [pa.array(words, pa.binary()), pa.array(flat, pa.binary()), *(c.slice(a, b - a) for c in batch.columns[1:])]
+            yield pa.RecordBatch.from_arrays(cols, names=["words", "flat", *batch.schema.names[1:]])
+
+
+def gather(coded: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """encode()'s first three results, from code() of the texts; words of two texts have two rows."""
+    parts, flat, at, shift, size = [np.zeros((1, PARTS), np.int64)], [], [], 0, 0
+    for words, numbers in coded:
+        parts.append(np.frombuffer(words, np.uint16).reshape(-1, PARTS).astype(np.int64))
+        flat += [np.frombuffer(numbers, number_type(len(parts[-1]) + 1)).astype(np.int64) + shift, np.zeros(max(WIDTHS), np.int64)]
+        at.append(size)
+        shift += len(parts[-1])
+        size += len(flat[-2]) + max(WIDTHS)
+    return np.concatenate(parts), np.concatenate(flat), np.array(at, np.int64)
+
+
+def train(rows: Iterator[tuple[tuple[bytes, bytes], int]], model: dict, weight: dict[int, float]) -> np.ndarray:
+    """Move the model by Adam on minibatches, once through the rows (code() of a text, y); which rows of e were moved. Only the
+    position of each filter's largest response gets a gradient."""
+    value, second = named(model), model["second"]
+    first = {name: np.zeros_like(x) for name, x in value.items()}
+    moved = np.zeros(BUCKETS, bool)
+    own = 0
+
+    def adam(name: str, grad: np.ndarray, rows: np.ndarray | None = None):
+        m, v, x, turn = first[name], second[name], value[name], model["turn"]
         if rows is None:
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
-            value -= RATE * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-7)
+            x -= RATE * (m / (1 - 0.9**own)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-7)
         else:  # sparse: only rows that were used
             m[rows] += 0.1 * (grad - m[rows])
             v[rows] += 0.001 * (grad * grad - v[rows])
-            value[rows] -= RATE * m[rows] / (np.sqrt(v[rows] / (1 - 0.999**turn)) + 1e-7)
+            x[rows] -= RATE * m[rows] / (np.sqrt(v[rows] / (1 - 0.999**turn)) + 1e-7)
+            moved[rows] = True
+
+    while batch := list(islice(rows, BATCH)):
+        own += 1
+        model["turn"] += 1
+        parts, flat, at = gather([x for x, _ in batch])
+        y = np.array([c for _, c in batch], np.float32)
+        scale = np.array([weight[c] for _, c in batch], np.float32) / len(batch)
+        emb = embed(parts, model["e"])
+        hidden, where = peaks(emb, flat, at, model, places=True)
+        act = np.maximum(hidden, 0)
+        out = act @ model["v"] + model["c"]
+        g = ((1 / (1 + np.exp(-out)) - y) * scale).astype(np.float32)
+        back = g[:, None] * model["v"][None, :] * (hidden > 0)
+        adam("v", act.T @ g + 1e-4 * model["v"])
+        model["c"] -= np.float32(RATE) * g.sum()
+        grad_e = np.zeros_like(emb)
+        flat = np.append(flat, np.zeros(max(WIDTHS) - 1, np.int64))
+        for i, width in enumerate(WIDTHS):
+            part = back[:, i * FILTERS : (i + 1) * FILTERS]
+            for o in range(width):
+                words = flat[where[i] + o]
+                x = emb[words]
+                np.add.at(grad_e, words.reshape(-1), (part[:, :, None] * model["w"][i][o].T[None, :, :]).reshape(-1, DIM))
+                adam(f"w{i}{o}", np.einsum("df,dfk->kf", part, x))
+            adam(f"b{i}", part.sum(axis=0))
+        hit = np.flatnonzero(np.abs(grad_e).sum(axis=1))
+        used, back_to = np.unique(parts[hit], return_inverse=True)
+        total = np.zeros((len(used), DIM), np.float32)
+        np.add.at(total, back_to.reshape(-1), np.repeat(grad_e[hit], PARTS, axis=0))
+        adam("e", total[used != 0], used[used != 0])
+    return moved
+
+
+def train_part(shared, weight: dict[int, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, part = copy.deepcopy(shared.value), -1
+
+        def rows() -> Iterator[tuple[tuple[bytes, bytes], int]]:
+            nonlocal part
+            for batch in pieces(batches, 200):
+                part = batch.column(0)[0].as_py()
+                words, flat, y = (c.to_pylist() for c in batch.columns[1:])
+                yield from zip(zip(words, flat, strict=True), y, strict=True)
+
+        moved = train(rows(), model, weight).reshape(SLICES, -1)
+        if part < 0:
+            return
+        dense = {"c": model["c"], **{name: x for name, x in named(model).items() if name != "e"}}
+        dense = dense, {name: x for name, x in model["second"].items() if name != "e"}, model["turn"]
+        e, second = (x.reshape(SLICES, -1, DIM) for x in (model["e"], model["second"]["e"]))
+        for i in range(SLICES):
+            at = np.flatnonzero(moved[i])
+            payload = pickle.dumps((at, e[i][at], second[i][at], dense if i == 0 else None))
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "part": pa.array([part], pa.int32()), "model": pa.array([payload], pa.binary())})
+
+    return run
 
-    pad = max(WIDTHS) - 1
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
-        for s in range(0, len(order), BATCH):
-            turn += 1
-            rows = order[s : s + BATCH]
-            shift = np.cumsum([0] + [len(coded[i][0]) for i in rows])
-            local = np.concatenate([coded[i][1] + k for i, k in zip(rows, shift, strict=False)] + [np.zeros(pad, np.int64)])
-            parts = np.concatenate([coded[i][0] for i in rows])
-            at = np.cumsum([0] + [len(coded[i][1]) for i in rows[:-1]])
-            end = np.append(at[1:], len(local) - pad)
-            emb = embed(parts, model["e"])
-            emb[shift[:-1]] = 0
-            tabs = [[emb @ w for w in ws] for ws in model["w"]]
-            n = len(local) - pad
-            pooled, where = [], []
-            for i, width in enumerate(WIDTHS):
-                z = tabs[i][0][local[:n]] + model["b"][i]
-                for o in range(1, width):
-                    z = z + tabs[i][o][local[o : o + n]]
-                top = np.stack([a + z[a : b - pad].argmax(axis=0) for a, b in zip(at, end, strict=True)])
-                where.append(top)
-                pooled.append(np.take_along_axis(z, top, 0))
-            hidden = np.concatenate(pooled, 1)
-            act = np.maximum(hidden, 0)
-            out = act @ model["v"] + model["c"]
-            g = ((1 / (1 + np.exp(-out)) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-            back = g[:, None] * model["v"][None, :] * (hidden > 0)
-            adam("v", model["v"], act.T @ g + 1e-4 * model["v"])
-            model["c"] -= np.float32(RATE) * g.sum()
-            grad_e = np.zeros_like(emb)
-            for i, width in enumerate(WIDTHS):
-                part = back[:, i * FILTERS : (i + 1) * FILTERS]
-                for o in range(width):
-                    words = local[where[i] + o]
-                    x = emb[words]
-                    w = model["w"][i][o]
-                    np.add.at(grad_e, words.reshape(-1), (part[:, :, None] * w.T[None, :, :]).reshape(-1, DIM))
-                    adam(f"w{i}{o}", w, np.einsum("df,dfk->kf", part, x))
-                adam(f"b{i}", model["b"][i], part.sum(axis=0))
-            hit = np.flatnonzero(np.abs(grad_e).sum(axis=1))
-            used, back_to = np.unique(parts[hit], return_inverse=True)
-            total = np.zeros((len(used), DIM), np.float32)
-            np.add.at(total, back_to.reshape(-1), np.repeat(grad_e[hit], PARTS, axis=0))
-            adam("e", model["e"], total[used != 0], used[used != 0])
-    return model
 
+def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of one slice of trained copies (rows in order of parts); of rows of e, the mean over the copies that moved
+    them, so that a word of few parts is learnt as well as one of many."""
+    e, second, times = np.zeros((BUCKETS // SLICES, DIM)), np.zeros((BUCKETS // SLICES, DIM)), np.zeros(BUCKETS // SLICES)
+    here, others = -1, []
+    for batch in pieces(batches, 1):
+        here = batch.column(0)[0].as_py()
+        at, its_e, its_second, dense = pickle.loads(batch.column(2)[0].as_py())
+        e[at] += its_e
+        second[at] += its_second
+        times[at] += 1
+        if dense is not None:
+            others.append(dense)
+    if here < 0:
+        return
+    dense = None
+    if others:
+        means = [{name: np.mean([x[i][name] for x in others], axis=0, dtype=float).astype(np.float32) for name in others[0][i]} for i in (0, 1)]
+        dense = *means, max(x[2] for x in others)
+    at = np.flatnonzero(times)
+    mean = [(x[at] / times[at, None]).astype(np.float32) for x in (e, second)]
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([here], pa.int32()), "model": pa.array([pickle.dumps((at, *mean, dense))], pa.binary())})
+
+
+def take(model: dict, here: int, payload: bytes) -> None:
+    """Put a slice's mean into the model."""
+    at, e, second, dense = pickle.loads(payload)
+    at = at + here * (BUCKETS // SLICES)
+    model["e"][at], model["second"]["e"][at] = e, second
+    if dense is not None:
+        own = named(model)
+        for name in own.keys() - {"e"}:
+            own[name][:], model["second"][name][:] = dense[0][name], dense[1][name]
+        model["c"], model["turn"] = dense[0]["c"], dense[2]
+
+
+def rounds(parts: int) -> Iterator[range]:
+    """Parts trained on at once: each EPOCHS times, at first one by one, then as many as were seen before, WIDE at most."""
+    seen = 0
+    for _ in range(EPOCHS):
+        at = 0
+        while at < parts:
+            width = min(parts - at, WIDE, max(1, seen))
+            yield range(at, at + width)
+            at, seen = at + width, seen + width
+
+
+def fit_network(rows: DataFrame, count: dict[int, int], size: int, folder: str) -> dict:
+    """Train on all rows (text, y, point); count: rows by y, size: bytes of their texts."""
+    spark, n = rows.sparkSession, sum(count.values())
+    parts = max(1, -(-n // PART_ROWS), -(-size // PART_BYTES))
+    weight = {y: n / (2 * c) for y, c in count.items()}
+    part = F.pmod(F.xxhash64("point", F.lit(3)), F.lit(parts)).cast("int")
+    dealt = rows.select("text", part.alias("part"), "y", "point").mapInArrow(code_rows, "words binary, flat binary, part int, y int, point long")
+    dealt = materialise(dealt.repartitionById(parts, F.col("part")), "parts", folder, by="part")
+    model = untrained()
+    for i, now in enumerate(rounds(parts)):
+        shared = spark.sparkContext.broadcast(model)
+        some = dealt.where(F.col("part").between(now[0], now[-1])).repartitionById(len(now), F.col("part") - now[0])
+        some = some.sortWithinPartitions(F.xxhash64("point", F.lit(i)), "point").select("part", "words", "flat", "y")
+        copies = some.mapInArrow(train_part(shared, weight), "slice int, part int, model binary")
+        copies = copies.repartitionById(SLICES, F.col("slice")).sortWithinPartitions("slice", "part")
+        with clean_shuffles(spark):
+            means = copies.mapInArrow(average, "slice int, model binary").collect()
+        for r in means:
+            take(model, r["slice"], r["model"])
+        shared.destroy()
+    return {k: x for k, x in model.items() if k not in ("second", "turn")}
+
+
+def best_edges(outputs: DataFrame) -> dict[int, tuple[float, int, int]]:
+    """Where to cut the outputs (guess, z, y) of each guess, and of all as guess -1; with numbers of toxic and clean texts.
+
+    A cut has most toxic texts above, and most clean ones below, which count more (CLEAN); of equally good cuts it is the
+    middle of the widest gap, the lowest of these. Running counts go bin by bin of z, so that no task sorts all outputs.
+    """
+    spark = outputs.sparkSession
+    step = (F.signum("z") * F.floor(F.log1p(F.abs("z")) * 64)).cast("int")
+    rows = outputs.select(F.explode(F.array(F.lit(-1), "guess")).alias("k"), "z", "y")
+    rows = rows.groupBy("k", "z").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).withColumn("bin", step)
+    bins = rows.groupBy("k", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.min("z").alias("low")).orderBy("k", "bin").collect()
+    out, table = {}, []
+    for k in sorted({r["k"] for r in bins}):
+        own = [r for r in bins if r["k"] == k]
+        toxic, clean = sum(r["p"] for r in own), sum(r["n"] for r in own)
+        out[k] = (own[0]["low"], toxic, clean)
+        p = n = 0
+        for r, after in zip(own, [*own[1:], None], strict=True):
+            table.append((k, r["bin"], p, n, after["low"] if after else None, (1 - CLEAN) / max(1, toxic), CLEAN / max(1, clean), toxic))
+            p, n = p + r["p"], n + r["n"]
+    if not table:
+        return out
+    bins = spark.createDataFrame(table, "k int, bin int, p0 long, n0 long, after double, wp double, wn double, toxic long")
+    upto = Window.partitionBy("k", "bin").orderBy("z")
+    rows = rows.join(F.broadcast(bins), ["k", "bin"]).select(
+        "k", "z", "wp", "wn", "toxic", (F.col("p0") + F.sum("p").over(upto)).alias("p"), (F.col("n0") + F.sum("n").over(upto)).alias("n"),
+        F.coalesce(F.lead("z").over(upto), "after").alias("next"),
+    )
+    good = F.round(F.col("wp") * (F.col("toxic") - F.col("p")) + F.col("wn") * F.col("n"), 9)
+    key = F.struct(good.alias("good"), (F.col("next") - F.col("z")).alias("gap"), (-F.col("z")).alias("low"))
+    best = rows.where(F.col("next").isNotNull()).groupBy("k").agg(F.max_by((F.col("z") + F.col("next")) / 2, key).alias("edge"))
+    return out | {r["k"]: (r["edge"], *out[r["k"]][1:]) for r in best.collect()}
+
+
+def raw_outputs(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        table = PartTable(model["words"])
+        for batch in pieces(batches):
+            texts = utf8(batch.column(0))
+            for a, b in slices(texts, 2_000_000):
+                z, guess = logits(texts[a:b], model, table)
+                yield pa.RecordBatch.from_arrays([pa.array(guess, pa.int32()), pa.array(z.astype(np.float64)), batch.column(1).slice(a, b - a)], names=["guess", "z", "y"])
 
-def best_edge(z: np.ndarray, y: np.ndarray) -> float:
-    """Where to cut: most toxic texts above, and most clean ones below, which count more (CLEAN); of equally good cuts the
-    middle of the widest gap."""
-    order = np.unique(z)
-    if len(order) < 2:
-        return float(order[0]) if len(order) else 0.0
-    edges, gaps = (order[1:] + order[:-1]) / 2, np.diff(order)
-    wp, wn = (1 - CLEAN) / max(1, (y == 1).sum()), CLEAN / max(1, (y == 0).sum())
-    zp, zn = np.sort(z[y == 1]), np.sort(z[y == 0])
-    good = wp * (len(zp) - np.searchsorted(zp, edges)) + wn * np.searchsorted(zn, edges)
-    best = np.flatnonzero(good >= good.max() - 1e-9)
-    return float(edges[best[gaps[best].argmax()]])
+    return run
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, learn=None, per_class: int = PER_CLASS) -> dict:
-    """Learn from at most per_class labelled texts of each class, ALL_BYTES together; a fifth of them sets the thresholds.
+def fit_toxicity(documents: DataFrame, labels: DataFrame, learn=None) -> dict:
+    """Learn from all labelled texts: a fifth of them, by a hash, sets the thresholds, the others train the network, and the
+    groups of frequent words come from both. A row that occurs repeatedly counts repeatedly.
 
     Without texts of both classes the model says 0.5 (nothing to learn from) or leans to the only class seen.
     """
-    ship(documents.sparkSession)
-    rows = label_sample(documents, labels, "toxic", F.lit(True) if learn is None else learn, per_class, text_bytes=TEXT_BYTES)
-    texts, marks, held = [], [], 0
-    for r in rows.coalesce(1).sortWithinPartitions("point").select("text", "y").toLocalIterator():
-        text = (r["text"] or "").encode()
-        held += len(text)
-        if held > ALL_BYTES:
-            break
-        texts.append(text)
-        marks.append(r["y"])
-    y = np.array(marks, np.float64)
-    if len(y) == 0 or y.min() == y.max():
-        return {"constant": 0.5 if len(y) == 0 else 0.05 + 0.9 * float(y[0])}
-    aside = np.arange(len(y)) % 5 == 0
-    if not 0 < y[aside].sum() < aside.sum() or not 0 < y[~aside].sum() < (~aside).sum():
-        aside = np.zeros(len(y), bool)
-    learnt = [t for t, a in zip(texts, aside, strict=True) if not a]
-    model = train(learnt, y[~aside])
-    model["words"], model["groups"] = learn_groups(learnt)
-    table = PartTable(model["words"])
-    check = np.flatnonzero(aside) if aside.any() else np.arange(len(y))
-    z, guess = [np.concatenate(x) for x in zip(*(logits([texts[i]], model, table) for i in check), strict=True)]
-    overall = best_edge(z, y[check])
-    model["edge"] = np.full(len(model["groups"]) + 1, overall)
-    for k in range(len(model["edge"])):
-        own = guess == k
-        if y[check][own].sum() >= LEAST and (1 - y[check][own]).sum() >= LEAST:
-            model["edge"][k] = best_edge(z[own], y[check][own])
+    spark = documents.sparkSession
+    ship(spark)
+    folder = scratch_dir(spark)
+    try:
+        rows = materialise(labelled_rows(documents, labels, "toxic", F.lit(True) if learn is None else learn), "labelled", folder)
+        aside = F.pmod("point", F.lit(5)) == 0
+        stats = rows.groupBy("y", aside.alias("aside")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).collect()
+        seen = {r["y"] for r in stats}
+        if len(seen) < 2:
+            return {"constant": 0.05 + 0.9 * float(seen.pop()) if seen else 0.5}
+        kept, check = rows.where(~aside), rows.where(aside)
+        if len(stats) < 4:  # too few for both purposes
+            kept = check = rows
+        else:
+            stats = [r for r in stats if not r["aside"]]
+        count = {y: sum(r["n"] for r in stats if r["y"] == y) for y in (0, 1)}
+        model = fit_network(kept, count, sum(r["size"] for r in stats), folder)
+        model["words"], model["groups"] = groups_of(rows)
+        shared = spark.sparkContext.broadcast(model)
+        outputs = check.select("text", "y").mapInArrow(raw_outputs(shared), "guess int, z double, y int")
+        edges = best_edges(materialise(outputs, "outputs", folder))
+        shared.destroy()
+    finally:
+        discard(spark, folder)
+    model["edge"] = np.full(len(model["groups"]) + 1, edges[-1][0])
+    for k, (edge, toxic, clean) in edges.items():
+        if k >= 0 and toxic >= LEAST and clean >= LEAST:
+            model["edge"][k] = edge
     return model
 
 
