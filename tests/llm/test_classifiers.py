@@ -1,5 +1,6 @@
 import copy
 import random
+import sys
 import zlib
 from types import SimpleNamespace
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewarden.llm import language_id as li
 from tracewarden.llm import quality_classifier as qc
 from tracewarden.llm import toxicity as tx
-from tracewarden.llm.common import id_remainder, label_sample
+from tracewarden.llm.common import id_remainder, label_sample, mix
 
 WORDS = {"en": "the of and house river walking stone green window", "de": "der und das Haus Fluss gehen Stein grün Fenster", "fr": "le des et maison rivière marcher pierre vert fenêtre"}
 
@@ -286,3 +287,59 @@ def test_copies_are_averaged_over_those_that_moved_a_row():
     want = np.where((moved[0] & moved[1])[:, None], (one + two) / 2, np.where(moved[0][:, None], one, two))
     assert np.allclose(model["e"], want, atol=1e-6) and model["turn"] == 1
     assert np.allclose(model["v"], (models[0]["v"] + models[1]["v"]) / 2, atol=1e-6)
+
+
+def parts_by_hand(word):
+    """Bucket numbers of a word and of its beginnings as their definition has them, digit by digit."""
+
+    def hashed(x, extra=0):
+        number = (sum((b + 1) * tx.BASE**i for i, b in enumerate(x)) + extra) % 2**64
+        return 1 + int(mix(np.array([number], np.uint64))[0]) % (tx.BUCKETS - 1)
+
+    bare = word.lower().strip(tx._MARKS)
+    text = bare.decode()
+    return [hashed(bare, int(tx.WHOLE)), *(hashed(text[:n].encode()) if len(text) >= n else 0 for n in tx.BEGINNINGS)]
+
+
+@pytest.mark.parametrize("at_once", [8, 100, 1 << 18])
+def test_words_are_hashed_by_definition(monkeypatch, at_once):
+    monkeypatch.setattr(tx, "SPLIT_BYTES", at_once)
+    rnd = random.Random(6)
+    alphabet = "abcXYZ äßé 中文 😀\t\n\v\f\r.,#'_~\x00\x1c\x85\u00a0\u2003"
+    texts = ["", " ", "#" * 30, "(Dolt), dolt's DOLT--", "word", "a" * 300 + "," * 40 + "b", *("".join(rnd.choices(alphabet, k=rnd.randrange(60))) for _ in range(60))]
+    texts = [x.encode() for x in texts]
+    parts, flat, at, _ = tx.encode(texts, tx.PartTable())
+    assert not parts[0].any() and len(np.unique(parts[1:], axis=0)) == len({x.lower().strip(tx._MARKS) for t in texts for x in t.split()})
+    for t, a, b in zip(texts, at, [*at[1:], len(flat)], strict=True):
+        assert parts[flat[a:b]].tolist() == [parts_by_hand(w) for w in t.split()] + [[0] * tx.PARTS] * max(tx.WIDTHS)
+    for coded, one in zip(tx.code_all(texts, tx.PartTable()), texts, strict=True):
+        assert coded == tx.code(one, tx.PartTable())
+    words = [b"dolt", "中文".encode(), b"word"]
+    assert [np.frombuffer(tx.PartTable(words)[w], np.uint32)[-1] for w in (b"(Dolt)", "中文".encode(), b"word", b"other")] == [1, 2, 3, 0]
+
+
+def test_new_words_cost_no_call_each():
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)).encode() for i in range(200)]
+    table, calls = tx.PartTable([b"w1x1"]), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        tx.logits(texts, {**tx.untrained(), "groups": np.ones((1, 1))}, table)
+    finally:
+        sys.setprofile(None)
+    assert calls < 5_000  # of 20,000 words
+
+
+def test_very_many_words_give_what_few_give(monkeypatch):
+    texts = [" ".join(f"w{i * j % 90}" for j in range(60)).encode() for i in range(1, 6)]
+    model = {**tx.untrained(), "groups": None}
+    parts, flat, at, _ = tx.encode(texts, tx.PartTable())
+    want, where = tx.peaks(tx.embed(parts, model["e"]), flat, at, model, places=True)
+    monkeypatch.setattr(tx, "BLOCK", 2)
+    assert len(parts) > 32 * 2
+    got, place = tx.peaks(tx.embed(parts, model["e"]), flat, at, model, places=True)
+    assert np.allclose(got, want, atol=1e-5) and (place == where).mean() > 0.95

@@ -16,16 +16,16 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import clean_shuffles, discard, id_remainder, labelled_rows, materialise, pieces, scratch_dir, ship, slices, utf8, WORD_TABLE
+from .common import clean_shuffles, discard, id_remainder, labelled_rows, materialise, mix, pieces, scratch_dir, ship, slices, starts_of, utf8
 
 BUCKETS, DIM, FILTERS = 1 << 16, 16, 24
 WIDTHS = (1, 2, 3)
@@ -45,35 +45,148 @@ LEAST = 25
 
 #: Frequent words that tell languages apart, groups to begin with, and likeness from which two groups are one language.
 FREQUENT, GROUPS, SAME = 256, 12, 0.5
-#: Bytes of one text that are split at once, places of texts whose responses are held at once, words counted before they are sent.
-SPLIT_BYTES, BLOCK, COUNTED = 4_000_000, 1 << 19, 200_000
+#: Bytes of text that are split at once, places of texts whose responses are held at once, words counted before they are sent.
+SPLIT_BYTES, BLOCK, COUNTED = 1 << 18, 1 << 13, 200_000
 
 _MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_~"
+_SPACES = b" \t\n\v\f\r"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: 2 for white space, 1 for marks, 0 for other bytes.
+_KIND = np.array([2 if i in _SPACES else int(i in _MARKS) for i in range(256)], np.uint8)
 
+#: Words are hashed as numbers of this base, modulo 2 ** 64, whose digits are their bytes plus one; what is added for whole words.
+BASE, WHOLE = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
 
-def split(text: bytes) -> Iterator[list[bytes]]:
-    """The text's words in lower case, those of SPLIT_BYTES at a time."""
+
+def split(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of whole words, of at most SPLIT_BYTES; a longer word is a piece of its own."""
     at = 0
     while at < len(text):
-        gap = _SPACE.search(text, at + SPLIT_BYTES) if len(text) - at > SPLIT_BYTES else None
-        end = gap.start() if gap else len(text)
-        yield text[at:end].lower().split()
+        end = len(text)
+        if end - at > SPLIT_BYTES:
+            end = 1 + max(text.rfind(c, at, at + SPLIT_BYTES) for c in _SPACES)
+            if not end:
+                gap = _SPACE.search(text, at + SPLIT_BYTES)
+                end = gap.start() if gap else len(text)
+        yield text[at:end]
         at = end
 
 
-def number_words(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Numbers of the distinct words (from 1), word numbers of all texts with padding (0) between, starts."""
+@lru_cache(2)
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def buckets_of(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words at these places of a text (without marks around them), a place of each distinct one in begin, and
+    buckets of beginnings of these (0: the word is shorter)."""
+    size = max(2, 1 << (len(text) - 1).bit_length()) if len(text) else 2
+    back = powers(pow(BASE, -1, 1 << 64), size)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(BASE, size)[: len(text)], out=sums[1:])
+    at = np.minimum(begin, len(text) - 1)
+    hashes = mix((sums[end] - sums[begin]) * back[at] + WHOLE)
+    _, one, _ = distinct(hashes)
+    begin, end, at = begin[one], end[one], at[one]
+    lead = (text & 0xC0) != 0x80  # the first byte of a code point
+    leads, upto = np.flatnonzero(lead), np.zeros(len(text) + 1, np.int32)
+    np.cumsum(lead, out=upto[1:])
+    first, last = upto[begin], upto[end]
+    starts = np.zeros((len(one), len(BEGINNINGS)), np.uint32)
+    for j, n in enumerate(BEGINNINGS):
+        long = np.flatnonzero(last - first >= n)
+        stop = np.where(last[long] - first[long] > n, leads[np.minimum(first[long] + n, len(leads) - 1)], end[long])
+        starts[long, j] = bucket(mix((sums[stop] - sums[begin[long]]) * back[at[long]]))
+    return hashes, one, starts
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return np.uint64(1) + hashes % np.uint64(BUCKETS - 1)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and the number among them of every x."""
+    order = np.argsort(x)
+    new = np.append(True, x[order[1:]] != x[order[:-1]])[: len(x)]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return x[order[new]], order[new], number
+
+
+def bare_words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the text's words begin, and where they begin and end without marks around them."""
+    kind = _KIND[text]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], kind < 2, [False]))))
+    word, after = edge[::2], edge[1::2]
+    core, upto = np.flatnonzero(kind == 0), np.zeros(len(text) + 1, np.int32)
+    np.cumsum(kind == 0, out=upto[1:])
+    first, last = upto[word], upto[after]
+    begin, end = word.copy(), word.copy()
+    some = last > first
+    begin[some], end[some] = core[first[some]], core[last[some] - 1] + 1
+    return word, begin, end
+
+
+def long_word(word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """buckets_of() a word of any length, which is not held as numbers whole."""
+    bare, total = word.strip(_MARKS), 0
+    for at in range(0, len(bare), SPLIT_BYTES):
+        digits = np.frombuffer(bare[at : at + SPLIT_BYTES], np.uint8).astype(np.uint64) + np.uint64(1)
+        total += pow(BASE, at, 1 << 64) * int((digits * powers(BASE, SPLIT_BYTES)[: len(digits)]).sum())
+    head = np.frombuffer(bare[: 4 * max(BEGINNINGS) + 4], np.uint8)
+    starts = buckets_of(head, np.array([0]), np.array([len(head)]))[2]
+    return mix(np.array([total % (1 << 64)], np.uint64) + WHOLE), np.array([0]), starts
+
+
+def hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """buckets_of() all texts' words, bit by bit in their order, with the text that each word is in."""
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        if held:
+            text = np.frombuffer(b" ".join([x for _, x in held]).lower(), np.uint8)
+            word, begin, end = bare_words(text)
+            at = starts_of(np.array([len(x) + 1 for _, x in held]))
+            if len(word):
+                yield np.array([i for i, _ in held])[np.searchsorted(at, word, "right") - 1], buckets_of(text, begin, end)
+            held.clear()
+
+    for i, x in enumerate(texts):
+        for piece in split(x):
+            if size + len(piece) > SPLIT_BYTES:
+                yield from flush()
+                size = 0
+            if len(piece) > SPLIT_BYTES:
+                yield np.array([i]), long_word(piece.lower())
+            else:
+                held.append((i, piece))
+                size += len(piece) + 1
+    yield from flush()
+
+
+def number_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words by their hashes, in order of these, buckets of their parts, word numbers of all texts (from 1) with
+    padding (0) between, starts."""
     gap = max(WIDTHS)
-    number: dict[bytes, int] = {}
-    codes: list[int] = []
-    starts = []
-    for x in texts:
-        starts.append(len(codes))
-        for words in split(x):
-            codes += [number.setdefault(w, len(number) + 1) for w in words]
-        codes += [0] * gap
-    return number, np.array(codes, np.int64), np.array(starts, np.int64)
+    words, hashes, starts, size = [], [np.zeros(0, np.uint64)], [np.zeros((0, len(BEGINNINGS)), np.uint32)], 0
+    count = np.zeros(len(texts), np.int64)
+    for text, (own, one, beginnings) in hashed(texts):
+        count += np.bincount(text, minlength=len(texts))
+        words.append((text.astype(np.int32), (distinct(own)[2] + size).astype(np.int32)))
+        hashes.append(own[one])
+        starts.append(beginnings)
+        size += len(one)
+    every, one, again = distinct(np.concatenate(hashes))
+    parts = np.concatenate((bucket(every)[:, None].astype(np.uint32), np.concatenate(starts)[one]), 1)
+    at = starts_of(count + gap)
+    flat, seen = np.zeros(at[-1], np.int64), 0
+    for text, number in words:
+        flat[np.arange(seen, seen + len(text)) + gap * text] = again[number] + 1
+        seen += len(text)
+    return every, parts, flat, at[:-1]
 
 
 def frequent_counts(tags: np.ndarray, flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -87,16 +200,14 @@ def frequent_counts(tags: np.ndarray, flat: np.ndarray, at: np.ndarray, n: int)
 def texts_with(texts: list[bytes], spread: Counter) -> None:
     """Add to spread in how many of the texts each word is."""
     for x in texts:
-        spread.update({bare for words in split(x) for w in set(words) if (bare := w.strip(_MARKS))})
+        spread.update({bare for piece in split(x) for w in set(piece.lower().split()) if (bare := w.strip(_MARKS))})
 
 
 def together(texts: list[bytes], words: list[bytes]) -> np.ndarray:
     """For each of the words, its row: the shares (in millionths) of all of them in the texts it occurs in, added up. Whole
     numbers, so that sums don't depend on the order of texts."""
-    frequent = {w: i + 1 for i, w in enumerate(words)}
-    number, flat, at = number_words(texts)
-    tags = np.array([0, *(frequent.get(w.strip(_MARKS), 0) for w in number)], np.int64)
-    counts = frequent_counts(tags, flat, at, len(words))
+    hashes, _, flat, at = number_words(texts)
+    counts = frequent_counts(PartTable(words).tags(hashes), flat, at, len(words))
     shares = counts * 1_000_000 // np.maximum(counts.sum(axis=1, keepdims=True), 1)
     return ((counts > 0).T.astype(float) @ shares.astype(float)).astype(np.int64)
 
@@ -171,39 +282,39 @@ def profile(counts: np.ndarray) -> np.ndarray:
     return root / np.maximum(np.linalg.norm(root, axis=1, keepdims=True), 1e-12)
 
 
-class PartTable(dict):
-    """Word bytes -> PARTS bucket numbers (0: none) and its number among the frequent words (from 1; 0: none), as uint32 bytes."""
+class PartTable:
+    """Words' numbers among the frequent words (from 1; 0: none). Of one word: PARTS bucket numbers (0: none) and that number,
+    as uint32 bytes."""
 
     def __init__(self, frequent: list[bytes] | None = None):
-        super().__init__()
-        self.frequent = {w: i + 1 for i, w in enumerate(frequent or ())}
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= WORD_TABLE:
-            self.clear()
-        bare = word.strip(_MARKS)
-        text = bare.decode("utf-8", "ignore")
-        parts = [1 + xxhash.xxh3_64_intdigest(b"=" + bare) % (BUCKETS - 1)]
-        parts += [1 + xxhash.xxh3_64_intdigest(text[:n].encode()) % (BUCKETS - 1) if len(text) >= n else 0 for n in BEGINNINGS]
-        self[word] = out = np.array([*parts, self.frequent.get(bare, 0)], np.uint32).tobytes()
-        return out
+        hashes = np.array([number_words([w])[0][0] for w in frequent or ()], np.uint64)
+        self.number = np.append(np.argsort(hashes) + 1, 0)
+        self.hashes = np.append(np.sort(hashes), np.uint64(0))
+
+    def tags(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of distinct words, after that of padding (0)."""
+        at = np.searchsorted(self.hashes[:-1], hashes)
+        return np.append(0, np.where(self.hashes[at] == hashes, self.number[at], 0))
+
+    def __getitem__(self, word: bytes) -> bytes:
+        hashes, parts, _, _ = number_words([word])
+        return np.append(parts[0], self.tags(hashes)[1]).astype(np.uint32).tobytes()
 
 
 def encode(texts: list[bytes], table: PartTable, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Parts of the distinct words (row 0 pads), word numbers of all texts with padding between, starts, guessed groups."""
-    number, flat, at = number_words(texts)
-    rows = np.frombuffer(b"".join([bytes(4 * PARTS + 4), *map(table.__getitem__, number)]), np.uint32).reshape(-1, PARTS + 1)
+    hashes, parts, flat, at = number_words(texts)
     guess = np.zeros(len(texts), np.int64)
     if groups is not None and len(groups):
-        counts = frequent_counts(rows[:, PARTS].astype(np.int64), flat, at, groups.shape[1])
+        counts = frequent_counts(table.tags(hashes), flat, at, groups.shape[1])
         guess = np.where(counts.any(axis=1), (profile(counts) @ groups.T).argmax(axis=1) + 1, 0)
-    return rows[:, :PARTS].astype(np.int64), flat, at, guess
+    return np.concatenate((np.zeros((1, PARTS), np.int64), parts)), flat, at, guess
 
 
 def embed(parts: np.ndarray, e: np.ndarray) -> np.ndarray:
-    out = e[parts[:, 0]].copy()
+    out = np.take(e, parts[:, 0], axis=0)
     for j in range(1, PARTS):
-        out += e[parts[:, j]]
+        out += np.take(e, parts[:, j], axis=0)
     out[0] = 0
     return out
 
@@ -216,32 +327,48 @@ def peaks(emb: np.ndarray, flat: np.ndarray, at: np.ndarray, model: dict, places
     spill = np.sort((np.append(at[1:], n)[:, None] - np.arange(1, max(WIDTHS))[None, :]).reshape(-1))
     cuts = np.union1d(at, np.arange(0, n, BLOCK))
     first = np.searchsorted(cuts, at)
-    best, where = [], []
-    for i, width in enumerate(WIDTHS):
-        tabs = [emb @ w for w in model["w"][i]]
-        most, top = [], []
-        for s in range(0, n, BLOCK):
-            e = min(s + BLOCK, n)
-            z = tabs[0][flat[s:e]] + model["b"][i]
-            for o in range(1, width):
-                z += tabs[o][flat[s + o : e + o]]
-            z[spill[np.searchsorted(spill, s) : np.searchsorted(spill, e)] - s] = -np.inf
-            own = cuts[np.searchsorted(cuts, s) : np.searchsorted(cuts, e)] - s
-            if places:
-                at_most = np.stack([a + z[a:b].argmax(axis=0) for a, b in zip(own, np.append(own[1:], e - s), strict=True)])
-                top.append(at_most + s)
-                most.append(np.take_along_axis(z, at_most, 0))
+    # what a word adds to all filters that reach it, by its place in the window
+    reach = [[i for i, width in enumerate(WIDTHS) if o < width] for o in range(max(WIDTHS))]
+    weights = [np.concatenate([model["w"][i][o] for i in own], 1) for o, own in enumerate(reach)]
+
+    def responses(emb: np.ndarray) -> list[np.ndarray]:
+        out = [emb @ w for w in weights]
+        out[0] += np.concatenate(model["b"])
+        return out
+
+    many = len(emb) > 32 * BLOCK  # then those of a block's words only are held
+    tabs = None if many else responses(emb)
+    room = [np.empty((min(BLOCK, n), w.shape[1]), w.dtype) for w in weights]
+    most, top = [], []
+    for s in range(0, n, BLOCK):
+        e = min(s + BLOCK, n)
+        here = flat[s : e + max(WIDTHS) - 1]
+        if many:
+            words, _, here = distinct(here)
+            tabs = responses(emb[words])
+        for o, t in enumerate(tabs):  # clip, as numpy fills a copy of out first without it
+            x = np.take(t, here[o : e - s + o], axis=0, out=room[o][: e - s], mode="clip")
+            if o:
+                z[:, reach[o][0] * FILTERS :] += x
             else:
-                most.append(np.maximum.reduceat(z, own, axis=0))
-        piece = np.concatenate(most)
-        best.append(np.maximum.reduceat(piece, first, axis=0))
+                z = x
+        z[spill[np.searchsorted(spill, s) : np.searchsorted(spill, e)] - s] = -np.inf
+        own = cuts[np.searchsorted(cuts, s) : np.searchsorted(cuts, e)] - s
         if places:
-            place = np.concatenate(top)
-            if len(cuts) > len(at):  # of a text in several pieces, the piece with the largest
-                ends = np.append(first[1:], len(cuts))
-                place = np.stack([np.take_along_axis(place[a:b], piece[a:b].argmax(axis=0)[None], 0)[0] for a, b in zip(first, ends, strict=True)])
-            where.append(place)
-    return np.concatenate(best, 1), np.stack(where) if places else None
+            at_most = np.stack([a + z[a:b].argmax(axis=0) for a, b in zip(own, np.append(own[1:], e - s), strict=True)])
+            top.append(at_most + s)
+            most.append(np.take_along_axis(z, at_most, 0))
+        else:
+            most.append(np.maximum.reduceat(z, own, axis=0))
+    piece = np.concatenate(most)
+    best = np.maximum.reduceat(piece, first, axis=0)
+    if not places:
+        return best, None
+    place = np.concatenate(top)
+    if len(cuts) > len(at):  # of a text in several pieces, the piece with the largest
+        ends = np.append(first[1:], len(cuts))
+        place = np.stack([np.take_along_axis(place[a:b], piece[a:b].argmax(axis=0)[None], 0)[0] for a, b in zip(first, ends, strict=True)])
+    return best, np.stack(np.split(place, len(WIDTHS), axis=1))
 
 
 def logits(texts: list[bytes], model: dict, table: PartTable) -> tuple[np.ndarray, np.ndarray]:
@@ -278,8 +405,16 @@ def named(model: dict) -> dict[str, np.ndarray]:
 
 def code(text: bytes, table: PartTable) -> tuple[bytes, bytes]:
     """What training needs of a text: parts of its distinct words (16 bits each) and its word numbers from 1."""
-    parts, flat, _, _ = encode([text], table)
-    return parts[1:].astype(np.uint16).tobytes(), flat[: len(flat) - max(WIDTHS)].astype(number_type(len(parts))).tobytes()
+    return code_all([text], table)[0]
+
+
+def code_all(texts: list[bytes], table: PartTable) -> list[tuple[bytes, bytes]]:
+    parts, flat, at, _ = encode(texts, table)
+    parts, out = parts.astype(np.uint16), []
+    for a, b in zip(at, np.append(at[1:], len(flat)) - max(WIDTHS), strict=True):
+        own, _, number = distinct(flat[a:b])
+        out.append((parts[own].tobytes(), (number + 1).astype(number_type(len(own) + 1)).tobytes()))
+    return out
 
 
 def number_type(n: int) -> type:
@@ -291,7 +426,7 @@ def code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         texts = utf8(batch.column(0))
         for a, b in slices(texts, 2_000_000):
-            words, flat = zip(*(code(x, table) for x in texts[a:b]), strict=True)
+            words, flat = zip(*code_all(texts[a:b], table), strict=True)
             cols = [pa.array(words, pa.binary()), pa.array(flat, pa.binary()), *(c.slice(a, b - a) for c in batch.columns[1:])]
             yield pa.RecordBatch.from_arrays(cols, names=["words", "flat", *batch.schema.names[1:]])
 
@@ -308,6 +443,12 @@ def gather(coded: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(parts), np.concatenate(flat), np.array(at, np.int64)
 
 
+def add_rows(to: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """np.add.at(to, rows, x), in the same order but number by number, which numpy has a fast loop for."""
+    at = rows[:, None] * to.shape[1] + np.arange(to.shape[1])
+    np.add.at(to.reshape(-1), at.reshape(-1), x.reshape(-1))
+
+
 def train(rows: Iterator[tuple[tuple[bytes, bytes], int]], model: dict, weight: dict[int, float]) -> np.ndarray:
     """Move the model by Adam on minibatches, once through the rows (code() of a text, y); which rows of e were moved. Only the
     position of each filter's largest response gets a gradient."""
@@ -323,9 +464,11 @@ def train(rows: Iterator[tuple[tuple[bytes, bytes], int]], model: dict, weight:
             v += 0.001 * (grad * grad - v)
             x -= RATE * (m / (1 - 0.9**own)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-7)
         else:  # sparse: only rows that were used
-            m[rows] += 0.1 * (grad - m[rows])
-            v[rows] += 0.001 * (grad * grad - v[rows])
-            x[rows] -= RATE * m[rows] / (np.sqrt(v[rows] / (1 - 0.999**turn)) + 1e-7)
+            its_m, its_v = m[rows], v[rows]
+            its_m += 0.1 * (grad - its_m)
+            its_v += 0.001 * (grad * grad - its_v)
+            m[rows], v[rows] = its_m, its_v
+            x[rows] -= RATE * its_m / (np.sqrt(its_v / (1 - 0.999**turn)) + 1e-7)
             moved[rows] = True
 
     while batch := list(islice(rows, BATCH)):
@@ -342,21 +485,21 @@ def train(rows: Iterator[tuple[tuple[bytes, bytes], int]], model: dict, weight:
         back = g[:, None] * model["v"][None, :] * (hidden > 0)
         adam("v", act.T @ g + 1e-4 * model["v"])
         model["c"] -= np.float32(RATE) * g.sum()
-        grad_e = np.zeros_like(emb)
+        grad_e = np.zeros(emb.shape)  # adding in single precision is slow once rows are learnt well (probably subnormal numbers)
         flat = np.append(flat, np.zeros(max(WIDTHS) - 1, np.int64))
         for i, width in enumerate(WIDTHS):
             part = back[:, i * FILTERS : (i + 1) * FILTERS]
             for o in range(width):
                 words = flat[where[i] + o]
                 x = emb[words]
-                np.add.at(grad_e, words.reshape(-1), (part[:, :, None] * model["w"][i][o].T[None, :, :]).reshape(-1, DIM))
+                add_rows(grad_e, words.reshape(-1), (part[:, :, None].astype(float) * model["w"][i][o].T[None, :, :]).reshape(-1, DIM))
                 adam(f"w{i}{o}", np.einsum("df,dfk->kf", part, x))
             adam(f"b{i}", part.sum(axis=0))
         hit = np.flatnonzero(np.abs(grad_e).sum(axis=1))
         used, back_to = np.unique(parts[hit], return_inverse=True)
-        total = np.zeros((len(used), DIM), np.float32)
-        np.add.at(total, back_to.reshape(-1), np.repeat(grad_e[hit], PARTS, axis=0))
-        adam("e", total[used != 0], used[used != 0])
+        total = np.zeros((len(used), DIM))
+        add_rows(total, back_to.reshape(-1), np.repeat(grad_e[hit], PARTS, axis=0))
+        adam("e", total[used != 0].astype(np.float32), used[used != 0])
     return moved
 
 
