@@ -164,6 +164,16 @@ def test_behaviour_against_structure(spark):
     assert coverage.behaviour_against_structure(hits.where("false"), tokens, "e").isEmpty()
 
 
+def test_behaviour_makes_no_row_of_a_pair(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(coverage, "cut", lambda d: made.append(d.count()) or d)
+    hits = spark.createDataFrame([(f"r{i:02}", e) for i in range(70) for e in (-1, i)], "rule_id string, e int")
+    tokens = spark.createDataFrame([(f"r{i:02}", t) for i in range(70) for t in ("all", f"t{i % 2}")], "rule_id string, token string")
+    got = {tuple(r) for r in coverage.behaviour_against_structure(hits, tokens, "e").collect()}
+    assert got == {("overlap", "exact", 35 * 34), ("overlap", "related", 35 * 35)}
+    assert max(made) <= 140  # as many as hits
+
+
 def test_coverage_changes_and_selectors(spark):
     old = spark.createDataFrame([("a", "witness"), ("b", "gap"), ("c", "gap")], "rule_id string, role string")
     new = spark.createDataFrame([("a", "witness"), ("b", "witness"), ("d", "gap")], "rule_id string, role string")

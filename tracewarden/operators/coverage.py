@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.plans.storage import cut
 
-from .corpus import classes_of
+from .corpus import catch_digest, classes_of
+from .pairs import over_pairs, shared_counts
 
 # The eighteen phases of the Unified Kill Chain in order, each with its stage and the tactic of that name.
 KILL_CHAIN = (
@@ -80,38 +81,47 @@ def behaviour_against_structure(hits: DataFrame, tokens: DataFrame, key: str) ->
     """Pairs of rules that fired, counted by behaviour (co-catch, overlap, disjoint) and structure (exact, nested, related,
     none): where one is co-catch without exact, or exact without co-catch, merging rules by content goes wrong.
 
-    tokens(rule_id, token). Rules are reduced to classes of equal catch and of equal content before anything is paired, and
-    events to the distinct sets of classes that fire on them; disjoint pairs without a common token follow by subtraction.
+    tokens(rule_id, token). Rules are reduced to kinds of equal catch and equal content, and events to those on which different
+    sets of kinds fire. Kinds are then compared block by block and counted where they are compared: no pair becomes a row.
+    Events and tokens go by 64-bit hashes.
     """
     h = cut(hits.select("rule_id", F.to_json(F.struct(key)).alias("e")).distinct())
     caught = cut(classes_of(h, "rule_id", "e").withColumnRenamed("class_id", "catch"))
     t = cut(tokens.select("rule_id", "token").distinct().join(caught.select("rule_id"), "rule_id"))
     content = classes_of(t, "rule_id", "token").withColumnRenamed("class_id", "content")
-    kinds = caught.join(content, "rule_id", "left").na.fill("", ["content"]).groupBy("catch", "content").agg(F.count("*").alias("n"))
-    kinds = cut(kinds)  # no more rows than rules
-    sets = h.join(caught.where("rule_id = catch").select("rule_id"), "rule_id").groupBy("e").agg(F.sort_array(F.collect_set("rule_id")).alias("s")).select("s").distinct()
-    meet = sets.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).where("x <> y").distinct()
-    meet = cut(meet)
-    rep = t.join(content.where("rule_id = content").select("rule_id"), "rule_id")
-    size = rep.groupBy("rule_id").agg(F.count("*").alias("m"))
-    both = rep.select(F.col("rule_id").alias("p"), "token").join(rep.select(F.col("rule_id").alias("q"), "token"), "token").where("p <> q").groupBy("p", "q").agg(F.count("*").alias("k"))
-    both = both.join(size.select(F.col("rule_id").alias("p"), F.col("m").alias("mp")), "p").join(size.select(F.col("rule_id").alias("q"), F.col("m").alias("mq")), "q")
-    both = both.select("p", "q", F.when((F.col("k") == F.col("mp")) | (F.col("k") == F.col("mq")), "nested").otherwise("related").alias("s"))
-    both = cut(both)
-    a = kinds.toDF("ca", "ta", "na")
-    b = kinds.toDF("cb", "tb", "nb")
-    alike = a.where("ta <> ''").join(b, F.col("ta") == F.col("tb")).union(a.join(both, F.col("ta") == F.col("p")).join(b, F.col("q") == F.col("tb")).select(*a.columns, *b.columns))
-    near = a.join(b, F.col("ca") == F.col("cb")).union(a.join(meet, F.col("ca") == F.col("x")).join(b, F.col("y") == F.col("cb")).select(*a.columns, *b.columns))
-    one, two = F.struct("ca", "ta"), F.struct("cb", "tb")
-    pair = alike.union(near).where(one <= two).distinct()
-    pair = pair.withColumn("pairs", F.when(one == two, (F.col("na") * (F.col("na") - 1) / 2).cast("long")).otherwise(F.col("na") * F.col("nb"))).where("pairs > 0")
-    pair = pair.join(meet.withColumn("meet", F.lit(True)), (F.col("ca") == F.col("x")) & (F.col("cb") == F.col("y")), "left").join(both, (F.col("ta") == F.col("p")) & (F.col("tb") == F.col("q")), "left")
-    behaviour = F.when(F.col("ca") == F.col("cb"), "co-catch").when(F.col("meet"), "overlap").otherwise("disjoint")
-    structure = F.when((F.col("ta") == F.col("tb")) & (F.col("ta") != ""), "exact").otherwise(F.coalesce("s", F.lit("none")))
-    told = cut(pair.groupBy(behaviour.alias("behaviour"), structure.alias("structure")).agg(F.sum("pairs").alias("pairs")))
-    n = caught.agg(F.count("*").alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
-    rest = n.unionByName(told.select((-F.col("pairs")).alias("pairs"))).agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
-    return told.unionByName(rest.select(F.lit("disjoint").alias("behaviour"), F.lit("none").alias("structure"), "pairs"))
+    kinds = caught.join(content, "rule_id", "left").groupBy("catch", "content").agg(F.count("*").alias("n"))
+    own = h.join(caught.where("rule_id = catch").select("rule_id"), "rule_id")
+    same = catch_digest(own.toDF("event", "rule_id").select("rule_id", "event"), "event").select(F.col("rule_id").alias("e"), F.xxhash64("h1", "h2", "n_caught").alias("x"))
+    events = own.join(same, "e").groupBy(F.col("rule_id").alias("catch")).agg(F.collect_set("x").alias("events"))
+    words = t.groupBy(F.col("rule_id").alias("content")).agg(F.collect_set(F.xxhash64("token")).alias("tokens"))
+    d = kinds.join(events, "catch").join(words, "content", "left").select("catch", "n", "events", F.coalesce("tokens", F.array().cast("array<bigint>")).alias("tokens"))
+    shared = shared_counts()
+
+    def count(left, right, one):
+        import numpy as np
+        import pyarrow as pa
+
+        (ae, be), (at, bt) = ([x[c][0] for x in (left, right)] for c in ("events", "tokens"))
+        na, nb = (x["n"].to_numpy().astype(float) for x in (left, right))
+        told = np.zeros(12)
+        for (lo, e), (_, k) in zip(shared(left["events"], right["events"]), shared(left["tokens"], right["tokens"]), strict=True):
+            rows = slice(lo, lo + len(e))
+            alike = (e == ae[rows, None]) & (e == be[None])
+            within = (k == at[rows, None]).astype(np.int8) + (k == bt[None])
+            code = np.where(alike, 0, np.where(e > 0, 4, 8)) + np.where(k > 0, 2 - within, 3)
+            pairs = np.outer(na[rows], nb)
+            if one:  # each pair of kinds once, and of a kind's own rules those before each other
+                own = np.arange(len(e)), np.arange(lo, lo + len(e))
+                of = pairs[own]
+                pairs = np.triu(pairs, lo + 1)
+                pairs[own] = (of - na[rows]) / 2
+            told += np.bincount(code.ravel(), weights=pairs.ravel(), minlength=12)
+        yield pa.RecordBatch.from_pydict({"code": pa.array(range(12), pa.int32()), "pairs": pa.array(told.astype(np.int64))})
+
+    told = over_pairs(d, "catch", count, "code int, pairs long").groupBy("code").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+    name = lambda names, c: F.element_at(F.array(*map(F.lit, names)), c.cast("int") + 1)
+    behaviour = name(("co-catch", "overlap", "disjoint"), F.floor(F.col("code") / 4))
+    return told.select(behaviour.alias("behaviour"), name(("exact", "nested", "related", "none"), F.col("code") % 4).alias("structure"), "pairs")
 
 
 # ---------------------------------------------------------------- coverage on labelled events
