@@ -310,6 +310,17 @@ def test_pairs_that_never_meet_are_coordinated(spark):
     assert [(r["a"], r["b"]) for r in detectors.coordination(spark.createDataFrame(rows, "entity int, bin long"), least=0.5).collect()] == [(1, 2)]
 
 
+def test_coordination_joins_no_bins(spark):
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(h, int(t)) for h in range(90) for t in set(rng.integers(0, 60, 25).tolist())], "entity int, bin long")
+    pairs = detectors.coordination(d, digits=9)
+    assert "bin" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # such a join makes a row of each shared bin
+    got = {(r["a"], r["b"]): (r["mi"], r["pearson"]) for r in pairs.collect()}
+    plain = detectors.coordination(d).select("a", "b", F.round("mi", 9).alias("mi"), F.round("pearson", 9).alias("pearson")).collect()
+    assert got == {(r["a"], r["b"]): (r["mi"], r["pearson"]) for r in plain} and len(got) == len(plain) == 90 * 89 / 2
+    assert all(a < b for a, b in got) and detectors.coordination(d.where("false")).collect() == []
+
+
 def test_running_totals_by_ranges(spark):
     rng = np.random.default_rng(1)
     keys = sorted(set(rng.normal(size=500).round(3).tolist()))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracewarden.plans.storage import cut
 
 from .corpus import catch_digest, classes_of
-from .pairs import over_pairs, shared_counts
+from .pairs import in_blocks, shared_counts
 
 # The eighteen phases of the Unified Kill Chain in order, each with its stage and the tactic of that name.
 KILL_CHAIN = (
@@ -118,7 +118,7 @@ def behaviour_against_structure(hits: DataFrame, tokens: DataFrame, key: str) ->
             told += np.bincount(code.ravel(), weights=pairs.ravel(), minlength=12)
         yield pa.RecordBatch.from_pydict({"code": pa.array(range(12), pa.int32()), "pairs": pa.array(told.astype(np.int64))})
 
-    told = over_pairs(d, "catch", count, "code int, pairs long").groupBy("code").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+    told = in_blocks(d, "catch")(count, "code int, pairs long").groupBy("code").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
     name = lambda names, c: F.element_at(F.array(*map(F.lit, names)), c.cast("int") + 1)
     behaviour = name(("co-catch", "overlap", "disjoint"), F.floor(F.col("code") / 4))
     return told.select(behaviour.alias("behaviour"), name(("exact", "nested", "related", "none"), F.col("code") % 4).alias("structure"), "pairs")
