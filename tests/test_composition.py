@@ -1,6 +1,7 @@
 """Composition, coverage, synthetic data and window sizes against small brute-force versions."""
 
 import glob
+import itertools
 import math
 import os
 from collections import Counter, defaultdict
@@ -88,6 +89,32 @@ def test_beacons_hide_in_rates_and_show_in_pairs(spark):
         y.beacons(hosts, 10, 0.1, 0.1, 1.0)
 
 
+def test_coordinated_tests_every_pair(spark):
+    rng = np.random.default_rng(11)
+    beat = rng.random(120) < 0.3
+    rows = {h: (rng.random(120) < 0.25) | (beat if h < 5 else False) for h in range(40)}
+    d = spark.createDataFrame([(h, t) for h, x in rows.items() for t in [*np.flatnonzero(x).tolist()]], "entity int, bin long")
+    w = max(int(np.flatnonzero(x)[-1]) for x in rows.values()) - min(int(np.flatnonzero(x)[0]) for x in rows.values()) + 1
+
+    def information(k, a, c):
+        cells = [k, a - k, c - k, w - a - c + k]
+        return sum(n / w * math.log2(n * w / (r * s)) for n, r, s in zip(cells, (a, a, w - a, w - a), (c, w - c, c, w - c), strict=True) if n)
+
+    p = {}
+    for a, c in itertools.combinations(rows, 2):
+        na, nb, k = int(rows[a].sum()), int(rows[c].sum()), int((rows[a] & rows[c]).sum())
+        mass = {j: math.comb(na, j) * math.comb(w - na, nb - j) / math.comb(w, nb) for j in range(max(0, na + nb - w), min(na, nb) + 1)}
+        p[a, c] = sum(m for j, m in mass.items() if information(j, na, nb) >= information(k, na, nb) - 1e-9)
+    ranked = sorted(p, key=p.get)
+    last = max((i for i, x in enumerate(ranked, 1) if p[x] <= 0.05 * i / len(p)), default=0)
+    got = {(r.a, r.b): r.p_value for r in detectors.coordinated(d, 0.05).collect()}
+    assert set(got) == set(ranked[:last]) and set(itertools.combinations(range(5), 2)) <= set(got)
+    assert all(got[x] == pytest.approx(p[x], rel=1e-6) for x in got)
+    chosen = {(r.a, r.b) for r in detectors.coordination(d, least=0.05).collect()}
+    assert len(chosen - set(got)) > 0  # what a bound alone lets through, the test turns down
+    assert detectors.coordinated(d.where("entity > 4"), 0.001).isEmpty() and detectors.coordinated(d.where("false")).isEmpty()
+
+
 def test_sessions(spark):
     requests = spark.range(6).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("client"), F.lit("s").alias("spn"), F.lit("ip").alias("ip"), (F.col("id") * 5).alias("clock"))
     forged = spark.createDataFrame([("admin", "s", "ip", 3)], requests.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.stats import DIGITS, circular, circular_distance, entropy, entropy_of_counts
+from tracewarden.plans.storage import cut
 
 
 def seconds(ts: Column | str) -> Column:
@@ -135,18 +136,19 @@ def fanout_distinct(events: DataFrame, entity: str, value: str, t: Column, grain
 # ---------------------------------------------------------------- false discovery rate
 
 
-def fdr(rows: DataFrame, p: str, q: float = 0.05, method: str = "bh") -> DataFrame:
+def fdr(rows: DataFrame, p: str, q: float = 0.05, method: str = "bh", weight: str | None = None) -> DataFrame:
     """Adds q_value and rejected (q_value <= q) by Benjamini-Hochberg ("bh") or Benjamini-Yekutieli ("by").
 
-    Ranks are taken over distinct p-values with their counts: equal p-values share the largest of their ranks, as the
+    A row stands for as many tests as `weight` says (default: one). Ranks are taken over distinct p-values with their counts: equal p-values share the largest of their ranks, as the
     running minimum would make of them. NaN stays NaN and is not counted.
     """
     real = F.col(p).isNotNull() & ~F.isnan(p)
-    levels = rows.where(real).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    each = F.sum(weight) if weight else F.count("*")
+    levels = rows.where(real).groupBy(F.col(p).alias("_p")).agg(each.alias("_n"))
     m = F.col("_m")
     exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(1_000_000))), F.lit(0.0), lambda s, k: s + F.lit(1.0) / k)
     harmonic = F.when(m <= 1_000_000, exact).otherwise(F.log(m) + F.lit(0.5772156649015329) + 0.5 / m)  # to 1e-13
-    size = rows.where(real).agg(F.greatest(F.count("*"), F.lit(1)).alias("_m")).withColumn("_c", F.lit(1.0) if method == "bh" else harmonic)
+    size = rows.where(real).agg(F.greatest(each, F.lit(1)).alias("_m")).withColumn("_c", F.lit(1.0) if method == "bh" else harmonic)
     levels = running(levels, "_p", "_n", "_rank").crossJoin(F.broadcast(size))
     levels = levels.withColumn("_raw", m * F.col("_c") / F.col("_rank") * F.col("_p"))
     levels = running(levels, "_p", "_raw", "_least", descending=True, agg=F.min)
@@ -333,6 +335,54 @@ def coordination(active: DataFrame, least: float = 0.0, digits: int | None = Non
     return over(run, f"a {kind}, b {kind}, mi double, pearson double")
 
 
+def coordinated(active: DataFrame, q: float = 0.05) -> DataFrame:
+    """Pairs of entities that the false discovery rate q (Benjamini-Hochberg over all pairs) leaves: a, b, mi, pearson, p_value.
+
+    Nothing is chosen before the test. p_value is that of all shufflings of one entity's bins instead of some drawn ones: a
+    sum over the bins that two such rows can share, which depends on three counts. Pairs are first counted by these, which
+    gives the largest p-value that is rejected, and in a second pass those up to it come out.
+    """
+    over, w = _bins(active)
+    tiles, figures, tail = pair_classes()
+
+    def count(left, right, same):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, key, n11, na, nb, keep in tiles(left, right, same):
+            n = np.bincount(key[keep], minlength=len(n11))
+            have = n > 0
+            columns = [n11[have], np.minimum(na, nb)[have], np.maximum(na, nb)[have], n[have]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["n11", "na", "nb", "n"])
+
+    def weigh(batches):
+        import pyarrow as pa
+
+        for x in batches:
+            p = tail(*(x[c].to_numpy() for c in ("n11", "na", "nb")), w, q)
+            yield pa.RecordBatch.from_arrays([pa.array(p), x["n"]], ["p_value", "n"])
+
+    counts = over(count, "n11 long, na long, nb long, n long").groupBy("n11", "na", "nb").agg(F.sum("n").alias("n"))
+    levels = cut(counts.mapInArrow(weigh, "p_value double, n long"))
+    last = fdr(levels, "p_value", q, weight="n").where("rejected").agg(F.max("p_value")).first()[0]
+    last = -1.0 if last is None else last * (1 + 1e-9)
+
+    def found(left, right, same):
+        import numpy as np
+        import pyarrow as pa
+
+        for lo, key, n11, na, nb, keep in tiles(left, right, same):
+            p = tail(n11, na, nb, w, last)
+            at = np.flatnonzero(keep & (p <= last)[key])
+            mi, pearson = figures(n11, na, nb, w)
+            for part in np.split(at, range(1 << 18, len(at), 1 << 18)):
+                x, y, k = part // keep.shape[1] + lo, part % keep.shape[1], key.ravel()[part]
+                yield pa.RecordBatch.from_arrays([left["entity"].take(pa.array(x)), right["entity"].take(pa.array(y)), *(pa.array(c[k]) for c in (mi, pearson, p))], ["a", "b", "mi", "pearson", "p_value"])
+
+    kind = active.schema["entity"].dataType.simpleString()
+    return over(found, f"a {kind}, b {kind}, mi double, pearson double, p_value double")
+
+
 def coordination_null(active: DataFrame, pairs: DataFrame, permutations: int = 199, seed: int = 7) -> DataFrame:
     """p-values of pairs' mutual information against shuffled activity: a, b, mi, p_value = (1 + #{null >= mi}) / (n + 1).
 

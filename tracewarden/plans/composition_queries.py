@@ -43,11 +43,9 @@ def beacon_events(spark, f):
 
 
 def coordination_verdicts(spark, f):
-    """Pairs of suppliers coordinated beyond chance: shuffled activity, false discovery rate, linear check."""
-    active = detectors.activity(_beacons(spark, f), "host", F.col("t"), 60.0)
-    pairs = cut(detectors.coordination(cut(active), least=0.05))
-    p = cut(detectors.coordination_null(active, pairs, permutations=999))  # shuffled once, ranked several times
-    d = detectors.fdr(p, "p_value", q=0.01).join(pairs.select("a", "b", "pearson"), ["a", "b"])
+    """Pairs of suppliers coordinated beyond chance: all shufflings, false discovery rate over all pairs, linear check."""
+    active = cut(detectors.activity(_beacons(spark, f), "host", F.col("t"), 60.0))
+    d = detectors.coordinated(active, q=0.01).withColumn("rejected", F.lit(True))
     v = lineage.coordination_verdicts(d, "T1071", "suppliers")
     return v.where("rejected").select("a", "b", F.round("mi", 9).alias("mi"), F.round("pearson", 9).alias("pearson"), "decision", "cross_check")
 

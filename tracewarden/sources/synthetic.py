@@ -222,7 +222,7 @@ def beacons(hosts: DataFrame, windows: int, rate: float, beacon_rate: float, gra
     if not 0 <= beacon_rate < rate <= 1:
         raise ValueError("rates must satisfy 0 <= beacon_rate < rate <= 1")
     own = (rate - beacon_rate) / (1 - beacon_rate)
-    d = hosts.select("host", "compromised").withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    d = hosts.select("host", "compromised").repartition(64, "host").withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
     shared = F.col("compromised") & (draw(seed, F.lit("beacon"), "window") < beacon_rate)
     level = F.when(F.col("compromised"), own).otherwise(rate)
     d = d.where(shared | (draw(seed, F.lit("own"), "host", "window") < level))
