@@ -173,6 +173,12 @@ def test_verdict_axes(spark):
     assert got == {1: ("true", 0.8), 2: ("true", 0.6), 3: ("true", 0.4)}
 
 
+def test_verdict_of_a_p_value_rounded_to_nothing(spark):
+    d = spark.createDataFrame([(1, 0.0, 3.0, True), (2, 0.5, 12.0, False), (3, 0.09, 3.0, True)], "id int, p_value double, hour double, flagged boolean")
+    got = {r.id: (r.score, r.decision, r.cross_check) for r in lineage.offhours_verdicts(d, "T", "x").collect()}
+    assert got == {1: (1.0, "true", "true"), 2: (0.0, "none", "false"), 3: (pytest.approx(1 / 1.1), "true", "true")}
+
+
 def test_behaviour_against_structure(spark):
     rng = np.random.default_rng(9)
     catch = {f"r{i}": frozenset(int(x) for x in rng.integers(0, 5, rng.integers(1, 4))) for i in range(25)}

@@ -299,8 +299,7 @@ def verdict_rows(detections: DataFrame, technique: str, ref: str, p_value: str =
     of the five that are true, and `when` joins the decision.
     """
     yes = F.coalesce(F.col(fired), F.lit(False))
-    odds = F.log(F.lit(pd) / F.col(p_value))
-    score = F.when(yes, F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).otherwise(0.0)
+    score = F.when(yes, F.lit(1.0) / (F.lit(1.0) + F.col(p_value) / F.lit(pd))).otherwise(0.0)  # also of a p-value rounded to 0
     detect = F.when(yes, b.TRUE).otherwise(b.NONE)
     five = {"who": F.lit(b.TRUE), "what": detect, "when": F.lit(b.NONE), "where": F.lit(b.NONE), "how": F.lit(b.NONE)} | (axes or {})
     decision = b.col_k_join(detect, five["when"])
