@@ -335,6 +335,20 @@ def test_running_totals_by_ranges(spark):
     assert detectors.running(d.limit(0), "k", "n", "up").collect() == []
 
 
+def test_rows_meet_their_levels_in_many_tasks(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 4 < 3, 0.5).when(F.col("id") % 8 == 3, F.col("id") / 1000.0).otherwise(F.when(F.col("id") % 16 == 7, float("nan"))).alias("k"))
+    levels = rows.where("k IS NOT NULL AND NOT isnan(k)").groupBy("k").agg(F.count("*").alias("_n")).withColumn("_n2", F.col("_n") * 2)
+    want = sorted(map(str, rows.join(levels.drop("_n"), "k", "left").collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for few in (0, 100_000):  # dealt out, and sent to all
+            got = detectors.at_levels(rows, levels, "k", few)
+            assert sorted(map(str, got.collect())) == want and got.columns == ["k", "id", "_n2"]
+            assert got.where("k = 0.5").groupBy(F.spark_partition_id()).count().count() == 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_entropy_as_an_aggregate(spark):
     d = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 5), ("c", 0), ("c", None)], "g string, n long")
     got = {r["g"]: (r["h"], r["c"]) for r in d.groupBy("g").agg(stats.entropy(F.col("n")).alias("h"), stats.herfindahl(F.col("n")).alias("c")).collect()}

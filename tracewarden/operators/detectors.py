@@ -63,6 +63,23 @@ def running(d: DataFrame, key: str, value: str, out: str, descending: bool = Fal
     return d.withColumn(out, total).drop("_range", "_own", "_start")
 
 
+def at_levels(rows: DataFrame, levels: DataFrame, key: str, few: int = 100_000) -> DataFrame:
+    """rows with the columns of their level: levels(key, _n, ..), one row for each key, of which _n rows have it.
+
+    Few levels go to all tasks, and rows stay where they are. Among many, rows of one level, or of none, that are more than a
+    thousandth of all are dealt to as many tasks as they have thousandths.
+    """
+    if levels.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(levels.drop("_n")), key, "left")
+    total = levels.agg(F.sum("_n").alias("_all"))
+    crowded = levels.crossJoin(F.broadcast(total)).where("_n * 1000 > _all").select(key, F.ceil(F.col("_n") * 1000 / F.col("_all")).alias("_shares"))
+    dealt = levels.drop("_n").join(F.broadcast(crowded), key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shares") - 1, F.lit(0))))).drop("_shares")
+    own = [f.name for f in rows.schema if f.dataType.typeName() not in ("map", "variant")]
+    lone = F.col(key).isNull() | F.isnan(key)
+    rows = rows.join(F.broadcast(crowded), key, "left").withColumn("_share", F.pmod(F.xxhash64(*own), F.when(lone, 1000).otherwise(F.coalesce("_shares", F.lit(1)))))
+    return rows.drop("_shares").join(dealt, [key, "_share"], "left").drop("_share")
+
+
 def conformal(rows: DataFrame, score: str, calibration: DataFrame | None = None, tail: str = "upper", by: list[str] | None = None) -> DataFrame:
     """rows with p_value = (1 + number of calibration scores at least as extreme) / (n + 1); non-finite scores give NaN.
 
@@ -81,10 +98,14 @@ def conformal(rows: DataFrame, score: str, calibration: DataFrame | None = None,
         order = F.desc("_k") if tail == "upper" else F.asc("_k")
         w = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         cal = cal.withColumn("_at_least", F.sum("_n").over(w))
+        out = rows.withColumn("_k", F.when(finite, key)).join(cal.drop("_n"), [*by, "_k"], "left").join(size, by, "left")
     else:
+        cal = cut(cal)  # ranked, counted and joined from here
+        size = cal.agg(F.sum("_n").alias("_total"))
         cal = running(cal, "_k", "_n", "_at_least", descending=tail == "upper")
-    out = rows.withColumn("_k", F.when(finite, key)).join(cal.drop("_n"), [*by, "_k"], "left")
-    out = out.join(size, by, "left") if by else out.crossJoin(F.broadcast(size))
+        if calibration is not None:
+            cal = cal.withColumn("_n", F.lit(1))
+        out = at_levels(rows.withColumn("_k", F.when(finite, key)), cal, "_k").crossJoin(F.broadcast(size))
     p = (F.lit(1.0) + F.col("_at_least")) / (F.coalesce("_total", F.lit(0)) + 1)
     return out.withColumn("p_value", F.when(F.col("_k").isNotNull(), p).otherwise(F.lit(float("nan")))).drop("_k", "_at_least", "_total")
 
@@ -123,7 +144,7 @@ def conformal_bound(n: int, alpha: float) -> float:
 
 def fanout_detect(events: DataFrame, entity: str, value: str, t: Column, grain: float, alpha: float = 1e-3) -> DataFrame:
     """Fan-out cells with p_value against all cells and flagged = p_value <= alpha."""
-    return conformal(fanout_cells(events, entity, value, t, grain), "entropy").withColumn("flagged", F.col("p_value") <= alpha)
+    return conformal(cut(fanout_cells(events, entity, value, t, grain)), "entropy").withColumn("flagged", F.col("p_value") <= alpha)
 
 
 def fanout_distinct(events: DataFrame, entity: str, value: str, t: Column, grain: float, threshold: int) -> DataFrame:
@@ -144,16 +165,16 @@ def fdr(rows: DataFrame, p: str, q: float = 0.05, method: str = "bh", weight: st
     """
     real = F.col(p).isNotNull() & ~F.isnan(p)
     each = F.sum(weight) if weight else F.count("*")
-    levels = rows.where(real).groupBy(F.col(p).alias("_p")).agg(each.alias("_n"))
+    levels = cut(rows.where(real).groupBy(F.col(p).alias("_p")).agg(each.alias("_n")))  # ranked twice and joined from here
     m = F.col("_m")
     exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(1_000_000))), F.lit(0.0), lambda s, k: s + F.lit(1.0) / k)
     harmonic = F.when(m <= 1_000_000, exact).otherwise(F.log(m) + F.lit(0.5772156649015329) + 0.5 / m)  # to 1e-13
-    size = rows.where(real).agg(F.greatest(each, F.lit(1)).alias("_m")).withColumn("_c", F.lit(1.0) if method == "bh" else harmonic)
+    size = levels.agg(F.greatest(F.coalesce(F.sum("_n"), F.lit(0)), F.lit(1)).alias("_m")).withColumn("_c", F.lit(1.0) if method == "bh" else harmonic)
     levels = running(levels, "_p", "_n", "_rank").crossJoin(F.broadcast(size))
     levels = levels.withColumn("_raw", m * F.col("_c") / F.col("_rank") * F.col("_p"))
     levels = running(levels, "_p", "_raw", "_least", descending=True, agg=F.min)
-    levels = levels.select(F.col("_p").alias(p), F.least(F.lit(1.0), "_least").alias("q_value"))
-    out = rows.join(levels, p, "left")
+    levels = levels.select(F.col("_p").alias(p), F.least(F.lit(1.0), "_least").alias("q_value"), "_n")
+    out = at_levels(rows, levels, p)
     return out.withColumn("q_value", F.coalesce("q_value", F.lit(float("nan")))).withColumn("rejected", ~F.isnan("q_value") & (F.col("q_value") <= q))
 
 
