@@ -349,6 +349,13 @@ def test_rows_meet_their_levels_in_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_fanout_parts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(detectors, "PART", 100)
+    d = spark.range(2000).select((F.col("id") % 200).alias("e"), F.col("id").alias("v"), (F.col("id") % 7).cast("double").alias("t"))
+    cells = detectors.fanout_cells(d, "e", "v", F.col("t"), 1.0)
+    assert cells.rdd.getNumPartitions() == 21 and cells.agg(F.sum("n_events"), F.count("*")).first() == (2000, 1400)
+
+
 def test_entropy_as_an_aggregate(spark):
     d = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 5), ("c", 0), ("c", None)], "g string, n long")
     got = {r["g"]: (r["h"], r["c"]) for r in d.groupBy("g").agg(stats.entropy(F.col("n")).alias("h"), stats.herfindahl(F.col("n")).alias("c")).collect()}

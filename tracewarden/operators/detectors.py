@@ -26,12 +26,17 @@ def time_bin(t: Column, grain: float) -> Column:
 # ---------------------------------------------------------------- fan-out
 
 
+PART = 250_000  # events of a part
+
+
 def fanout_cells(events: DataFrame, entity: str, value: str, t: Column, grain: float) -> DataFrame:
     """One row per (entity, bin): entropy of the values' counts, distinct values, events, and when the bin starts.
 
-    One shuffle: counts per value are combined before it, and cells are folded from counts, never from raw events.
+    One shuffle, by cell, into parts of some hundred thousand events: hardly two of them may be alike, so counts before it would
+    fill a task's memory and save nothing. Cells are folded from counts, never from raw events.
     """
     e = events.select(F.col(entity).alias("entity"), F.col(value).alias("value"), time_bin(t, grain).alias("bin")).where("entity IS NOT NULL AND bin IS NOT NULL")
+    e = e.repartition(e.count() // PART + 1, "entity", "bin")
     counts = e.groupBy("entity", "bin", "value").agg(F.count("*").alias("n"))
     cells = counts.groupBy("entity", "bin").agg(entropy(F.col("n")).alias("entropy"), F.count("value").alias("distinct_values"), F.sum("n").alias("n_events"))
     return cells.withColumn("bin_start", F.col("bin") * F.lit(float(grain)))
