@@ -173,6 +173,14 @@ def test_verdict_axes(spark):
     assert got == {1: ("true", 0.8), 2: ("true", 0.6), 3: ("true", 0.4)}
 
 
+def test_signature_parts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(compose, "PART", 100)
+    d = spark.range(2000).select((F.col("id") % 20).alias("k"), F.col("id").alias("v"))
+    got = compose.signature(d, "k", "v", F.col("v") < 1000, least=50)
+    assert "RepartitionByExpression [k" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and ", 21" in plan
+    assert {r.signature for r in got.collect()} == {b.TRUE}
+
+
 def test_verdict_of_a_p_value_rounded_to_nothing(spark):
     d = spark.createDataFrame([(1, 0.0, 3.0, True), (2, 0.5, 12.0, False), (3, 0.09, 3.0, True)], "id int, p_value double, hour double, flagged boolean")
     got = {r.id: (r.score, r.decision, r.cross_check) for r in lineage.offhours_verdicts(d, "T", "x").collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import belnap as b
 
-from .detectors import time_bin
+from .detectors import PART, time_bin
 from .structural import completeness
 
 # ---------------------------------------------------------------- predicates and windows
@@ -44,8 +44,9 @@ def signature(rows: DataFrame, key: str, value: str, strong: Column, least: int,
     """(key, signature): true with `least` distinct values under the condition, false with `floor` of them (default: as many)
     but without it, none with few. Null keys have no signature, and null counts as no value."""
     floor = least if floor is None else floor
-    d = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-    one = d.groupBy(key, value).agg(F.max(F.coalesce(strong, F.lit(False)).cast("int")).alias("_strong"))
+    d = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value, F.coalesce(strong, F.lit(False)).cast("int").alias("_strong"))
+    d = d.repartition(d.count() // PART + 1, key, value)  # parts of a bounded number of rows, as hardly two may be alike
+    one = d.groupBy(key, value).agg(F.max("_strong").alias("_strong"))
     n = one.groupBy(key).agg(F.sum("_strong").alias("_strong"), F.count("*").alias("_all"))
     code = F.when(F.col("_strong") >= least, b.TRUE).when(F.col("_all") >= floor, b.FALSE).otherwise(b.NONE)
     return n.select(key, code.alias("signature"))
